@@ -5,21 +5,44 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from flatewise.llm import bpe, packing
+from flatewise.llm import bpe, html, lcp, packing, quality, simhash, urlfilter
 from flatewise.llm.common import table
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op2_quality_crf, op3_bpe_tree, op4_html_consensus, op6_simhash, op8_packing, op9_url_graph, op10_lcp_fingerprint]
+
+
 def queries() -> dict:
-    return {"op3_bpe_tree": op3_bpe_tree, "op8_packing": op8_packing}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_graph": urlfilter.judge_sql()}
