@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+MIX_STEP = 0x9E3779B97F4A7C15
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from flatewise.llm import bpe, html, lcp, packing, quality, simhash, urlfilter
+from flatewise.llm import bpe, html, lcp, packing, quality, simhash, suffix, urlfilter
 from flatewise.llm.common import table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.repeats(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op10_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_quality_crf, op3_bpe_tree, op4_html_consensus, op6_simhash, op8_packing, op9_url_graph, op10_lcp_fingerprint]
+QUERIES = [op1_suffix_array, op2_quality_crf, op3_bpe_tree, op4_html_consensus, op6_simhash, op8_packing, op9_url_graph, op10_lcp_fingerprint]
 
 
 def queries() -> dict:
