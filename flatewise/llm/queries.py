@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from flatewise.llm import bpe, html, lcp, packing, quality, simhash, suffix, urlfilter
+from flatewise.llm import bpe, html, lattice, lcp, packing, quality, simhash, suffix, urlfilter
 from flatewise.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_suffix_array, op2_quality_crf, op3_bpe_tree, op4_html_consensus, op6_simhash, op8_packing, op9_url_graph, op10_lcp_fingerprint]
+QUERIES = [op1_suffix_array, op2_quality_crf, op3_bpe_tree, op4_html_consensus, op5_e8_lattice, op6_simhash, op8_packing, op9_url_graph, op10_lcp_fingerprint]
 
 
 def queries() -> dict:
