@@ -74,9 +74,52 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.arange(len(run)) - first[run]
 
 
-def spark_slots(slot_count: int, oversample: int = 8) -> int:
-    """Blob slots for a number of partitions: several a partition, as hash partitioning of slot numbers is uneven."""
-    return slot_count * oversample
+def hash_of_int(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of 32-bit integers (Murmur3 of one word), as it deals rows out by an integer column."""
+    u32 = np.uint32
+
+    def rotate(x, r):
+        return (x << u32(r)) | (x >> u32(32 - r))
+
+    k = rotate(values.astype(u32) * u32(0xCC9E2D51), 15) * u32(0x1B873593)
+    h = rotate(np.full(len(values), seed, u32) ^ k, 13) * u32(5) + u32(0xE6546B64)
+    h ^= u32(4)
+    h = (h ^ (h >> u32(16))) * u32(0x85EBCA6B)
+    h = (h ^ (h >> u32(13))) * u32(0xC2B2AE35)
+    return (h ^ (h >> u32(16))).view(np.int32)
+
+
+def partition_keys(n: int) -> list[int]:
+    """For every partition of n the smallest integer that Spark's hash partitioning sends there."""
+    keys, start = np.full(n, -1, np.int64), 0
+    while (keys < 0).any():
+        values = np.arange(start, start + 16 * n)
+        target = hash_of_int(values).astype(np.int64) % n
+        new, first = np.unique(target, return_index=True)
+        new, first = new[keys[new] < 0], first[keys[new] < 0]
+        keys[new] = values[first]
+        start += 16 * n
+    return keys.tolist()
+
+
+def deal_slots(df: DataFrame, *order: str) -> DataFrame:
+    """Slot s goes to partition s modulo the shuffle width: one slot a partition, none empty by chance of hashing."""
+    n = shuffle_width(df.sparkSession)
+    keys = F.lit(np.array(partition_keys(n), dtype=np.int32))
+    return df.repartition(n, F.element_at(keys, F.col("slot") % n + 1)).sortWithinPartitions("slot", *order)
+
+
+def pack(records: np.ndarray) -> bytes:
+    """Records as bytes, byte plane by byte plane (so that high zero bytes compress), after their width."""
+    width = records.dtype.itemsize
+    flat = np.ascontiguousarray(records).view(np.uint8).reshape(-1, width)
+    return width.to_bytes(2, "little") + np.ascontiguousarray(flat.T).tobytes()
+
+
+def unpack(blob: bytes) -> bytes:
+    """The records' bytes in row order."""
+    width = int.from_bytes(blob[:2], "little")
+    return np.frombuffer(blob, np.uint8, offset=2).reshape(width, -1).T.tobytes()
 
 
 def to_blobs(slot: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
@@ -86,16 +129,15 @@ def to_blobs(slot: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     cut = np.flatnonzero(np.diff(slot)) + 1
     first = np.concatenate([[0], cut]).astype(np.int64)
     last = np.concatenate([cut, [len(slot)]]).astype(np.int64)
-    blobs = [records[a:b].tobytes() for a, b in zip(first, last)]
+    blobs = [pack(records[a:b]) for a, b in zip(first, last)]
     return pa.RecordBatch.from_arrays(
         [pa.array(slot[first].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["slot", "blob"]
     )
 
 
-def exchange_blobs(df: DataFrame, oversample: int = 8) -> DataFrame:
+def exchange_blobs(df: DataFrame) -> DataFrame:
     """Bring the blobs of a slot together, sorted by slot in each partition so slots can be processed one by one."""
-    n = shuffle_width(df.sparkSession)
-    return df.repartition(n, "slot").sortWithinPartitions("slot")
+    return deal_slots(df)
 
 
 def read_slots(batches, dtype):
@@ -107,7 +149,7 @@ def read_slots(batches, dtype):
                 yield current, np.frombuffer(b"".join(parts), dtype=dtype)
                 parts = []
             current = slot
-            parts.append(blob)
+            parts.append(unpack(blob))
     if parts:
         yield current, np.frombuffer(b"".join(parts), dtype=dtype)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flatewise.llm.common import MIX_STEP, checkpoint, connected_components, mix64, shuffle_width, spark_slots, to_blobs
+from flatewise.llm.common import MIX_STEP, checkpoint, connected_components, deal_slots, mix64, shuffle_width, to_blobs, unpack
 
 COSINE = 0.9
 TABLES = 13
@@ -284,7 +284,7 @@ def link_batches(kind: str):
                     current, parts = slot, []
                 if not parts or parts[-1][0] != dimension:
                     parts.append((dimension, []))
-                parts[-1][1].append(blob)
+                parts[-1][1].append(unpack(blob))
         yield from work(parts)
 
     return run
@@ -305,8 +305,8 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     shared = shared.withColumn("block", F.pmod(F.xxhash64("class", "cell"), F.col("total")).cast("int"))
     lists = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("cell", "block", "total"))).alias("s"))
     carried = classes.join(lists, "class").select("class", "count", "vector", F.col("s.cell").alias("cell"), F.col("s.block").alias("block"), F.col("s.total").alias("total"))
-    items = carried.mapInArrow(item_batches(kind, spark_slots(width)), "slot int, dimension int, blob binary")
-    together = items.repartition(width, "slot").sortWithinPartitions("slot", "dimension")
+    items = carried.mapInArrow(item_batches(kind, width), "slot int, dimension int, blob binary")
+    together = deal_slots(items, "dimension")
     links = checkpoint(together.mapInArrow(link_batches(kind), "class long, n long, root long"))
     counts = links.groupBy("class").agg(F.sum("n").alias("n"))
     parts = connected_components(links.select(F.col("class").alias("a"), F.col("root").alias("b")).where("a <> b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from flatewise.llm import bpe, html, lattice, lcp, packing, quality, simhash, suffix, urlfilter
+from flatewise.llm import bpe, html, lattice, lcp, lines, packing, quality, simhash, suffix, urlfilter
 from flatewise.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -45,7 +49,13 @@ def op10_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_suffix_array, op2_quality_crf, op3_bpe_tree, op4_html_consensus, op5_e8_lattice, op6_simhash, op8_packing, op9_url_graph, op10_lcp_fingerprint]
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = [op1_suffix_array, op2_quality_crf, op3_bpe_tree, op4_html_consensus, op5_e8_lattice, op6_simhash, op7_line_join, op8_packing, op9_url_graph, op10_lcp_fingerprint, pipeline]
 
 
 def queries() -> dict:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatewise.llm.common import checkpoint, connected_components, exchange_blobs, mix64, read_slots, shuffle_width, spark_slots, to_blobs
+from flatewise.llm.common import checkpoint, connected_components, exchange_blobs, mix64, read_slots, shuffle_width, to_blobs
 
 SHINGLE = 3
 SEED = 42
@@ -224,7 +224,7 @@ def classes(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of (doc_id, fp) rows."""
     spark = prints.sparkSession
     nodes = checkpoint(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    slots = spark_slots(shuffle_width(spark))
+    slots = 8 * shuffle_width(spark)
     blobs = nodes.mapInArrow(table_batches(slots), "slot int, blob binary")
     links = exchange_blobs(blobs).mapInArrow(link_batches, "a long, b long")
     parts = connected_components(links)
@@ -236,3 +236,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = checkpoint(fingerprints(docs))
     found = prints.join(classes(prints), "fp", "left")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each class: the row with the smallest doc_id (of equal rows, one), with its own columns."""
+    prints = checkpoint(fingerprints(docs.select("doc_id", "text")))
+    found = prints.join(classes(prints), "fp", "left").where("doc_id = component_id or component_id is null")
+    kept = found.select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).take(1):
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows

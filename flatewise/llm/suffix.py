@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from flatewise.llm.common import MIX_STEP, checkpoint, exchange_blobs, mix64, read_slots, shuffle_width, slices, spark_slots, to_blobs
+from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, mix64, read_slots, shuffle_width, slices, to_blobs, unpack
 
 LENGTH = 100
 GRAM = 24
@@ -299,7 +300,7 @@ def with_spans(batches):
             if slot != current:
                 current, parts, spans = slot, [], None
             if not kind:
-                parts.append(blob)
+                parts.append(unpack(blob))
                 continue
             if spans is None:
                 spans = np.frombuffer(b"".join(parts), SPAN)
@@ -547,7 +548,7 @@ def beside(spans: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
     """Spans and texts of a slot in one partition, spans first."""
     texts = rows.mapInArrow(text_blobs(slots), "slot int, kind byte, blob binary")
     both = spans.selectExpr("slot", "cast(0 as byte) kind", "blob").union(texts)
-    return both.repartition(shuffle_width(rows.sparkSession), "slot").sortWithinPartitions("slot", "kind")
+    return deal_slots(both, "kind")
 
 
 def cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -579,7 +580,7 @@ def cut_batches(schema: pa.Schema, text_at: int, results):
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (binary: the remaining bytes) and removed (array of start, stop) of every document."""
-    slots = spark_slots(shuffle_width(docs.sparkSession), 4)
+    slots = shuffle_width(docs.sparkSession)
     rows = keyed(docs.select("doc_id", "text")).select("__key", "text", F.col("doc_id").cast("long").alias("doc_id"))
     spans = repeat_spans(rows.select("__key", "text"), slots)
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -603,15 +604,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated strings cut out of text (a character cut in part goes whole) and n_chars to match."""
-    slots = spark_slots(shuffle_width(docs.sparkSession), 4)
+    slots = shuffle_width(docs.sparkSession)
     rows = keyed(docs)
     names = rows.columns
     text_at = names.index("text")
     spans = repeat_spans(rows.select("__key", "text"), slots)
     kept_fields = T.StructType([f for f in rows.schema.fields if f.name != "__key"])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(kept_fields, timezone="UTC")
+    schema = to_arrow_schema(kept_fields)
 
     def results(rows, kept, runs):
         texts = [k.decode("utf-8", "ignore") if r else t for k, r, t in zip(kept, runs, rows.column(text_at).to_pylist())]
