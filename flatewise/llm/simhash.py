@@ -224,7 +224,7 @@ def classes(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of (doc_id, fp) rows."""
     spark = prints.sparkSession
     nodes = checkpoint(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    slots = 8 * shuffle_width(spark)
+    slots = shuffle_width(spark)
     blobs = nodes.mapInArrow(table_batches(slots), "slot int, blob binary")
     links = exchange_blobs(blobs).mapInArrow(link_batches, "a long, b long")
     parts = connected_components(links)
