@@ -1,11 +1,667 @@
-"""Registry of the engine's queries and of their SQL equivalents."""
+"""The engine's queries over the driver's tables, each with its SQL equivalent where SQL can express it.
+
+Stand-ins: `documents` are source files (bytes of text, kind lang), `lineitem` by order are archives with entries (size
+l_extendedprice, label l_returnflag with N as unknown), `embeddings` are feature vectors, `labels` the truth,
+`conversations` token sequences, `events` an analysis stream.  Doubles are rounded so that engines agree.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from flatewise.functions import rules
+from flatewise.functions import stats as S
+from flatewise.operators import covert, encoders, inflate, rewrite, streams
+from flatewise.plans import evaluation as E
+from flatewise.plans import verdict as V
+from flatewise.sources import containers
+
+REGISTRY: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        REGISTRY[function.__name__] = (function, sql)
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+
+
+def sources(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows over the cores before a Python kernel: a single file gives one or two splits."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def compressed(spark, sf, *settings) -> DataFrame:
+    return streams.compress(spread(sources(spark, sf), "doc_id"), list(settings) or [("zlib", "6")])
+
+
+def archives(spark, sf) -> DataFrame:
+    """Entries of stand-in archives."""
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("string").alias("name"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("size"), F.col("l_returnflag").alias("label"),
+                     F.when(F.col("l_returnflag") == "N", "unknown").otherwise("attributed").alias("status"), (F.lit(1) - F.col("l_discount")).alias("confidence"), F.col("l_linestatus").alias("setting"),
+                     F.when(F.col("l_quantity") > 45, "stored").when(F.col("l_quantity") > 40, "flush").otherwise("data").alias("ending"), F.lit(8).alias("n_matches"))
+
+
+ARCHIVES = """e AS (SELECT l_orderkey AS path, l_linenumber::VARCHAR AS name, round(l_extendedprice * 100)::BIGINT AS size, l_returnflag AS label,
+  CASE WHEN l_returnflag = 'N' THEN 'unknown' ELSE 'attributed' END AS status, 1 - l_discount AS confidence, l_linestatus AS setting,
+  CASE WHEN l_quantity > 45 THEN 'stored' WHEN l_quantity > 40 THEN 'flush' ELSE 'data' END AS ending FROM lineitem)"""
+VOTES = ARCHIVES + """,
+v AS (SELECT path, CASE WHEN status = 'attributed' THEN label ELSE 'unknown' END AS vote, count(*) AS n, sum(size) AS b FROM e GROUP BY ALL),
+s AS (SELECT path, vote, b / sum(b) OVER (PARTITION BY path) AS share, n / sum(n) OVER (PARTITION BY path) AS cshare FROM v),
+k AS (SELECT path, vote, share, row_number() OVER (PARTITION BY path ORDER BY share DESC, vote) AS r FROM s WHERE vote <> 'unknown'),
+u AS (SELECT path, coalesce(max(CASE WHEN vote = 'unknown' THEN share END), 0) AS us, coalesce(max(CASE WHEN vote = 'unknown' THEN cshare END), 0) AS uc FROM s GROUP BY path),
+w AS (SELECT u.path, CASE WHEN k.vote IS NOT NULL AND us <= 0.5 AND uc <= 0.5 THEN k.vote ELSE 'unknown' END AS profile,
+  CASE WHEN k.vote IS NOT NULL AND us <= 0.5 AND uc <= 0.5 THEN k.share ELSE us END AS share FROM u LEFT JOIN k ON u.path = k.path AND k.r = 1)"""
+
+
+# ---- decoding, encoding, containers -------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, sha256(coalesce(text, '')) AS sha, strlen(coalesce(text, '')) AS n_bytes, true AS complete FROM documents")
+def stream_roundtrip(spark, sf):
+    """Every document compressed and decoded by our own parser; the digest is of what the parser put out."""
+    out = streams.decode(compressed(spark, sf), output=True)
+    return out.select("doc_id", "lang", F.sha2("output", 256).alias("sha"), F.octet_length("output").cast("long").alias("n_bytes"), (F.col("error").isNull() & (F.col("trailing_bytes") == 0)).alias("complete"))
+
+
+@query("SELECT s.setting, count(*) AS ok, count(*) AS n FROM documents, (SELECT unnest(['1','2','3','4','5','6','7','8','9','1f','6f','9f','greedy','lazy']) AS setting) s GROUP BY s.setting")
+def roundtrip_levels(spark, sf):
+    """All settings of the encoders at hand give back their input."""
+    settings = [("zlib", s) for s in encoders.ZLIB_SETTINGS] + [("own", "greedy"), ("own", "lazy")]
+    rows = sources(spark, sf).withColumn("sha", F.sha2("content", 256))
+    out = streams.decode(streams.compress(spread(rows, "doc_id"), settings), output=True)
+    return out.groupBy("setting").agg(F.count_if(F.sha2("output", 256) == F.col("sha")).alias("ok"), F.count("*").alias("n"))
+
+
+def _literals(spark, sf):
+    out = streams.decode(compressed(spark, sf, ("zlib-strategies", "huff")))
+    byte = out.select(F.explode("blocks").alias("b")).select(F.posexplode("b.lit_hist").alias("byte", "n"))
+    return byte.groupBy("byte").agg(F.sum("n").cast("long").alias("n")).where("n > 0")
+
+
+BYTES = "b AS (SELECT substr(h, (2 * i + 1)::BIGINT, 2) AS x FROM (SELECT hex(encode(text)) AS h, unnest(range(strlen(text))) AS i FROM documents WHERE text IS NOT NULL)), c AS (SELECT ('0x' || x)::INTEGER AS byte, count(*) AS n FROM b GROUP BY x)"
+
+
+@query(f"WITH {BYTES} SELECT byte, n FROM c")
+def literal_histogram(spark, sf):
+    return _literals(spark, sf)
+
+
+@query(f"WITH {BYTES}, t AS (SELECT sum(n) AS t FROM c) SELECT round(-sum(n / t * log2(n / t)), 6) AS entropy, sum(n)::BIGINT AS total FROM c, t")
+def literal_entropy(spark, sf):
+    one = _literals(spark, sf).agg(F.array_sort(F.collect_list("n")).alias("h"))
+    return one.select(F.round(S.entropy(F.col("h")), 6).alias("entropy"), S.total(F.col("h")).cast("long").alias("total"))
+
+
+def _make(df: DataFrame, column: str, make, kind) -> DataFrame:
+    """A column made row by row in Arrow batches from content."""
+    udf = F.pandas_udf(lambda s: s.map(make), kind)
+    return df.withColumn(column, udf("content"))
+
+
+@query("SELECT doc_id, (30 + 5 + strlen(coalesce(text, '')) + 46 + 5 + 22)::BIGINT AS n FROM documents")
+def stored_zip_size(spark, sf):
+    made = _make(spread(sources(spark, sf), "doc_id"), "zip", lambda d: rewrite.write_zip([rewrite.stored("a.txt", bytes(d))]), "binary")
+    return made.select("doc_id", F.octet_length("zip").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, true AS stored FROM documents")
+def stored_level0_size(spark, sf):
+    """Level 0 stores: every block is a stored one, and their sizes add up to the text's."""
+    made = _make(spread(sources(spark, sf), "doc_id"), "raw", lambda d: encoders.zlib_raw(bytes(d), 0), "binary")
+    out = streams.decode(made.select("doc_id", F.col("raw").alias("payload"))).where("error is null")
+    return out.select("doc_id", F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + b["stored_len"]).alias("n"), F.forall("blocks", lambda b: b["kind"] == 0).alias("stored"))
+
+
+def _wrap(kind: int, data: bytes) -> bytes:
+    import gzip
+    import struct
+    import zlib
+
+    if kind == 0:
+        return rewrite.write_zip([rewrite.deflated("a.txt", data, encoders.zlib_raw(data))])
+    if kind == 1:
+        return gzip.compress(data, 6, mtime=0)
+    if kind == 2:
+        return zlib.compress(data)
+    if kind == 4:
+        body = zlib.compress(data)
+        chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
+        return containers.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+    if kind == 5:
+        body = zlib.compress(data)
+        return b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode /Length " + str(len(body)).encode() + b" >>\nstream\n" + body + b"\nendstream\nendobj\n"
+    return data
+
+
+def wrapped_files(spark, sf) -> DataFrame:
+    """(path, content) of documents wrapped in turn as zip, gzip, zlib, plain, png and pdf."""
+    rows = spread(sources(spark, sf), "doc_id").select("doc_id", (F.col("doc_id") % 6).cast("int").alias("k"), "content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made = [_wrap(k, d) for k, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"doc{i}" for i in b.column(0).to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+KINDS = "CASE doc_id % 6 WHEN 0 THEN 'zip' WHEN 1 THEN 'gzip' WHEN 2 THEN 'zlib' WHEN 3 THEN 'raw' WHEN 4 THEN 'png' ELSE 'pdf' END"
+
+
+@query(f"SELECT {KINDS} AS kind, count(*) AS n FROM documents GROUP BY 1")
+def container_detect(spark, sf):
+    return wrapped_files(spark, sf).select(containers.kind_column().alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {KINDS} AS kind, count(*) AS files, count(*) AS streams, sum(CASE WHEN doc_id % 6 = 3 THEN 0 ELSE strlen(text) END)::BIGINT AS decoded FROM documents GROUP BY 1")
+def container_streams(spark, sf):
+    """Files scanned, their streams decoded: bytes put out by kind (plain text is no stream)."""
+    found = containers.stream_rows(containers.scan_table(wrapped_files(spark, sf)))
+    out = streams.decode(found.select("path", "kind", "payload"))
+    size = F.when(F.col("kind") == "raw", 0).otherwise(F.col("out_size"))
+    return out.groupBy("kind").agg(F.count_distinct("path").alias("files"), F.count("*").alias("streams"), F.sum(size).cast("long").alias("decoded"))
+
+
+@query("SELECT source, count(*) AS members, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
+def gzip_members(spark, sf):
+    """GZIP files of up to 64 members (documents of a source with neighbouring ids), scanned and added up by source."""
+    def join(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        for b in batches:
+            made = [b"".join(gzip.compress(d, 6, mtime=0) for d in docs) for docs in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    groups = sources(spark, sf).groupBy(F.concat_ws("/", "source", F.floor(F.col("doc_id") / 64)).alias("p")).agg(F.collect_list("content").alias("c"))
+    found = containers.stream_rows(containers.scan_table(groups.mapInArrow(join, "path string, content binary")))
+    return found.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("source")).agg(F.count("*").alias("members"), F.sum("declared_usize").cast("long").alias("bytes"))
+
+
+@query("SELECT md5(text) AS name, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def duplicate_names(spark, sf):
+    rows = table(spark, sf, "documents").where("text is not null").select(F.lit(0).alias("path"), F.md5(F.col("text").cast("binary")).alias("name"))
+    return V.duplicate_names(rows).select("name", "copies")
+
+
+@query("SELECT coalesce(nullif(regexp_extract(lower(split_part(split_part(url, '?', 1), '#', 1)), '(\\.[^./]+)$', 1), ''), '') AS suffix, count(*) AS n FROM pages GROUP BY 1")
+def suffix_kind(spark, sf):
+    path = F.lower(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)))
+    return table(spark, sf, "pages").groupBy(F.regexp_extract(path, r"(\.[^./]+)$", 1).alias("suffix")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT (['normal','maximum','fast','super fast'])[((l_orderkey >> 1) & 3) + 1] AS option, ((l_orderkey & 65) <> 0 OR l_partkey % 100 = 99) AS encrypted, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def option_bits(spark, sf):
+    flags = F.col("l_orderkey").cast("long")
+    name = rules.option_name(flags.cast("int"))
+    return table(spark, sf, "lineitem").groupBy(name.alias("option"), rules.encrypted(flags, F.col("l_partkey") % 100).alias("encrypted")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS claim FROM pages")
+def xml_claim(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("claim"))
+
+
+CLAIMS = "CASE p_partkey % 7 WHEN 0 THEN 'openpyxl' WHEN 1 THEN 'LibreOffice/24.2' WHEN 2 THEN 'Microsoft Office Word' WHEN 3 THEN 'Microsoft Excel' WHEN 4 THEN '21.0.10 (Ubuntu)' WHEN 5 THEN 'Compatible / Openpyxl' ELSE p_name END"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {CLAIMS} AS claim FROM part) SELECT p_partkey, claim,
+ CASE WHEN claim ILIKE '%openpyxl%' THEN 'openpyxl' WHEN claim ILIKE '%LibreOffice%' THEN 'libreoffice' WHEN regexp_matches(claim, '^Microsoft (Office )?Word$') THEN 'microsoft-word'
+ WHEN regexp_matches(claim, '^Microsoft (Office )?Excel$') THEN 'microsoft-excel' WHEN regexp_matches(claim, '^\\d+(\\.\\d+)*\\S*\\s*\\([^)]*\\)$') THEN 'jdk-jar' END AS producer_key FROM c""")
+def producer_match(spark, sf):
+    claims = table(spark, sf, "part").select("p_partkey", F.expr(CLAIMS).alias("claim"))
+    return V.match_producer(claims).select("p_partkey", "claim", "producer_key")
+
+
+# ---- votes and verdicts -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {VOTES} SELECT path, profile, round(share, 6) AS share FROM w")
+def weighted_vote(spark, sf):
+    return V.weighted_vote(archives(spark, sf)).select("path", "profile", F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {VOTES} SELECT path, vote, round(share, 6) AS share FROM s")
+def vote_shares(spark, sf):
+    return V.vote_shares(archives(spark, sf)).select("path", "vote", F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {VOTES} SELECT e.path, round(sum(CASE WHEN label = profile THEN confidence * size ELSE 0 END) / sum(size), 6) AS confidence FROM e JOIN w ON e.path = w.path GROUP BY e.path")
+def archive_confidence(spark, sf):
+    e = archives(spark, sf)
+    return V.archive_confidence(e, V.weighted_vote(e)).select("path", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH {VOTES}, x AS (SELECT e.path, setting, sum(size) AS b FROM e JOIN w ON e.path = w.path WHERE status = 'attributed' AND label = profile GROUP BY ALL)
+SELECT path, setting FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY b DESC, setting) AS r FROM x) WHERE r = 1""")
+def setting_vote(spark, sf):
+    e = archives(spark, sf)
+    return V.setting_vote(e, V.weighted_vote(e))
+
+
+@query(f"WITH {ARCHIVES}, x AS (SELECT path, label, sum(size) AS b FROM e WHERE status = 'attributed' GROUP BY ALL) SELECT path, label AS closest FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY b DESC, label) AS r FROM x) WHERE r = 1")
+def top_attributed(spark, sf):
+    return V.top_attributed(archives(spark, sf))
+
+
+@query(f"""WITH {ARCHIVES}, x AS (SELECT path, ending, count(*) AS n FROM e GROUP BY ALL)
+SELECT path, ending, n, odd FROM (SELECT path, ending, n, n < max(n) OVER (PARTITION BY path) AS odd, count(*) OVER (PARTITION BY path) AS kinds FROM x) WHERE kinds > 1""")
+def odd_endings(spark, sf):
+    return V.odd_endings(archives(spark, sf))
+
+
+@query(f"WITH {ARCHIVES} SELECT path, name, size, rank FROM (SELECT path, name, size, row_number() OVER (PARTITION BY path ORDER BY size DESC, name)::INTEGER AS rank FROM e) WHERE rank <= 3")
+def entry_topk(spark, sf):
+    return V.largest_entries(archives(spark, sf), 3).select("path", "name", "size", "rank")
+
+
+@query(f"""WITH {ARCHIVES} SELECT path, label, min(confidence) >= 0.95 AND sum(size) >= 1024 AS established FROM e WHERE status = 'attributed' GROUP BY ALL""")
+def established(spark, sf):
+    e = archives(spark, sf).withColumns({"proof": F.lit(None).cast("string"), "zlib_hits": F.lit(None).cast("int")})
+    return V.established(e, 0.95)
+
+
+@query(f"""WITH {VOTES}, x AS (SELECT path, ending, count(*) AS n FROM e GROUP BY ALL), y AS (SELECT path, count(*) > 1 AS mixed FROM x GROUP BY path),
+g AS (SELECT path, count(DISTINCT CASE WHEN status = 'attributed' THEN label END) AS groups FROM e GROUP BY path)
+SELECT w.path, profile, CASE WHEN mixed THEN 'inconsistent' ELSE 'inconclusive' END AS status FROM w JOIN y ON w.path = y.path JOIN g ON g.path = w.path""")
+def verdict_status(spark, sf):
+    """Whole verdicts of the stand-in archives, which claim a producer that no table knows."""
+    e = archives(spark, sf).withColumns({"proof": F.lit(None).cast("string"), "zlib_hits": F.lit(None).cast("int")})
+    a = e.groupBy("path").agg(F.lit("zip").alias("kind"), F.lit("some writer").alias("claim"), F.array().cast("array<int>").alias("option_bits_seen"), F.array().cast("array<string>").alias("duplicate_names"), F.lit(0).alias("encrypted"), F.lit(0).alias("backslash_names"))
+    return V.verdicts(e, a, ["A", "R"]).select("path", "profile", "status")
+
+
+@query("SELECT l_shipmode_like AS status, count(*) AS n FROM (SELECT CASE WHEN l_tax > 0.07 THEN 'error' WHEN l_quantity < 5 THEN 'insufficient' WHEN l_discount > 0.08 THEN 'unknown' ELSE 'attributed' END AS l_shipmode_like FROM lineitem) GROUP BY 1")
+def entry_status(spark, sf):
+    li = table(spark, sf, "lineitem")
+    status = V.entry_status(F.when(F.col("l_tax") > 0.07, "damaged"), F.lit(1), F.col("l_quantity"), F.col("l_discount") > 0.08, 5)
+    return li.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS path, l_returnflag AS feature, sum(l_extendedprice * (l_discount - 0.05)) AS m FROM lineitem GROUP BY ALL), t AS (SELECT l_orderkey AS path, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1),
+y AS (SELECT x.path, feature, m / total AS c FROM x JOIN t ON x.path = t.path)
+SELECT path, feature, round(c, 5) AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY abs(c) DESC, feature) AS r FROM y) WHERE r <= 1 AND abs(c) > 1e-4""")
+def weighted_explanation(spark, sf):
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("name"), F.col("l_extendedprice").alias("size"), F.col("l_returnflag").alias("feature"), (F.col("l_discount") - 0.05).alias("contribution"))
+    return V.weighted_explanation(items, 1).where(F.abs("contribution") > 1e-4).select("path", "feature", F.round("contribution", 5).alias("contribution"))
+
+
+# ---- corpus, families, splits -------------------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS digest, list_sort(list(DISTINCT lang)) AS labels, list_sort(list(DISTINCT source)) AS profiles, CASE WHEN count(DISTINCT source) = 1 THEN min(source) END AS profile FROM documents WHERE text IS NOT NULL GROUP BY text")
+def identical_outputs(spark, sf):
+    rows = table(spark, sf, "documents").where("text is not null").select(F.lit(0).alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.col("lang").alias("label"), F.col("source").alias("profile"))
+    return E.identical_outputs(rows).select("digest", "labels", "profiles", "profile")
+
+
+@query("""WITH r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 1), o AS (SELECT 'p' || l_linenumber AS program, r.l_partkey IS NOT NULL AS same FROM lineitem l LEFT JOIN r ON l.l_partkey = r.l_partkey WHERE l_linenumber > 1)
+SELECT program, round(avg(same::INT), 6) AS rate, avg(same::INT) >= 0.95 AS merges FROM o GROUP BY program""")
+def profile_sharing(spark, sf):
+    li = table(spark, sf, "lineitem")
+    rows = li.select(F.lit(0).alias("source"), F.col("l_partkey").alias("digest"), F.concat(F.lit("p"), F.col("l_linenumber")).alias("program"), F.lit("p1").alias("library"))
+    return E.profile_sharing(rows).select("program", F.round("rate", 6).alias("rate"), "merges")
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || substr(sha256(text), 1, 2))::INTEGER % 2 = 0 THEN 'train' ELSE 'holdout' END AS split FROM documents WHERE text IS NOT NULL")
+def app_split(spark, sf):
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", E.hash_parity(F.sha2(F.col("text").cast("binary"), 256)).alias("split"))
+
+
+@query("""WITH f AS (SELECT lang AS kind, source AS family, count(*) AS n FROM documents GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY kind ORDER BY md5(family), family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, round(sum(n) OVER (PARTITION BY kind) * 0.3) AS want FROM f)
+SELECT kind, family, n, CASE WHEN before < want THEN 'test' ELSE 'train' END AS split FROM o""")
+def family_split(spark, sf):
+    return E.family_split(table(spark, sf, "documents").groupBy(F.col("lang").alias("kind"), F.col("source").alias("family")).agg(F.count("*").alias("n")))
+
+
+def _word_sketches(spark, sf, k=32):
+    docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.split(F.lower("text"), r"\s+").alias("w"))
+    shingles = docs.select("id", F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")).alias("t"))
+    return E.sketch(shingles, "id", F.col("t"), k)
+
+
+SKETCHES = """w AS (SELECT item_id AS id, regexp_split_to_array(lower(text), '\\s+') AS w FROM benchmark),
+t AS (SELECT id, list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: md5(array_to_string(w[i:i+2], ' '))) AS t FROM w),
+k AS (SELECT id, list_sort(list_distinct(t))[1:32] AS sketch FROM t)"""
+
+
+@query(f"WITH {SKETCHES} SELECT id, len(sketch)::INTEGER AS n, sketch[1] AS least FROM k")
+def content_sketch(spark, sf):
+    s = _word_sketches(spark, sf)
+    return s.select("id", F.size("sketch").alias("n"), F.col("sketch")[0].alias("least"))
+
+
+@query(f"""WITH {SKETCHES}, p AS (SELECT a.id AS a, b.id AS b, list_sort(list_distinct(list_concat(a.sketch, b.sketch)))[1:32] AS u, a.sketch AS x, b.sketch AS y FROM k a JOIN k b ON a.id < b.id)
+SELECT a, b FROM p WHERE len(list_intersect(list_intersect(u, x), y)) / len(u) >= 0.5""")
+def near_duplicates(spark, sf):
+    return E.similar_sketches(_word_sketches(spark, sf), "id", 0.5, 32)
+
+
+def _part_names(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("folder"), F.col("p_name").alias("stem"))
+
+
+@query("SELECT a, b FROM (SELECT min(p_partkey) OVER (PARTITION BY p_brand, substr(p_name, 1, 6)) AS a, p_partkey AS b FROM part WHERE length(p_name) >= 6) WHERE a <> b")
+def name_families(spark, sf):
+    return E.name_pairs(_part_names(spark, sf), "id", "folder", "stem")
+
+
+@query("SELECT p_partkey AS id, min(CASE WHEN length(p_name) >= 6 THEN p_partkey END) OVER (PARTITION BY p_brand, CASE WHEN length(p_name) >= 6 THEN substr(p_name, 1, 6) ELSE p_partkey::VARCHAR END) AS family FROM part WHERE length(p_name) >= 6")
+def families_cc(spark, sf):
+    names = _part_names(spark, sf).where("length(stem) >= 6")
+    return E.components(names, E.name_pairs(names, "id", "folder", "stem"), "id")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def second_set_anti(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT d.doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
+def train_overlap_semi(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+# ---- metrics and calibration --------------------------------------------------------------------------------------
+
+TRUTH = "t AS (SELECT l.doc_id, n_chars AS size, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS truth, CASE WHEN d.doc_id % 5 = 0 THEN 'bad' ELSE 'good' END AS top, d.doc_id % 7 <> 0 AS answered, (d.doc_id % 97) / 97.0 * 0.6 + 0.4 AS confidence FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+def _truth(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    t = d.select("doc_id", F.col("n_chars").alias("size"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("truth"), F.when(F.col("doc_id") % 5 == 0, "bad").otherwise("good").alias("top"), (F.col("doc_id") % 7 != 0).alias("answered"), ((F.col("doc_id") % 97) / 97.0 * 0.6 + 0.4).alias("confidence"))
+    return t.withColumns({"correct": F.col("truth") == F.col("top"), "predicted": F.when(F.col("answered"), F.col("top"))})
+
+
+@query(f"WITH {TRUTH} SELECT count(*) AS n, round(avg((truth = top)::INT), 6) AS accuracy, round(avg((truth = top AND answered)::INT), 6) AS end_to_end_accuracy, round(avg(answered::INT), 6) AS coverage, round(avg(CASE WHEN answered THEN (truth = top)::INT END), 6) AS accuracy_answered FROM t")
+def closed_set_metrics(spark, sf):
+    m = E.closed_set(_truth(spark, sf))
+    return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
+@query(f"""WITH {TRUTH}, p AS (SELECT truth AS profile, count(*) AS support, count_if(answered AND truth = top) AS tp FROM t GROUP BY 1), s AS (SELECT top AS profile, count(*) AS said FROM t WHERE answered GROUP BY 1),
+j AS (SELECT p.profile, support, tp / said AS pr, tp / support AS re FROM p JOIN s ON p.profile = s.profile) SELECT profile, support, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1 FROM j""")
+def class_metrics(spark, sf):
+    return E.class_metrics(_truth(spark, sf)).select("profile", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"WITH {TRUTH} SELECT truth, count_if(answered AND top = 'bad')::BIGINT AS bad, count_if(answered AND top = 'good')::BIGINT AS good, count_if(NOT answered)::BIGINT AS none FROM t GROUP BY truth")
+def confusion_pivot(spark, sf):
+    return E.confusion(_truth(spark, sf).withColumn("predicted_or_none", F.coalesce("predicted", F.lit("none"))), ["bad", "good"])
+
+
+BANDS = f"""{TRUTH}, b AS (SELECT * FROM (VALUES (0, 256), (256, 1024), (1024, 4096), (4096, 16384), (16384, 65536), (65536, NULL)) x(lo, hi)),
+g AS (SELECT lo, count(*) AS n, count_if(answered) AS answered, avg((truth = top)::INT) AS accuracy, count_if(answered AND truth = top) AS hits FROM t JOIN b ON size >= lo AND (hi IS NULL OR size < hi) GROUP BY lo),
+z AS (SELECT lo, n, answered, accuracy, CASE WHEN answered = 0 THEN 0 ELSE hits / answered END AS accuracy_answered,
+  coalesce(sum(hits) OVER (ORDER BY lo ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / nullif(sum(answered) OVER (ORDER BY lo ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0), 0) AS pooled FROM g)"""
+
+
+@query(f"WITH {BANDS} SELECT lo::BIGINT AS lo, n, answered::BIGINT AS answered, round(accuracy, 6) AS accuracy, round(accuracy_answered, 6) AS accuracy_answered, round(pooled, 6) AS pooled FROM z")
+def size_bands(spark, sf):
+    return E.size_bands(_truth(spark, sf)).select("lo", "n", "answered", *[F.round(c, 6).alias(c) for c in ("accuracy", "accuracy_answered", "pooled")])
+
+
+@query(f"WITH {BANDS} SELECT coalesce(min(CASE WHEN answered >= 10 AND accuracy_answered >= 0.6 AND pooled >= 0.6 THEN lo END), 65536)::BIGINT AS least_size FROM z")
+def min_evidence(spark, sf):
+    return E.least_evidence(E.size_bands(_truth(spark, sf)), 0.6)
+
+
+@query(f"""WITH {TRUTH}, c AS (SELECT floor((confidence - 0.4) / 0.01 + 1e-9) AS cell, (truth = top) AS correct FROM t), g AS (SELECT i, 0.4 + i * 0.01 AS th FROM range(60) r(i)),
+k AS (SELECT th, count(*) AS kept, count_if(correct) AS good FROM g JOIN c ON i <= cell GROUP BY th), n AS (SELECT count(*) AS n FROM t)
+SELECT round(coalesce(min(th), 0.99), 3)::DOUBLE AS threshold FROM k, n WHERE kept >= greatest(5, floor(n * 0.05)) AND good / kept >= 0.7""")
+def threshold_pick(spark, sf):
+    return E.threshold_pick(_truth(spark, sf), 0.7)
+
+
+PROBA = "p AS (SELECT vec_id, label, list_transform(embedding[1:10]::DOUBLE[], lambda x: exp(4 * x)) AS e FROM embeddings), q AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS proba FROM p)"
+
+
+@query(f"""WITH {PROBA}, g AS (SELECT 0.25 + i * (3.75 / 60) AS t FROM range(61) r(i)), l AS (SELECT t, label, list_transform(proba, lambda p: exp(ln(least(greatest(p, 1e-9), 1.0)) / t)) AS z FROM q, g)
+SELECT round(t, 4)::DOUBLE AS t, round(avg(-ln(greatest(z[label + 1] / list_sum(z), 1e-9))), 5) AS nll FROM l GROUP BY t""")
+def temperature_grid(spark, sf):
+    e = table(spark, sf, "embeddings").select("label", F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(4 * x.cast("double"))).alias("e"))
+    rows = e.select((F.col("label") + 1).alias("truth"), F.transform("e", lambda x: x / S.total(F.col("e"))).alias("proba"))
+    return E.temperatures(rows).select(F.round("t", 4).alias("t"), F.round("nll", 5).alias("nll"))
+
+
+@query("""WITH m AS (SELECT avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_pop(l_extendedprice) AS sb FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(greatest(least((l_quantity - ma) / sa, 1.5), -1.5), 5) AS l_quantity, round(greatest(least((l_extendedprice - mb) / sb, 1.5), -1.5), 5) AS l_extendedprice FROM lineitem, m""")
+def standardise_clip(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    out = E.standardise(rows, ["l_quantity", "l_extendedprice"], 1.5)
+    return out.select("l_orderkey", "l_linenumber", F.round("l_quantity", 5).alias("l_quantity"), F.round("l_extendedprice", 5).alias("l_extendedprice"))
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+REFS = "z AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(id::VARCHAR), id) AS k FROM z) WHERE k <= 20)"
+SCALES = REFS + ", n AS (SELECT a.label, a.id, min(list_distance(a.v, b.v)) AS d FROM r a JOIN r b ON a.label = b.label AND a.id <> b.id GROUP BY ALL), sc AS (SELECT label, greatest(coalesce(quantile_cont(d, 0.5), 1), 0.05) AS scale FROM n WHERE d > 1e-9 GROUP BY label)"
+NOVEL = SCALES + ", nv AS (SELECT z.id, min(list_distance(z.v, r.v) / scale) AS novelty FROM z, r JOIN sc ON r.label = sc.label GROUP BY z.id)"
+
+
+def _novelty(spark, sf):
+    v = _vectors(spark, sf)
+    refs = E.reference_rows(v, 20)
+    return E.novelty(v, refs, E.class_scales(refs))
+
+
+@query(f"WITH {SCALES} SELECT label, round(scale, 5) AS scale FROM sc")
+def novelty_scale(spark, sf):
+    return E.class_scales(E.reference_rows(_vectors(spark, sf), 20)).select("label", F.round("scale", 5).alias("scale"))
+
+
+@query(f"WITH {NOVEL} SELECT id, round(novelty, 5) AS novelty FROM nv")
+def novelty_nn(spark, sf):
+    return _novelty(spark, sf).select("id", F.round("novelty", 5).alias("novelty"))
+
+
+@query(f"WITH {NOVEL} SELECT round(quantile_cont(novelty, 0.99), 5) AS threshold FROM nv")
+def novelty_threshold(spark, sf):
+    return _novelty(spark, sf).agg(F.round(F.expr("percentile(novelty, 0.99)"), 5).alias("threshold"))
+
+
+@query("WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c")
+def balanced_weights(spark, sf):
+    return E.balanced_weights(table(spark, sf, "embeddings")).select("label", "n", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT label, id FROM (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) AS r FROM embeddings) WHERE r <= 5")
+def stratified_sample(spark, sf):
+    return E.stratified(table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id")), "label", "id", 5).select("label", "id")
+
+
+@query("SELECT lang, source, round(avg((quality = 1)::INT), 6) AS rate, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ROLLUP (lang, source)")
+def rollup_rates(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return d.rollup("lang", "source").agg(F.round(F.avg((F.col("quality") == 1).cast("double")), 6).alias("rate"), F.count("*").alias("n"))
+
+
+# ---- statistics over sequences ------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT l_orderkey AS id, list(l_quantity) AS q FROM lineitem GROUP BY 1)
+SELECT id, round(list_avg(q), 6) AS mean, round(list_aggregate(q, 'median'), 6) AS median, round(CASE WHEN len(q) < 2 THEN 0 ELSE list_aggregate(q, 'stddev_samp') / list_avg(q) END, 5) AS cv,
+ round(list_aggregate(list_transform(q, lambda x: -x / list_sum(q) * log2(x / list_sum(q))), 'sum'), 5) AS entropy, round(1 - list_sum(list_transform(q, lambda x: (x / list_sum(q)) ** 2)) + 1e-9, 6) AS gini FROM a""")
+def feature_stats(spark, sf):
+    a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_quantity").alias("q"))
+    q = F.col("q")
+    return a.select("id", F.round(S.mean(q), 6).alias("mean"), F.round(S.median(q), 6).alias("median"), F.round(S.variation(q), 5).alias("cv"), F.round(S.entropy(q), 5).alias("entropy"), F.round(S.gini(q) + 1e-9, 6).alias("gini"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS id, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT id, count(*) AS inner_n, coalesce(stddev_samp(q), 0) < 10 AS uniform FROM a WHERE i < n GROUP BY id""")
+def interior_uniform(spark, sf):
+    w = Window.partitionBy("l_orderkey")
+    a = table(spark, sf, "lineitem").withColumns({"i": F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_quantity")), "n": F.count("*").over(w)})
+    return a.where("i < n").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("inner_n"), (F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)) < 10).alias("uniform"))
+
+
+@query("""WITH a AS (SELECT conv_id, length(text) // 50 AS v, min(turn) AS f, count(*) AS n FROM conversations GROUP BY ALL)
+SELECT conv_id, v::BIGINT AS mode FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) AS r FROM a) WHERE r = 1""")
+def block_mode(spark, sf):
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.floor(F.length("text") / 50).cast("long").alias("v")))).alias("s"))
+    return rows.select("conv_id", S.mode_first(F.col("s.v")).alias("mode"))
+
+
+@query("SELECT conv_id, turn, length(text) AS n, coalesce(lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS next_n FROM conversations")
+def lazy_lead(spark, sf):
+    n = F.length("text").cast("long")
+    return table(spark, sf, "conversations").select("conv_id", "turn", n.alias("n"), F.coalesce(F.lead(n).over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(0)).alias("next_n"))
+
+
+@query("""WITH a AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS g FROM conversations),
+r AS (SELECT conv_id, role, g, count(*) AS n FROM a GROUP BY ALL) SELECT conv_id, count(*) AS runs, max(n) AS longest, count_if(n = 1)::BIGINT AS run1 FROM r GROUP BY conv_id""")
+def literal_runs(spark, sf):
+    a = table(spark, sf, "conversations")
+    gap = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    runs = a.withColumn("g", gap).groupBy("conv_id", "role", "g").agg(F.count("*").alias("n"))
+    return runs.groupBy("conv_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"), F.count_if(F.col("n") == 1).alias("run1"))
+
+
+@query("""WITH h AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL), d AS (SELECT day, sum(n) AS t, -sum(n * log2(n / tt)) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY day) AS tt FROM h) GROUP BY day),
+o AS (SELECT day, t, bits, lag(day) OVER (ORDER BY day) AS prev, lag(bits) OVER (ORDER BY day) AS pbits FROM d),
+m AS (SELECT o.day, event_type, sum(n) AS n FROM o JOIN h ON h.day = o.day OR h.day = o.prev WHERE prev IS NOT NULL GROUP BY ALL), mb AS (SELECT day, -sum(n * log2(n / tt)) AS merged FROM (SELECT *, sum(n) OVER (PARTITION BY day) AS tt FROM m) GROUP BY day)
+SELECT o.day::VARCHAR AS day, round(merged - bits - pbits, 3) AS gain FROM o JOIN mb ON o.day = mb.day""")
+def boundary_gain(spark, sf):
+    """Entropy in bits of two neighbouring days' merged event histogram, less the days' own: what a split saves."""
+    h = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    days = h.groupBy("day").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("h"))
+    own = Window.orderBy("day")  # one row a day
+    pairs = days.select("day", "h", F.lag("h").over(own).alias("p")).where("p is not null")
+    bits = lambda m: S.entropy(F.map_values(m)) * S.total(F.map_values(m))
+    merged = F.map_zip_with("h", "p", lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return pairs.select(F.col("day").cast("string").alias("day"), F.round(bits(merged) - bits(F.col("h")) - bits(F.col("p")), 3).alias("gain"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS id, l_linenumber AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT a.id, a.i FROM a WHERE a.n <= 4 OR EXISTS (SELECT 1 FROM range(4) r(j) WHERE j * (a.n - 1) // 3 = a.i)""")
+def even_sampling(spark, sf):
+    w = Window.partitionBy("l_orderkey")
+    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_extendedprice")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    picked = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.floor(j * (F.col("n") - 1) / 3))
+    return a.where((F.col("n") <= 4) | F.array_contains(picked, F.col("i"))).select("id", "i")
+
+
+@query("SELECT c_custkey, sum(CASE WHEN l > 0 THEN 1 << (15 - l) ELSE 0 END)::BIGINT AS kraft, sum(CASE WHEN l > 0 THEN 1 << (15 - l) ELSE 0 END) <= 32768 AS ok, sum(l * i)::BIGINT AS cost FROM (SELECT c_custkey, i, ((c_custkey * i) % 6)::INTEGER AS l FROM customer, range(1, 9) r(i)) GROUP BY c_custkey")
+def kraft_check(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.col("c_custkey") * i) % 6).cast("int")).alias("l"))
+    k = S.kraft(F.col("l"))
+    return c.select("c_custkey", k.alias("kraft"), (k <= 32768).alias("ok"), S.cost(F.col("l"), F.sequence(F.lit(1), F.lit(8))).alias("cost"))
+
+
+@query("SELECT n_nationkey, n_name AS back, 8 * strlen(n_name) AS n_bits FROM nation")
+def bits_roundtrip(spark, sf):
+    """Bytes to bits (lowest first) and back, as expressions."""
+    raw = F.encode("n_name", "utf-8")
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")
+    bits = F.flatten(F.transform(F.sequence(F.lit(1), F.octet_length("n_name")), lambda i: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftright", byte(i), k).bitwiseAND(1))))
+    b = table(spark, sf, "nation").select("n_nationkey", bits.alias("bits"))
+    value = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, k: s + F.call_function("shiftleft", F.element_at("bits", i * 8 + k + 1), k))
+    back = F.array_join(F.transform(F.sequence(F.lit(0), (F.size("bits") / 8).cast("int") - 1), lambda i: F.chr(value(i))), "")
+    return b.select("n_nationkey", back.alias("back"), F.size("bits").cast("long").alias("n_bits"))
+
+
+@query("""WITH o AS (SELECT doc_id, n_chars % 8 AS cap, coalesce(sum(n_chars % 8) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT doc_id, greatest(0, least(cap, 64 - before))::BIGINT AS bits, least(before, 64)::BIGINT AS start FROM o""")
+def message_spread(spark, sf):
+    """Where a 64-bit message lies over the paddings of each source's streams: a running sum of their room."""
+    d = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") % 8).alias("cap"))
+    before = F.coalesce(F.sum("cap").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.select("doc_id", F.greatest(F.lit(0), F.least("cap", 64 - before)).cast("long").alias("bits"), F.least(before, F.lit(64)).cast("long").alias("start"))
+
+
+# ---- kernels whose results depend on the encoder build: invariants in SQL ------------------------------------------
+
+
+@query("SELECT doc_id, true AS proven FROM documents WHERE strlen(coalesce(text, '')) >= 0")
+def proof_zlib(spark, sf):
+    """Streams made by zlib are proven by exact re-encoding."""
+    made = compressed(spark, sf, ("zlib", "9"))
+    out = streams.decode(made.withColumn("raw", F.col("payload")), output=True)
+    return streams.proofs(out, "raw", "output").select("doc_id", F.col("zlib_proof").isNotNull().alias("proven"))
+
+
+@query("SELECT doc_id, false AS proven FROM documents")
+def proof_own(spark, sf):
+    """Streams of our own encoder, which codes every block with its own tables in another form, are not reproduced by zlib."""
+    made = streams.compress(spread(sources(spark, sf), "doc_id"), [("own", "lazy")])
+    out = streams.decode(made.withColumn("raw", F.col("payload")), output=True)
+    return streams.proofs(out, "raw", "output").select("doc_id", F.col("zlib_proof").isNotNull().alias("proven"))
+
+
+@query("SELECT doc_id, 'flush' AS ending, 'data' AS plain FROM documents WHERE strlen(text) > 0")
+def stream_endings(spark, sf):
+    made = streams.compress(spread(sources(spark, sf).where(F.octet_length("content") > 0), "doc_id"), [("zlib", "6"), ("zlib", "6f")])
+    ends = streams.decode(made).select("doc_id", "setting", rules.ending().alias("e"))
+    return ends.groupBy("doc_id").agg(F.max(F.when(F.col("setting") == "6f", F.col("e"))).alias("ending"), F.max(F.when(F.col("setting") == "6", F.col("e"))).alias("plain"))
+
+
+@query("SELECT doc_id, 'no-lz77-matches' AS rule FROM documents WHERE strlen(text) > 64")
+def signature_rules(spark, sf):
+    """Huffman-only streams hit the rule for streams without matches."""
+    made = streams.compress(spread(sources(spark, sf).where(F.octet_length("content") > 64), "doc_id"), [("zlib-strategies", "huff")])
+    return streams.decode(made).select("doc_id", F.explode(rules.signatures()).alias("h")).where("h.rule = 'no-lz77-matches'").select("doc_id", F.col("h.rule").alias("rule"))
+
+
+@query("SELECT doc_id, true AS same, true AS readable FROM documents")
+def rewrite_zip(spark, sf):
+    """Writing what was read gives the same bytes; a normalised archive keeps its content."""
+    def check(d):
+        data = bytes(d)
+        made = rewrite.write_zip([rewrite.deflated("a.xml", data, encoders.zlib_raw(data)), rewrite.stored("b.txt", data[:50])], b"note")
+        same = rewrite.write_zip(*rewrite.read_zip(made)) == made
+        return same, rewrite.content(rewrite.read_zip(rewrite.normalise(made))[0][0]) == data
+
+    made = _make(_make(spread(sources(spark, sf), "doc_id"), "same", lambda d: check(d)[0], "boolean"), "readable", lambda d: check(d)[1], "boolean")
+    return made.select("doc_id", "same", "readable")
+
+
+@query("SELECT doc_id, true AS content_kept FROM documents")
+def covert_padding(spark, sf):
+    """Bits hidden in the padding leave the content as it was, and are found again."""
+    def check(d):
+        import zlib
+
+        data, bits = bytes(d), [1, 0, 1, 1, 0, 1, 1]
+        raw = encoders.zlib_raw(data)
+        hidden = covert.embed(raw, bits)
+        room = inflate.parse(raw).pad_bits
+        return zlib.decompress(hidden, -15) == data and covert.extract(hidden, 7) == bits[:room]
+
+    return _make(spread(sources(spark, sf), "doc_id"), "content_kept", check, "boolean").select("doc_id", "content_kept")
+
+
+@query("SELECT doc_id, true AS finite, 213 AS n FROM documents")
+def feature_vectors(spark, sf):
+    """The whole feature vector of every document's stream."""
+    from flatewise.functions import features
+
+    made = streams.compress(spread(sources(spark, sf), "doc_id"), [("zlib", "6")])
+    f = features.stream_features(made)
+    return f.select("doc_id", F.forall("f", lambda x: ~F.isnan(x) & (F.abs(x) < 1e300)).alias("finite"), F.size("f").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return {name: function for name, (function, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
