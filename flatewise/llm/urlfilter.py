@@ -2,8 +2,8 @@
 
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's; the longest rule that
 fits decides.  Urls that no rule fits are judged by their host: personalised PageRank runs from trusted hosts (those
-with allowed pages only) along the links between hosts, and distrust runs from blocked hosts (those with blocked
-pages only) against the links, as a site that links to bad sites is itself suspect.  A host is blocked when its
+with allowed pages) along the links between hosts, and distrust runs from hosts that a rule blocks at their root (a rule
+for some paths of a host says nothing of its other pages) against the links, as a site that links to bad sites is itself suspect.  A host is blocked when its
 distrust reaches `THRESHOLD` of a seed's and exceeds its trust.
 
 Links are counted per pair of hosts before anything else is shuffled, so a hot host is one row a task.  The state
@@ -77,8 +77,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     urls = split_urls(pages).withColumn("found", rule_column(rules))
-    allowed, blocked = F.max((F.col("found.verdict") == "allow").cast("int")), F.max((F.col("found.verdict") == "block").cast("int"))
-    hosts = urls.groupBy("host").agg(F.coalesce(allowed, F.lit(0)).alias("a"), F.coalesce(blocked, F.lit(0)).alias("b"))
+    allowed = F.max((F.col("found.verdict") == "allow").cast("int"))
+    hosts = urls.groupBy("host").agg(F.coalesce(allowed, F.lit(0)).alias("a")).withColumn("path", F.lit("/"))
+    hosts = hosts.select("host", "a", F.coalesce((rule_column(rules)["verdict"] == "block").cast("int"), F.lit(0)).alias("b"))
     seeds = checkpoint(hosts.select("host", (F.col("a") * (1 - F.col("b"))).cast("double").alias("good"), (F.col("b") * (1 - F.col("a"))).cast("double").alias("bad")))
     ranks = propagate(host_edges(urls), seeds)
     bad = ranks.where((F.col("distrust") >= THRESHOLD * (1 - DAMPING)) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("by_links"))
@@ -100,7 +101,8 @@ WITH split AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 urls AS (SELECT page_id, html, host, path, {rule} AS rule, {verdict} AS found FROM split),
-hosts AS (SELECT host, coalesce(max((found = 'allow')::INT), 0) AS a, coalesce(max((found = 'block')::INT), 0) AS b FROM urls GROUP BY host),
+roots AS (SELECT host, '/' AS path, coalesce(max((found = 'allow')::INT), 0) AS a FROM urls GROUP BY host),
+hosts AS (SELECT host, a, coalesce(({verdict} = 'block')::INT, 0) AS b FROM roots),
 seeds AS (SELECT host, (a * (1 - b))::DOUBLE AS good, (b * (1 - a))::DOUBLE AS bad FROM hosts),
 links AS (
   SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(html, '{link}', 1))), '{UPPER}', '{LOWER}') AS dst, page_id FROM urls),
