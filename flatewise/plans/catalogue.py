@@ -659,6 +659,59 @@ def feature_vectors(spark, sf):
     return f.select("doc_id", F.forall("f", lambda x: ~F.isnan(x) & (F.abs(x) < 1e300)).alias("finite"), F.size("f").alias("n"))
 
 
+def described(spark, sf) -> DataFrame:
+    """Corpus rows of every document at three settings of two profiles."""
+    from flatewise.functions import features
+
+    made = compressed(spark, sf, ("zlib", "1"), ("zlib", "6"), ("zlib-strategies", "huff"))
+    rows = features.stream_features(made.withColumnRenamed("doc_id", "id"))
+    return rows.select("id", "setting", F.col("id").cast("string").alias("source_id"), F.col("encoder").alias("profile"), F.lit(False).alias("synthetic"), "compressed_bytes", "f")
+
+
+def _fitted(spark, sf):
+    import tempfile
+
+    from flatewise.plans import model
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    rows = described(spark, sf).checkpoint()
+    return rows, model.fit(rows, trees=10, depth=6)
+
+
+SETTINGS = "(SELECT unnest(['1', '6', 'huff']) AS setting)"
+
+
+@query(f"SELECT doc_id AS id, setting, true AS adds_up, true AS named FROM documents, {SETTINGS}")
+def rf_explanations(spark, sf):
+    """A forest fitted on every document's streams; for each stream the contributions and the bias add up to the forest's
+    probability of the top profile, and every contribution has a meaning."""
+    rows, model = _fitted(spark, sf)
+    out = model.explain(rows)
+    top = F.element_at("raw", F.array_position(F.array(*map(F.lit, model.classes)), F.col("top")).cast("int"))
+    return out.select("id", "setting", (F.abs(F.col("total") - top) < 1e-9).alias("adds_up"), F.forall("explanation", lambda e: e["meaning"] != e["feature"]).alias("named"))
+
+
+@query(f"SELECT setting, count(*) AS n, true AS consistent FROM documents, {SETTINGS} GROUP BY setting")
+def rf_predict(spark, sf):
+    """Open-set prediction of every stream: a label is a class or unknown, unknown exactly where the model abstains."""
+    rows, model = _fitted(spark, sf)
+    out = model.predict(rows)
+    fine = (F.col("abstained") == (F.col("label") == "unknown")) & (F.col("label").isin("unknown", *model.classes)) & F.col("confidence").between(0.0, 1.0)
+    return out.groupBy("setting").agg(F.count("*").alias("n"), F.bool_and(fine).alias("consistent"))
+
+
+@query("SELECT doc_id, true AS found FROM documents")
+def reencode_panel(spark, sf):
+    """Every available encoder and setting is tried on a stream: the one that made it is among those that reproduce it."""
+    def check(d):
+        data = bytes(d)
+        return ("zlib", "1") in encoders.panel(encoders.zlib_raw(data, 1), data)
+
+    short = sources(spark, sf)
+    return _make(spread(short, "doc_id"), "found", check, "boolean").select("doc_id", "found")
+
+
 def queries() -> dict:
     return {name: function for name, (function, _) in REGISTRY.items()}
 

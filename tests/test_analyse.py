@@ -41,3 +41,20 @@ def test_sources(spark):
     assert corpus.generate("xml", 500, 1) == corpus.generate("xml", 500, 1) != corpus.generate("xml", 500, 2)
     files = spark.createDataFrame([("a", bytearray(b"x" * 300)), ("b", bytearray(b"x" * 300)), ("c", bytearray(b"PK\x03\x04" + b"y" * 300)), ("d", bytearray(b"z"))], "path string, content binary")
     assert corpus.directory(files).count() == 1
+
+
+def test_streaming_ingest(spark, tmp_path):
+    import gzip
+
+    from flatewise.streaming import ingest
+
+    for k in range(3):
+        (tmp_path / f"f{k}.gz").write_bytes(gzip.compress(b"stream data %d " % k * 50))
+    rows = ingest.stream_rows(ingest.files(spark, str(tmp_path)))
+    query = rows.writeStream.format("memory").queryName("ingested").outputMode("append").start()
+    query.processAllAvailable()
+    (tmp_path / "late.gz").write_bytes(gzip.compress(b"late " * 90))
+    query.processAllAvailable()
+    query.stop()
+    got = spark.table("ingested").collect()
+    assert len(got) == 4 and all(r["error"] is None and r["ending"] == "data" for r in got) and max(r["out_size"] for r in got) == 700

@@ -11,7 +11,7 @@ from flatewise.plans import evaluation as E
 from flatewise.plans import verdict as V
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"feature_vectors", "temperature_grid"}
+SLOW = {"feature_vectors", "temperature_grid", "rf_explanations", "rf_predict", "reencode_panel"}
 
 
 def entries(spark, rows):
