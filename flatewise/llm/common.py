@@ -8,7 +8,8 @@ of its slots.  Slots are a pure function of the record, so recomputed tasks writ
 
 from __future__ import annotations
 
-import os
+import ctypes
+import gc
 import tempfile
 
 import numpy as np
@@ -17,6 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+try:
+    LIBC = ctypes.CDLL("libc.so.6")
+    LIBC.malloc_trim  # noqa: B018  other C libraries lack it
+except (OSError, AttributeError):
+    LIBC = None
 MIX_STEP = 0x9E3779B97F4A7C15
 
 
@@ -33,9 +39,30 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="flatewise-checkpoint-"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep the Arrow batches of text rows small: ten thousand long documents at once would fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
+    """Materialise `df` in the shared checkpoint folder and cut its lineage; what earlier steps shuffled may go first."""
     with_checkpoint_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -152,27 +179,17 @@ def read_slots(batches, dtype):
             parts.append(unpack(blob))
     if parts:
         yield current, np.frombuffer(b"".join(parts), dtype=dtype)
+    del parts
+    trim()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each item's component, for links a[i]-b[i] among n items (hooking with pointer jumping)."""
-    root = np.arange(n)
-    a, b = np.asarray(a), np.asarray(b)
-    while True:
-        ra, rb = root[a], root[b]
-        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        if np.array_equal(low, high):
-            return root
-        np.minimum.at(root, high, low)
-        while True:
-            jumped = root[root]
-            if np.array_equal(jumped, root):
-                break
-            root = jumped
+def plain_names(df: DataFrame) -> DataFrame:
+    """`df` with all columns but doc_id, text and n_chars renamed, so that none clashes with a working column."""
+    return df.toDF(*[n if n in ("doc_id", "text", "n_chars") else f"c{i}_" for i, n in enumerate(df.columns)])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -11,9 +11,9 @@ judged on the input.  Lines without words stay.
    prefix words meet by word; pairs must pass the length filter, the positional filter and a bitmap bound on the
    symmetric difference.  A word whose records are many (found on a sample; it steers the dealing only) is dealt into
    blocks, and pairs of blocks are separate work items.
-4. *Verification.*  The words of candidate lines are fetched from their texts, and Jaccard is computed.  Dense groups
-   first offer the earliest `FIRST` candidates of a line only; lines that none of these settles are then compared
-   with all the rest.
+4. *Verification.*  A record is first offered its word's earliest candidate and the one with the nearest bitmap; of a
+   line's offers the `TESTED` best supported are verified: the words of both lines are fetched from their texts and
+   Jaccard is computed.  Lines that this does not settle are then compared with all their other candidates.
 
 Defined cases: null and empty texts are one line without words; rows with one doc_id are ordered by text and equal
 ones are the same document; a null doc_id sorts before all; columns other than doc_id and text are passed on by
@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, mix64, pack, read_slots, segments, shuffle_width, slices, to_blobs, unpack
+from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, mix64, pack, plain_names, read_slots, segments, shuffle_width, slices, small_batches, to_blobs, trim, unpack
 from flatewise.llm.suffix import BASE, BYTE_HASH, INVERSE, doc_slot, keyed, power_table, text_blobs
 
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8
@@ -37,9 +38,9 @@ BUCKETS = 1 << 18
 CHUNK = 1 << 12
 HASH_BITS = 36
 BATCH_BYTES = 1_000_000
-FLUSH = 500_000
-FIRST = 16
-SMALL = 32
+FLUSH = 250_000
+TESTED = 2
+KNOWN_DOCS = 200_000
 SAMPLE_SHARE = 64
 HOT_RECORDS = 300
 BLOCK = 8192
@@ -48,6 +49,7 @@ U = np.uint64
 
 LINE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("line", "<u4")])
 PREFIX = np.dtype([("word", "<u8"), ("i", "<u2"), ("j", "<u2"), ("side", "u1"), ("set", "<u8"), ("bitmap", "<u4"), ("size", "<u4"), ("place", "<u2"), ("doc", "<i8"), ("line", "<u4")])
+OFFER = np.dtype([("doc", "<i8"), ("line", "<u4"), ("to_doc", "<i8"), ("to_line", "<u4"), ("apart", "u1")])
 PAIR = np.dtype([("doc", "<i8"), ("line", "<u4"), ("to_doc", "<i8"), ("to_line", "<u4")])
 
 
@@ -86,6 +88,7 @@ def rarity_batches(batches):
         for a, b in slices([len(t) for t in texts], BATCH_BYTES):
             _, _, _, word = line_words(texts[a:b])
             total += np.bincount(bucket_of(word), minlength=BUCKETS)
+    trim()
     if total.any():
         parts = total.reshape(-1, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([pack(p) for p in parts], pa.binary())], names=["slot", "blob"])
@@ -157,6 +160,7 @@ def sets_of(batches, frequency: np.ndarray):
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
         for a, b in slices([len(t) for t in texts], BATCH_BYTES):
             yield Sets(texts[a:b], keys[a:b], frequency)
+    trim()
 
 
 def spread(records: np.ndarray, hot_words: np.ndarray, hot_blocks: np.ndarray) -> np.ndarray:
@@ -220,63 +224,94 @@ def hot_batches(frequency: np.ndarray):
     return run
 
 
-def passing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Matrix (y by x): x is earlier, and lengths, positions and bitmaps allow the similarity."""
-    earlier = (x["doc"][None, :] < y["doc"][:, None]) | ((x["doc"][None, :] == y["doc"][:, None]) & (x["line"][None, :] < y["line"][:, None]))
-    a, b = x["size"].astype(np.int64)[None, :], y["size"].astype(np.int64)[:, None]
-    least = need(a, b)
-    ok = earlier & (NUMERATOR * np.maximum(a, b) <= DENOMINATOR * np.minimum(a, b))
-    ok &= 1 + np.minimum(a - x["place"][None, :], b - y["place"][:, None]) - 1 >= least
-    ok &= np.bitwise_count(x["bitmap"][None, :] ^ y["bitmap"][:, None]) <= a + b - 2 * least
-    return ok
-
-
-def pairs_of(x: np.ndarray, y: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    row, col = np.nonzero(matrix)
-    out = np.empty(len(row), PAIR)
-    out["doc"], out["line"], out["to_doc"], out["to_line"] = y["doc"][row], y["line"][row], x["doc"][col], x["line"][col]
+def pair_rows(records: np.ndarray, y: np.ndarray, x: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    out = np.empty(len(y), OFFER)
+    out["doc"], out["line"], out["to_doc"], out["to_line"] = records["doc"][y], records["line"][y], records["doc"][x], records["line"][x]
+    out["apart"] = np.minimum(apart, 255)
     return out
 
 
-def candidates(group: np.ndarray, only: set | None = None):
-    """(pairs, lines with more candidates than were offered) of one work item.
-
-    With `only`, all pairs of just these lines are offered.
+def fitting(records: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of index pairs (y later than x, same word): which lengths, positions and bitmaps allow the similarity, and the
+    distance of their bitmaps."""
+    a, b = records["size"][x].astype(np.int64), records["size"][y].astype(np.int64)
+    least = need(a, b)
+    apart = np.bitwise_count(records["bitmap"][x] ^ records["bitmap"][y]).astype(np.int64)
+    ok = (NUMERATOR * np.maximum(a, b) <= DENOMINATOR * np.minimum(a, b)) & (apart <= a + b - 2 * least)
+    ok &= np.minimum(a - records["place"][x], b - records["place"][y]) >= least
+    ok &= (records["i"][x] == records["j"][x]) | (records["side"][x] != records["side"][y])
+    return ok, apart
+
+
+def distinct_records(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records of words that occur more than once, each set once a word (its first line), sorted by work item and line;
+    and the size of the item each belongs to."""
+    key = mix64(raw["word"] + raw["i"].astype(U) * U(MIX_STEP) + raw["j"].astype(U) * U(0xC4CEB9FE1A85EC53))
+    sorted_key = np.sort(key)
+    common = np.unique(sorted_key[1:][sorted_key[1:] == sorted_key[:-1]])
+    if not len(common):
+        return raw[:0], np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+    some = common[at] == key
+    raw, item = raw[some], at[some]
+    own = mix64(item.astype(U) * U(MIX_STEP) ^ raw["set"])
+    order = np.lexsort((raw["line"], raw["doc"], own))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = own[order][1:] != own[order][:-1]
+    order = order[fresh]
+    order = order[np.lexsort((raw["line"][order], raw["doc"][order], item[order]))]
+    size = np.bincount(item[order], minlength=len(common))[item[order]]
+    return raw[order][size > 1], size[size > 1]
+
+
+def offers(records: np.ndarray, size: np.ndarray, everything: bool = False, asking: np.ndarray | None = None):
+    """Offers of earlier lines to lines, and a mask of the records that were not offered all of theirs.
+
+    A record is offered its earliest candidate and the one with the nearest bitmap; with `everything`, all
+    candidates, to the records of `asking`.
     """
-    group = group[np.lexsort((group["line"], group["doc"], group["set"]))]
-    fresh = np.ones(len(group), bool)
-    fresh[1:] = group["set"][1:] != group["set"][:-1]
-    group = group[fresh]
-    group = group[np.lexsort((group["line"], group["doc"]))]
-    same = group["i"][0] == group["j"][0]
-    asking = group if only is None else group[[(d, k) in only for d, k in zip(group["doc"].tolist(), group["line"].tolist())]]
-    pairs, more = [], []
-    step = max(1, 2_000_000 // max(1, len(group)))
-    for at in range(0, len(asking), step):
-        y = asking[at : at + step]
-        matrix = passing(group, y)
-        if not same:
-            matrix &= group["side"][None, :] != y["side"][:, None]
-        if only is None and len(group) > SMALL:
-            rank = np.cumsum(matrix, axis=1)
-            left_out = rank[:, -1] > FIRST
-            if left_out.any():
-                more.append(y[left_out])
-                matrix &= rank <= FIRST
-        pairs.append(pairs_of(group, y, matrix))
-    return np.concatenate(pairs) if pairs else np.empty(0, PAIR), np.concatenate(more) if more else np.empty(0, PREFIX)
-
-
-def groups(records: np.ndarray):
-    records = records[np.lexsort((records["j"], records["i"], records["word"]))]
-    differs = (records["word"][1:] != records["word"][:-1]) | (records["i"][1:] != records["i"][:-1]) | (records["j"][1:] != records["j"][:-1])
-    edges = np.concatenate([[0], np.flatnonzero(differs) + 1, [len(records)]])
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b - a > 1:
-            yield records[a:b]
-
-
-GONE, OFFERED, UNSETTLED, GROUP = 0, 1, 2, 3
+    n = len(records)
+    bounds, k = [], 0
+    while k < n:
+        bounds.append(k)
+        k += int(size[k])
+    starts = np.array(bounds, np.int64)
+    start = np.repeat(starts, size[starts])
+    place = np.arange(n) - start
+    first, best, best_apart, count = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, 1 << 30, np.int64), np.zeros(n, np.int64)
+    out = []
+    lag, rows = 1, np.flatnonzero(place >= 1)
+    while len(rows):  # the record `lag` before, farther and farther back, for all items at once
+        y, x = rows, rows - lag
+        if asking is not None:
+            keep = asking[y]
+            y, x = y[keep], x[keep]
+        ok, apart = fitting(records, y, x)
+        y, x, apart = y[ok], x[ok], apart[ok]
+        if everything:
+            out.append(pair_rows(records, y, x, apart))
+        else:
+            count[y] += 1
+            first[y] = x
+            nearer = apart <= best_apart[y]
+            best[y[nearer]], best_apart[y[nearer]] = x[nearer], apart[nearer]
+        lag += 1
+        rows = rows[place[rows] >= lag]
+    if everything:
+        return np.concatenate(out) if out else np.empty(0, OFFER), np.zeros(n, bool)
+    y = np.flatnonzero(first >= 0)
+    two = y[best[y] != first[y]]
+    far = np.bitwise_count(records["bitmap"][y] ^ records["bitmap"][first[y]]).astype(np.int64)
+    out = np.concatenate([pair_rows(records, y, first[y], far), pair_rows(records, two, best[two], best_apart[two])])
+    return out, count > 1 + (best != first)
+
+
+GONE, OFFERED, MORE, GROUP = 0, 1, 2, 3
+TEST, RESERVE = 0, 1
+
+
+def squeezed(records: np.ndarray) -> bytes:
+    return zstandard.compress(pack(records), 3)
 
 
 def tagged(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -285,7 +320,7 @@ def tagged(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def meet_batches(slots: int):
     """Equal sets: later lines, by document.  Prefix records: candidate pairs by document of the later line; where a dense
-    group held some back, its unsettled lines and its records, by the slot they came from."""
+    group held some back, those lines and the item's records, by the slot they came from."""
 
     def run(batches):
         for slot, raw in read_slots(batches, np.uint8):
@@ -299,27 +334,55 @@ def meet_batches(slots: int):
                 if len(gone):
                     yield tagged(GONE, to_blobs(doc_slot(gone["doc"], slots), gone))
                 continue
-            offered = []
-            for group in groups(raw.view(PREFIX)):
-                pairs, more = candidates(group)
-                if len(pairs):
-                    offered.append(pairs)
-                if len(more):
-                    yield tagged(UNSETTLED, to_blobs(np.full(len(more), slot, np.int32), more))
-                    yield tagged(GROUP, to_blobs(np.full(len(group), slot, np.int32), group))
-            if offered:
-                pairs = np.unique(np.concatenate(offered))
-                yield tagged(OFFERED, to_blobs(doc_slot(pairs["doc"], slots), pairs))
+            records, size = distinct_records(raw.view(PREFIX))
+            if not len(records):
+                continue
+            offered, more = offers(records, size)
+            if len(offered):
+                yield tagged(OFFERED, to_blobs(doc_slot(offered["doc"], slots), offered))
+            if more.any():
+                item = np.cumsum(np.concatenate([[True], (records["word"][1:] != records["word"][:-1]) | (records["i"][1:] != records["i"][:-1]) | (records["j"][1:] != records["j"][:-1])])) - 1
+                kept = records[np.isin(item, item[more])]
+                yield tagged(MORE, pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([squeezed(records[more])], pa.binary())], names=["slot", "blob"]))
+                yield tagged(GROUP, pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([squeezed(kept)], pa.binary())], names=["slot", "blob"]))
 
     return run
 
 
-def distinct_pairs(slots: int):
-    """Pairs once each, as requests to the documents of both lines."""
+def choose_batches(batches):
+    """Of a line's offers the two best supported go to the test, the others into reserve."""
+    for slot, offered in read_slots(batches, OFFER):
+        order = np.lexsort((offered["to_line"], offered["to_doc"], offered["line"], offered["doc"]))
+        offered = offered[order]
+        ids = offered[["doc", "line", "to_doc", "to_line"]]
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = ids[1:] != ids[:-1]
+        at = np.flatnonzero(fresh)
+        support = np.diff(np.concatenate([at, [len(ids)]]))
+        pairs, apart = offered[at], offered["apart"][at]
+        order = np.lexsort((pairs["to_line"], pairs["to_doc"], apart, -support, pairs["line"], pairs["doc"]))
+        pairs = pairs[order]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs["doc"][1:] != pairs["doc"][:-1]) | (pairs["line"][1:] != pairs["line"][:-1])
+        at = np.flatnonzero(new)
+        rank = np.arange(len(pairs)) - np.repeat(at, np.diff(np.concatenate([at, [len(pairs)]])))
+        for kind, part in ((TEST, pairs[rank < TESTED]), (RESERVE, pairs[rank >= TESTED])):
+            if len(part):
+                out = np.empty(len(part), PAIR)
+                for name in PAIR.names:
+                    out[name] = part[name]
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([slot], pa.int32()), pa.array([pack(out)], pa.binary())], names=["kind", "slot", "blob"])
+
+
+def request_batches(slots: int):
+    """Pairs as requests to the documents of both lines, each once a batch."""
 
     def run(batches):
-        for _, pairs in read_slots(batches, PAIR):
-            pairs = np.unique(pairs)
+        for batch in batches:
+            blobs = [unpack(b) for b in batch.column(1).to_pylist()]
+            if not blobs:
+                continue
+            pairs = np.unique(np.frombuffer(b"".join(blobs), PAIR))
             targets = np.unique(pairs[["to_doc", "to_line"]])
             own = np.empty(len(targets), PAIR)
             own["doc"] = own["to_doc"] = targets["to_doc"]
@@ -385,6 +448,7 @@ def requests_beside(batches):
                 requests = np.unique(np.frombuffer(b"".join(parts), PAIR))
                 parts = []
             yield pa.ipc.open_stream(blob).read_all(), requests
+    trim()
 
 
 def verify_batches(slots: int):
@@ -415,19 +479,27 @@ def verify_batches(slots: int):
     return run
 
 
+def line_ids(records: np.ndarray) -> np.ndarray:
+    return mix64(np.ascontiguousarray(records["doc"]).view(U) * U(MIX_STEP) + records["line"].astype(U))
+
+
 def leftover_batches(slots: int):
-    """Candidates of the lines that the first offers did not settle, from the records of their groups."""
+    """All candidates of the lines still open, from the records of their items; kind 0 are the lines, 1 the records."""
 
     def run(batches):
         current, held = None, {}
 
         def work():
             if held.get(0) and held.get(1):
-                asking = np.frombuffer(b"".join(held[0]), PREFIX)
-                only = set(zip(asking["doc"].tolist(), asking["line"].tolist()))
-                found = [candidates(g, only)[0] for g in groups(np.frombuffer(b"".join(held[1]), PREFIX))]
-                pairs = np.unique(np.concatenate(found)) if found else np.empty(0, PAIR)
-                if len(pairs):
+                open_ = line_ids(np.frombuffer(b"".join(held[0]), PREFIX))
+                records, size = distinct_records(np.frombuffer(b"".join(held[1]), PREFIX))
+                asking = np.isin(line_ids(records), open_)  # a chance match only asks for more
+                found, _ = offers(records, size, True, asking)
+                if len(found):
+                    pairs = np.empty(len(found), PAIR)
+                    for name in PAIR.names:
+                        pairs[name] = found[name]
+                    pairs = np.unique(pairs)
                     yield to_blobs(doc_slot(pairs["doc"], slots), pairs)
 
         for batch in batches:
@@ -435,7 +507,7 @@ def leftover_batches(slots: int):
                 if slot != current:
                     yield from work()
                     current, held = slot, {}
-                held.setdefault(kind, []).append(unpack(blob))
+                held.setdefault(kind, []).append(unpack(zstandard.decompress(blob)))
         yield from work()
 
     return run
@@ -446,22 +518,42 @@ def beside(requests: DataFrame, rows: DataFrame) -> DataFrame:
     return deal_slots(requests.selectExpr("slot", "cast(0 as byte) kind", "blob").union(texts), "kind")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
-    """(slot, blob) of the lines that verification removes, from candidate pairs by document."""
-    requests = exchange_blobs(pairs).mapInArrow(distinct_pairs(slots), "slot int, blob binary")
+def verified(pairs: DataFrame, rows: DataFrame, slots: int, limit_rows: bool = False) -> DataFrame:
+    """(slot, blob) of the lines that verification removes, from candidate pairs by document.
+
+    With `limit_rows`, only documents that take part are moved, while their list is within `KNOWN_DOCS`.
+    """
+    requests = pairs.mapInArrow(request_batches(slots), "slot int, blob binary")
+    if limit_rows:
+        requests = checkpoint(requests)
+        known = requests.mapInArrow(gone_rows, "doc long, line long").select("doc").distinct()
+        listed = known.limit(KNOWN_DOCS + 1).collect()
+        if len(listed) <= KNOWN_DOCS:
+            docs = np.sort(np.array([r[0] for r in listed], np.int64))
+            rows = rows.mapInArrow(only_docs(docs), rows.schema)
     sets = beside(requests, rows).mapInArrow(word_set_batches(slots), "slot int, blob binary")
     return checkpoint(exchange_blobs(sets).mapInArrow(verify_batches(slots), "slot int, blob binary"))
 
 
-def unsettled_batches(batches):
-    """Unsettled lines as (doc, line, slot, record) rows."""
-    for batch in batches:
-        for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            records = np.frombuffer(unpack(blob), PREFIX)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(records["doc"]), pa.array(records["line"].astype(np.int64)), pa.array([slot] * len(records), pa.int32()), pa.array([pack(records[i : i + 1]) for i in range(len(records))], pa.binary())],
-                names=["doc", "line", "slot", "blob"],
-            )
+def only_docs(docs: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), docs)))
+
+    return run
+
+
+def record_rows(dtype: np.dtype, compressed: bool):
+    """Records of blobs as (doc, line, slot, blob) rows, one a record."""
+
+    def run(batches):
+        for batch in batches:
+            for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                records = np.frombuffer(unpack(zstandard.decompress(blob) if compressed else blob), dtype)
+                singles = [squeezed(records[i : i + 1]) if compressed else pack(records[i : i + 1]) for i in range(len(records))]
+                yield pa.RecordBatch.from_arrays([pa.array(records["doc"]), pa.array(records["line"].astype(np.int64)), pa.array([slot] * len(records), pa.int32()), pa.array(singles, pa.binary())], names=["doc", "line", "slot", "blob"])
+
+    return run
 
 
 def gone_rows(batches):
@@ -474,6 +566,7 @@ def gone_rows(batches):
 
 def removed_lines(rows: DataFrame, slots: int) -> DataFrame:
     """(slot, blob) of all lines to remove, by document, for rows (__key, text)."""
+    small_batches(rows.sparkSession)
     frequency = rarity(rows)
     sample = rows.where(F.pmod(F.xxhash64("__key"), F.lit(SAMPLE_SHARE)) == 0).mapInArrow(hot_batches(frequency), "word long, n long")
     hot = sample.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_RECORDS).orderBy(F.desc("n"), "word").limit(MAX_HOT).collect()
@@ -481,16 +574,26 @@ def removed_lines(rows: DataFrame, slots: int) -> DataFrame:
     words, blocks = np.array([w for w, _ in hot], np.int64).view(U), np.array([b for _, b in hot], np.int64)
     records = exchange_blobs(rows.mapInArrow(record_batches(frequency, words, blocks, slots), "slot int, blob binary"))
     met = checkpoint(records.mapInArrow(meet_batches(slots), "kind byte, slot int, blob binary"))
+    del records  # its exchange is not needed again
     equal = met.where(F.col("kind") == GONE).select("slot", "blob")
-    near = verified(met.where(F.col("kind") == OFFERED).select("slot", "blob"), rows, slots)
-    open_ = met.where(F.col("kind") == UNSETTLED).select("slot", "blob").mapInArrow(unsettled_batches, "doc long, line long, slot int, blob binary")
-    settled = near.union(equal).mapInArrow(gone_rows, "doc long, line long")
-    left = checkpoint(open_.join(settled, ["doc", "line"], "left_anti").select("slot", "blob"))
+    offered = exchange_blobs(met.where(F.col("kind") == OFFERED).select("slot", "blob"))
+    chosen = checkpoint(offered.mapInArrow(choose_batches, "kind byte, slot int, blob binary"))
+    del offered
+    near = verified(chosen.where(F.col("kind") == TEST).select("slot", "blob"), rows, slots)
+    settled = checkpoint(near.union(equal).mapInArrow(gone_rows, "doc long, line long").distinct())
+
+    def still_open(df, dtype, compressed):
+        each = df.select("slot", "blob").mapInArrow(record_rows(dtype, compressed), "doc long, line long, slot int, blob binary")
+        return each.join(settled, ["doc", "line"], "left_anti").select("slot", "blob")
+
+    reserve = still_open(chosen.where(F.col("kind") == RESERVE), PAIR, False)
+    more = still_open(met.where(F.col("kind") == MORE), PREFIX, True)
+    items = met.where(F.col("kind") == GROUP)
+    again = deal_slots(more.selectExpr("slot", "cast(0 as byte) kind", "blob").union(items.selectExpr("slot", "cast(1 as byte) kind", "blob")), "kind")
+    left = checkpoint(reserve.union(again.mapInArrow(leftover_batches(slots), "slot int, blob binary")))
     if not left.take(1):
         return equal.union(near)
-    again = left.selectExpr("slot", "cast(0 as byte) kind", "blob").union(met.where(F.col("kind") == GROUP).selectExpr("slot", "cast(1 as byte) kind", "blob"))
-    rest = verified(deal_slots(again, "kind").mapInArrow(leftover_batches(slots), "slot int, blob binary"), rows, slots)
-    return equal.union(near).union(rest)
+    return equal.union(near).union(verified(left, rows, slots, limit_rows=True))
 
 
 def slots_for(docs: DataFrame) -> int:
@@ -512,7 +615,8 @@ def line_counts(docs: DataFrame) -> DataFrame:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """`docs` without the removed lines in text, n_chars to match; other columns as they are."""
     slots = slots_for(docs)
-    rows = keyed(docs)
+    original = docs.columns
+    rows = keyed(plain_names(docs))
     names = rows.columns
     text_at = names.index("text")
     gone = removed_lines(rows.select("__key", "text"), slots)
@@ -535,4 +639,4 @@ def remove_lines(docs: DataFrame) -> DataFrame:
                 [pa.array(changed[f.name], f.type) if f.name in ("text", "n_chars") else part.column(names.index(f.name)).combine_chunks().cast(f.type) for f in schema], schema=schema
             )
 
-    return beside(gone, rows).mapInArrow(run, kept_fields)
+    return beside(gone, rows).mapInArrow(run, kept_fields).toDF(*original)

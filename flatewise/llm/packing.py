@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from flatewise.llm.bpe import byte_symbols
+from flatewise.llm.common import small_batches
 
 WINDOW = 2048
 SENTENCE_CUT = 6.0
@@ -230,5 +231,6 @@ def pack_batches(path: str):
 
 def pack_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Rows of pieces (see SCHEMA) for all documents."""
+    small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").sortWithinPartitions("doc_id")
     return rows.mapInArrow(pack_batches(vocabulary), SCHEMA)

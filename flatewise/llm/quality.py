@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatewise.llm.common import mix64, segments, slices
+from flatewise.llm.common import mix64, segments, slices, small_batches, trim
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 3000
@@ -229,6 +229,7 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     """Fit on the bounded sample of labelled documents that are not held out."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -272,5 +273,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             scores = score_texts(model, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores >= THRESHOLD))
+        trim()
 
     return docs.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatewise.llm.common import checkpoint, connected_components, exchange_blobs, mix64, read_slots, shuffle_width, to_blobs
+from flatewise.llm.common import checkpoint, connected_components, exchange_blobs, mix64, read_slots, shuffle_width, small_batches, to_blobs
 
 SHINGLE = 3
 SEED = 42
@@ -65,6 +65,7 @@ def fingerprint_batches(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint reinterpreted as signed."""
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(fingerprint_batches, "doc_id long, fp long")
 
 

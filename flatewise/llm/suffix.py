@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, mix64, read_slots, shuffle_width, slices, to_blobs, unpack
+from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, mix64, plain_names, read_slots, release, shuffle_width, slices, small_batches, to_blobs, trim, unpack
 
 LENGTH = 100
 GRAM = 24
@@ -192,6 +192,7 @@ def anchored(batches):
                 held, total = [], 0
     if total:
         yield np.concatenate(held)
+    trim()
 
 
 def hot_batches(batches):
@@ -307,6 +308,7 @@ def with_spans(batches):
                 spans = spans[np.argsort(spans["doc"], kind="stable")]
                 parts = []
             yield pa.ipc.open_stream(blob).read_all(), spans
+    trim()
 
 
 PIECE = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "u1"), ("hot", "u1"), ("bytes", "S177")])
@@ -533,15 +535,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeat_spans(rows: DataFrame, slots: int) -> DataFrame:
     """(slot, kind 0, blob) spans to remove, for rows (__key, text)."""
     spark = rows.sparkSession
+    small_batches(spark)
     sample = rows.where(F.pmod(F.xxhash64("__key"), F.lit(SAMPLE_SHARE)) == 0).mapInArrow(hot_batches, "anchor long, n long")
     found = sample.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FRAGMENTS).orderBy(F.desc("n"), "anchor").limit(MAX_HOT).collect()
     hot = np.sort(np.array([r["anchor"] for r in found], dtype=np.int64).view(U))
     anchors = exchange_blobs(rows.mapInArrow(anchor_batches(hot, slots), "slot int, blob binary"))
     spans = checkpoint(anchors.mapInArrow(equal_batches(hot, slots), "slot int, blob binary"))
+    del anchors  # its exchange is not needed again
     together = beside(spans, rows, slots)
     pieces = exchange_blobs(together.mapInArrow(piece_batches(slots), "slot int, blob binary"))
     inner = exchange_blobs(pieces.mapInArrow(shard_batches(slots), "slot int, blob binary"))
-    return spans.union(inner.mapInArrow(merge_batches(slots), "slot int, blob binary"))
+    more = checkpoint(inner.mapInArrow(merge_batches(slots), "slot int, blob binary"))
+    del together, pieces, inner
+    release(spark)
+    return spans.union(more)
 
 
 def beside(spans: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
@@ -605,7 +612,8 @@ def digests(found: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated strings cut out of text (a character cut in part goes whole) and n_chars to match."""
     slots = shuffle_width(docs.sparkSession)
-    rows = keyed(docs)
+    original = docs.columns
+    rows = keyed(plain_names(docs))
     names = rows.columns
     text_at = names.index("text")
     spans = repeat_spans(rows.select("__key", "text"), slots)
@@ -620,4 +628,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             changed["n_chars"] = pa.array(n, schema.field("n_chars").type)
         return [changed[f.name] if f.name in changed else rows.column(names.index(f.name)).combine_chunks().cast(f.type) for f in schema]
 
-    return beside(spans, rows, slots).mapInArrow(cut_batches(schema, text_at, results), kept_fields)
+    return beside(spans, rows, slots).mapInArrow(cut_batches(schema, text_at, results), kept_fields).toDF(*original)
