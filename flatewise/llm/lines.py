@@ -41,6 +41,7 @@ BATCH_BYTES = 1_000_000
 FLUSH = 250_000
 TESTED = 2
 KNOWN_DOCS = 200_000
+WAVE_PAIRS = 30_000
 SAMPLE_SHARE = 64
 HOT_RECORDS = 300
 BLOCK = 8192
@@ -374,8 +375,8 @@ def choose_batches(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([slot], pa.int32()), pa.array([pack(out)], pa.binary())], names=["kind", "slot", "blob"])
 
 
-def request_batches(slots: int):
-    """Pairs as requests to the documents of both lines, each once a batch."""
+def request_batches(slots: int, wave: int = 0, waves: int = 1):
+    """Pairs as requests to the documents of both lines, each once a batch; of lines that belong to one wave."""
 
     def run(batches):
         for batch in batches:
@@ -383,6 +384,9 @@ def request_batches(slots: int):
             if not blobs:
                 continue
             pairs = np.unique(np.frombuffer(b"".join(blobs), PAIR))
+            pairs = pairs[line_ids(pairs) % U(waves) == U(wave)]
+            if not len(pairs):
+                continue
             targets = np.unique(pairs[["to_doc", "to_line"]])
             own = np.empty(len(targets), PAIR)
             own["doc"] = own["to_doc"] = targets["to_doc"]
@@ -518,12 +522,12 @@ def beside(requests: DataFrame, rows: DataFrame) -> DataFrame:
     return deal_slots(requests.selectExpr("slot", "cast(0 as byte) kind", "blob").union(texts), "kind")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, slots: int, limit_rows: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, slots: int, limit_rows: bool = False, wave: int = 0, waves: int = 1) -> DataFrame:
     """(slot, blob) of the lines that verification removes, from candidate pairs by document.
 
     With `limit_rows`, only documents that take part are moved, while their list is within `KNOWN_DOCS`.
     """
-    requests = pairs.mapInArrow(request_batches(slots), "slot int, blob binary")
+    requests = pairs.mapInArrow(request_batches(slots, wave, waves), "slot int, blob binary")
     if limit_rows:
         requests = checkpoint(requests)
         known = requests.mapInArrow(gone_rows, "doc long, line long").select("doc").distinct()
@@ -593,7 +597,12 @@ def removed_lines(rows: DataFrame, slots: int) -> DataFrame:
     left = checkpoint(reserve.union(again.mapInArrow(leftover_batches(slots), "slot int, blob binary")))
     if not left.take(1):
         return equal.union(near)
-    return equal.union(near).union(verified(left, rows, slots, limit_rows=True))
+    pairs = left.agg(F.sum(F.length("blob"))).first()[0] // PAIR.itemsize
+    waves = 1 + pairs // (WAVE_PAIRS * slots)  # each line is in one wave; a wave's word sets are gone before the next
+    found = equal.union(near)
+    for wave in range(waves):
+        found = found.union(verified(left, rows, slots, True, wave, waves))
+    return found
 
 
 def slots_for(docs: DataFrame) -> int:

@@ -344,6 +344,7 @@ def test_line_join_matches_brute_force(spark, monkeypatch, hot):
         monkeypatch.setattr(lines, "HOT_RECORDS", 3)
         monkeypatch.setattr(lines, "SAMPLE_SHARE", 1)
         monkeypatch.setattr(lines, "BLOCK", 10)
+        monkeypatch.setattr(lines, "WAVE_PAIRS", 10)
     rng = random.Random(3)
     vocabulary = ["w%d" % int(rng.paretovariate(0.7)) for _ in range(2000)]
     base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) for _ in range(25)]
