@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flatewise.llm import bpe, common, html, lattice, lcp, lines, packing, quality, simhash, suffix, urlfilter
+from flatewise.llm import bpe, common, html, lattice, lcp, lines, packing, quality, shingles, simhash, suffix, urlfilter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, __key string"
@@ -321,6 +321,51 @@ def test_simhash_classes(spark):
     assert kept.columns == docs(spark, rows).columns and {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == {find(i) for i in prints}
 
 
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_stage_keeps_one_of_each_class_at_eight_tenths(spark, monkeypatch, hot):
+    import corpus_pipeline
+
+    if hot:
+        monkeypatch.setattr(shingles, "SAMPLE_SHARE", 1)
+        monkeypatch.setattr(shingles, "BROADCAST_NODES", 3)
+    rng = random.Random(15)
+    word = lambda: "w%d" % rng.randrange(5000)
+    passage, rows, planted = " ".join(word() for _ in range(60)), [], 0
+    for i in range(40):
+        words = [word() for _ in range(rng.choice([60, 150, 400]))] + (passage.split() if i % 3 == 0 else [])
+        rows.append((i, " ".join(words), "en", None))
+        for k in range(5):
+            copy = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 45))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((1000 + 10 * i + k, " ".join(copy), "en", None))
+    rows += ODD
+    keys = sorted({(i is None, i or 0, t or "") for i, t, *_ in rows})
+    sets = [shingle_set(t) for *_, t in keys]
+    root = list(range(len(keys)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(keys)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                planted += 0.8 <= len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) < 0.95
+                root[y] = x
+    assert planted >= 50
+    got = corpus_pipeline.near_stage(spark, docs(spark, rows), "")
+    assert got.columns == docs(spark, rows).columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == [keys[i] for i in sorted({find(i) for i in range(len(keys))})]
+
+
 # ---- 7 lines
 
 
