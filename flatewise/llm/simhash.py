@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flatewise.llm.common import checkpoint, connected_components, exchange_blobs, mix64, read_slots, shuffle_width, small_batches, to_blobs
+from flatewise.llm.shingles import keep_one, text_digest
 
 SHINGLE = 3
 SEED = 42
@@ -69,6 +70,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(fingerprint_batches, "doc_id long, fp long")
 
 
+def keyed_batches(batches):
+    for batch in batches:
+        prints = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["doc_id", "digest", "fp"])
+
+
 def key_mask(table: tuple[int, ...]) -> int:
     mask = (1 << 64) - 1
     for block in table:
@@ -221,15 +228,17 @@ def link_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], names=["a", "b"])
 
 
+def links_of(nodes: DataFrame) -> DataFrame:
+    """(node, component) of the linked ones of distinct (fp, node) rows."""
+    slots = shuffle_width(nodes.sparkSession)
+    blobs = nodes.mapInArrow(table_batches(slots), "slot int, blob binary")
+    return connected_components(exchange_blobs(blobs).mapInArrow(link_batches, "a long, b long"))
+
+
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of (doc_id, fp) rows."""
-    spark = prints.sparkSession
     nodes = checkpoint(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    slots = shuffle_width(spark)
-    blobs = nodes.mapInArrow(table_batches(slots), "slot int, blob binary")
-    links = exchange_blobs(blobs).mapInArrow(link_batches, "a long, b long")
-    parts = connected_components(links)
-    return nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return nodes.join(links_of(nodes), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,11 +249,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class: the row with the smallest doc_id (of equal rows, one), with its own columns."""
-    prints = checkpoint(fingerprints(docs.select("doc_id", "text")))
-    found = prints.join(classes(prints), "fp", "left").where("doc_id = component_id or component_id is null")
-    kept = found.select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).take(1):
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows
+    """One document of each class, the first by doc_id and then text, with its own columns.
+
+    Classes are of fingerprints, so rows with a null or repeated doc_id and other texts stay unless they are linked.
+    """
+    small_batches(docs.sparkSession)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
+    rows = checkpoint(keyed.mapInArrow(keyed_batches, "doc_id long, digest string, fp long"))
+    nodes = checkpoint(rows.select("fp").distinct().select("fp", F.col("fp").alias("node")))
+    parts = links_of(nodes).select(F.col("node").alias("fp"), "component")
+    return keep_one(docs, rows.join(parts, "fp", "left").select("doc_id", "digest", F.coalesce("component", "fp").alias("class")))

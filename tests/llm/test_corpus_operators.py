@@ -321,6 +321,16 @@ def test_simhash_classes(spark):
     assert kept.columns == docs(spark, rows).columns and {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == {find(i) for i in prints}
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_first, shingles.keep_first])
+def test_null_and_repeated_ids_lose_no_other_text(spark, keep):
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0], "en", None), (None, texts[1], "en", None), (7, texts[2], "en", None), (7, texts[3], "en", None), (7, texts[3], "en", None), (8, texts[4], "en", None), (None, texts[4], "en", None)]
+    got = [(r["doc_id"], r["text"]) for r in keep(docs(spark, rows)).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def shingle_set(text):
     words = (text or "").lower().split()
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
