@@ -42,23 +42,27 @@ def sketch_jaccard(a: Column, b: Column, k: int = SKETCH) -> Column:
 
 
 def similar_sketches(sketches: DataFrame, key: str, threshold: float = FAMILY_JACCARD, k: int = SKETCH) -> DataFrame:
-    """Pairs (a < b) whose sketch similarity reaches the threshold.
+    """All pairs (a < b) whose sketch similarity reaches the threshold.
 
-    A similar pair shares a sketch value, so candidates come from an equi-join on values that are in two to `hot` sketches;
-    a value in more is common to all and names no family (its pairs share rarer values too, unless they are equal,
-    which the digest join adds).
+    Equal sketches are one class.  A similar pair has at least ceil(threshold * n) of either's n values in common, so the
+    classes share a value among the first n - ceil(threshold * n) + 1 of each, rarest first: an equi-join on those loses
+    no candidate, whatever the number of sketches a value is in.  Similar classes give the pairs of their members.
     """
-    hot = 64
-    values = sketches.select(key, F.explode("sketch").alias("v"))
-    rare = values.groupBy("v").agg(F.count("*").alias("n")).where(f"n between 2 and {hot}").select("v")
-    linked = values.join(rare, "v")
-    same = sketches.select(F.md5(F.array_join("sketch", "")).alias("v"), F.col(key)).where(F.size("sketch") > 0)
-    first = same.groupBy("v").agg(F.min(key).alias("a"))
-    equal = same.join(first, "v").where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
-    a, b = linked.select("v", F.col(key).alias("a")), linked.select("v", F.col(key).alias("b"))
-    pairs = a.join(b, "v").where("a < b").select("a", "b").union(equal).distinct()
-    full = pairs.join(sketches.select(F.col(key).alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col(key).alias("b"), F.col("sketch").alias("y")), "b")
-    return full.where(sketch_jaccard(F.col("x"), F.col("y"), k) >= threshold).select("a", "b")
+    members = sketches.where(F.size("sketch") > 0).select(F.col(key).alias("id"), F.md5(F.array_join("sketch", ",")).alias("c"), "sketch")
+    classes = members.groupBy("c").agg(F.first("sketch").alias("sketch"))
+    values = classes.select("c", F.size("sketch").alias("n"), F.explode("sketch").alias("v"))
+    counted = values.join(values.groupBy("v").agg(F.count("*").alias("seen")).where("seen > 1"), "v", "left")
+    ordered = counted.groupBy("c").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "v"))).alias("o"))
+    take = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    prefix = ordered.select("c", F.explode(F.slice("o", 1, take)).alias("o")).where("o.seen > 1").select("c", F.col("o.v").alias("v"))
+    x, y = prefix.select("v", F.col("c").alias("c")), prefix.select("v", F.col("c").alias("d"))
+    near = x.join(y, "v").where("c < d").select("c", "d").distinct()
+    full = near.join(classes.select("c", F.col("sketch").alias("x")), "c").join(classes.select(F.col("c").alias("d"), F.col("sketch").alias("y")), "d")
+    linked = full.where(sketch_jaccard(F.col("x"), F.col("y"), k) >= threshold).select("c", "d")
+    left, right = members.select("c", F.col("id").alias("i")), members.select(F.col("c").alias("d"), F.col("id").alias("j"))
+    across = linked.join(left, "c").join(right, "d").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    within = left.join(right.withColumnRenamed("d", "c"), "c").where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return across.union(within)
 
 
 def name_pairs(files: DataFrame, key: str, folder: str, stem: str, prefix: int = FAMILY_PREFIX) -> DataFrame:

@@ -55,6 +55,24 @@ def test_families_and_split(spark):
     assert 0.3 * sum(r["n"] for r in split) <= test + 0.5 and len(split) == 30
 
 
+def test_similar_sketches_are_all_pairs_in_large_families(spark):
+    import random
+
+    rng = random.Random(4)
+    template = [f"t{i:03d}" for i in range(24)]
+    sets = {i: sorted([*rng.sample(template, 18), *(f"x{rng.randrange(40):03d}" for _ in range(4))])[:16] for i in range(90)}
+    sets |= {100 + i: sorted(template)[:16] for i in range(70)} | {200 + i: [f"y{i:03d}"] for i in range(5)} | {300: []}
+    sets = {i: sorted(set(s)) for i, s in sets.items()}
+
+    def near(a, b):
+        u = sorted({*a, *b})[:16]
+        return u and len({*u} & {*a} & {*b}) / len(u) >= 0.5
+
+    want = {(i, j) for i in sets for j in sets if i < j and near(sets[i], sets[j])}
+    got = E.similar_sketches(spark.createDataFrame(list(sets.items()), "id long, sketch array<string>"), "id", 0.5, 16).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_statistics(spark):
     row = spark.createDataFrame([([3, 1, 2, 2],), ([],), ([5],)], "a array<int>")
     got = row.select(S.mean(F.col("a")), S.median(F.col("a")), S.stdev(F.col("a")), S.entropy(F.col("a")), S.gini(F.col("a")), S.first_top(F.col("a"))).collect()
