@@ -7,7 +7,8 @@ for some paths of a host says nothing of its other pages) against the links, as
 distrust reaches `THRESHOLD` of a seed's and exceeds its trust.
 
 Links are counted per pair of hosts before anything else is shuffled, so a hot host is one row a task.  The state
-table has one row per host; a round is one join with the edges and one sum.
+table has one row per host; a round is one join with the edges and one sum.  Rounds end when all that is still to be moved, over all hosts, is below a
+thousandth of the threshold.
 
 Defined cases: a null url or one without "://" has empty host and path, fits no rule, and is judged as the host "";
 null html has no links; repeated rows each give a row (their links count once more); other columns are ignored; an
@@ -24,8 +25,9 @@ from flatewise.llm.common import checkpoint
 # fixed values: the rules of the contract, (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DAMPING = 0.85
-ROUNDS = 6
+ROUNDS = 6  # of the SQL, which cannot iterate until a bound holds
 THRESHOLD = 0.02
+TOLERANCE = THRESHOLD * (1 - DAMPING) / 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s>]*)"""
 
@@ -54,8 +56,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after some rounds from (host, good, bad) seeds of 0 or 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) from (host, good, bad) seeds of 0 or 1, iterated until what is still to come is below `tolerance`.
+
+    A round keeps or loses mass, so after a round that moved `step` in all, no later sum differs by more than step * damping / (1 - damping).
+    """
     out, into = edges.groupBy("src").agg(F.sum("n").alias("out")), edges.groupBy("dst").agg(F.sum("n").alias("into"))
     weighted = edges.join(out, "src").join(into, "dst")
     both = weighted.select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("out")).alias("t"), F.lit(0.0).alias("d")).union(
@@ -63,15 +68,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     )
     both = checkpoint(both)
     start = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
-    state = start
     if not both.take(1):
-        return state
-    for k in range(rounds):
-        moved = both.join(state, "host").select(F.col("to").alias("host"), (damping * F.col("trust") * F.col("t")).alias("trust"), (damping * F.col("distrust") * F.col("d")).alias("distrust"))
-        state = start.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 3 == 2:
+        return start
+    state = start.withColumns({"trust_step": F.col("trust"), "distrust_step": F.col("distrust")})
+    k = 0
+    while True:
+        moved = both.join(state, "host").select(F.col("to").alias("host"), (damping * F.col("trust_step") * F.col("t")).alias("trust_step"), (damping * F.col("distrust_step") * F.col("d")).alias("distrust_step"))
+        before = state.select("host", "trust", "distrust", F.lit(0.0).alias("trust_step"), F.lit(0.0).alias("distrust_step"))
+        after = moved.select("host", F.col("trust_step").alias("trust"), F.col("distrust_step").alias("distrust"), "trust_step", "distrust_step")
+        state = before.union(after).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "trust_step", "distrust_step")])
+        k += 1
+        if k % 3 == 0:
             state = checkpoint(state)
-    return state
+            if (state.agg(F.sum(F.col("trust_step") + F.col("distrust_step"))).first()[0] or 0.0) * damping / (1 - damping) <= tolerance:
+                return state.select("host", "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -245,6 +245,20 @@ def test_link_graph_matches_sql(spark):
     assert sorted(con.execute(urlfilter.judge_sql()).fetchall()) == got
 
 
+def hrefs(*urls):
+    return "".join(f"<a href='http://{u}'>l</a>" for u in urls)
+
+
+def verdicts(spark, rows):
+    return {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_distrust_runs_down_long_chains(spark):
+    rows = [(0, "http://bad.net/", "")] + [(k, f"http://h{k}.com/", hrefs("bad.net/" if k == 1 else f"h{k - 1}.com/")) for k in range(1, 31)]
+    got = verdicts(spark, rows)
+    assert [k for k in range(1, 31) if got[k] == "block"] == [k for k in range(1, 31) if 0.85**k >= 0.02]
+
+
 # ---- 5 embeddings, 6 SimHash
 
 
