@@ -2,8 +2,9 @@
 
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's; the longest rule that
 fits decides.  Urls that no rule fits are judged by their host: personalised PageRank runs from trusted hosts (those
-with allowed pages) along the links between hosts, and distrust runs from hosts that a rule blocks at their root (a rule
-for some paths of a host says nothing of its other pages) against the links, as a site that links to bad sites is itself suspect.  A host is blocked when its
+with allowed pages) along the links between hosts, and distrust runs from hosts that a rule blocks at their root against the links, as a
+site that links to bad sites is itself suspect.  A rule for some paths of a host says nothing of its other pages; links to
+those paths lead to a node of their own, which is a source of distrust.  Sources are hosts of pages and of links alike.  A host is blocked when its
 distrust reaches `THRESHOLD` of a seed's and exceeds its trust.
 
 Links are counted per pair of hosts before anything else is shuffled, so a hot host is one row a task.  The state
@@ -29,7 +30,7 @@ ROUNDS = 6  # of the SQL, which cannot iterate until a bound holds
 THRESHOLD = 0.02
 TOLERANCE = THRESHOLD * (1 - DAMPING) / 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s>]*)"""
+LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^?#"'\s>]*)"""
 
 
 def split_urls(pages: DataFrame) -> DataFrame:
@@ -39,21 +40,33 @@ def split_urls(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "html")
 
 
-def rule_column(rules=RULES) -> F.Column:
+def rule_column(rules=RULES, host: F.Column | None = None, path: F.Column | None = None) -> F.Column:
     """Struct (rule, verdict) of the longest rule that fits; null where none does."""
-    found = None
+    found, at, below = None, F.col("host") if host is None else host, F.col("path") if path is None else path
     for host, path, verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r)):
-        fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
+        fits = ((at == host) | at.endswith(f".{host}")) & below.startswith(path)
         value = F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict"))
         found = F.when(fits, value) if found is None else found.when(fits, value)
     return found
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): pages of one host that link to another."""
-    targets = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER)))
-    links = pages.select(F.col("host").alias("src"), F.explode(targets).alias("dst")).where("dst <> '' and dst <> src")
-    return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
+def host_links(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(src, dst, node, n, a): n pages of host src link to a node of host dst, a = 1 if a rule allows one of the urls.
+
+    The node of a url is its host, but urls that a rule for some paths blocks are a node of their own.
+    """
+
+    def target(link):
+        host, path = F.translate(F.substring_index(link, "/", 1), UPPER, LOWER), F.regexp_extract(link, r"(?s)^[^/]*(.*)$", 1)
+        found, whole = rule_column(rules, host, path), F.coalesce(rule_column(rules, host, F.lit("/"))["verdict"] == "block", F.lit(False))
+        part = F.coalesce(found["verdict"] == "block", F.lit(False)) & ~whole
+        return F.struct(host.alias("dst"), F.when(part, F.concat(host, F.lit("|"), found["rule"])).otherwise(host).alias("node"), F.coalesce((found["verdict"] == "allow").cast("int"), F.lit(0)).alias("a"))
+
+    targets = F.transform(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))), target)
+    as_edges = F.array_distinct(F.transform("targets", lambda t: F.struct(t["dst"].alias("dst"), t["node"].alias("node"), F.lit(1.0).alias("n"), F.lit(0).alias("a"))))
+    as_allowed = F.array_distinct(F.transform(F.filter("targets", lambda t: t["a"] == 1), lambda t: F.struct(t["dst"].alias("dst"), t["node"].alias("node"), F.lit(0.0).alias("n"), F.lit(1).alias("a"))))
+    links = pages.select(F.col("host").alias("src"), targets.alias("targets")).select("src", F.explode(F.concat(as_edges, as_allowed)).alias("l"))
+    return links.where("l.dst <> ''").groupBy("src", "l.dst", "l.node").agg(F.sum("l.n").alias("n"), F.max("l.a").alias("a"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
@@ -87,11 +100,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     urls = split_urls(pages).withColumn("found", rule_column(rules))
+    links = checkpoint(host_links(urls, rules))
     allowed = F.max((F.col("found.verdict") == "allow").cast("int"))
-    hosts = urls.groupBy("host").agg(F.coalesce(allowed, F.lit(0)).alias("a")).withColumn("path", F.lit("/"))
-    hosts = hosts.select("host", "a", F.coalesce((rule_column(rules)["verdict"] == "block").cast("int"), F.lit(0)).alias("b"))
+    named = urls.groupBy("host").agg(F.coalesce(allowed, F.lit(0)).alias("a")).select("host", F.col("host").alias("node"), "a")
+    hosts = named.union(links.select(F.col("dst").alias("host"), "node", "a")).groupBy("host", "node").agg(F.max("a").alias("a")).withColumn("path", F.lit("/"))
+    blocked = F.coalesce(rule_column(rules)["verdict"] == "block", F.lit(False)) | (F.col("node") != F.col("host"))
+    hosts = hosts.select(F.col("node").alias("host"), "a", blocked.cast("int").alias("b"))
     seeds = checkpoint(hosts.select("host", (F.col("a") * (1 - F.col("b"))).cast("double").alias("good"), (F.col("b") * (1 - F.col("a"))).cast("double").alias("bad")))
-    ranks = propagate(host_edges(urls), seeds)
+    ranks = propagate(links.where("n > 0 and dst <> src").select("src", F.col("node").alias("dst"), "n"), seeds)
     bad = ranks.where((F.col("distrust") >= THRESHOLD * (1 - DAMPING)) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("by_links"))
     rows = urls.select("page_id", "host", "path", "found").join(bad, "host", "left")
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", "by_links", F.lit("allow")).alias("verdict"))

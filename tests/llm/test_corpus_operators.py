@@ -259,6 +259,12 @@ def test_distrust_runs_down_long_chains(spark):
     assert [k for k in range(1, 31) if got[k] == "block"] == [k for k in range(1, 31) if 0.85**k >= 0.02]
 
 
+def test_link_targets_and_blocked_paths_are_seeds(spark):
+    rows = [(1, "http://one.com/", hrefs("unseen.net/x")), (2, "http://two.com/", hrefs("example.com/de/7")), (3, "http://example.com/", ""), (4, "http://example.com/en/", hrefs("example.com/de/7")),
+            (5, "http://four.com/", hrefs("example.com/en/")), (6, "http://five.com/", hrefs("UNSEEN.net?q=/fr/"))]
+    assert verdicts(spark, rows) == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
+
+
 # ---- 5 embeddings, 6 SimHash
 
 
