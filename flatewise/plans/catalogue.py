@@ -331,8 +331,17 @@ def family_split(spark, sf):
 
 
 def _word_sketches(spark, sf, k=32):
-    docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.split(F.lower("text"), r"\s+").alias("w"))
-    shingles = docs.select("id", F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")).alias("t"))
+    return _shingle_sketches(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), k)
+
+
+def _document_sketches(spark, sf):
+    texts = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    return _shingle_sketches(texts, E.SKETCH)
+
+
+def _shingle_sketches(texts, k):
+    docs = spread(texts.select("id", F.split(F.lower("text"), r"\s+").alias("w")), "id")  # the exchange keeps the split out of the lambda, which would repeat it for every word
+    shingles = docs.select("id", F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in (-1, 0, 1)])).alias("t"))
     return E.sketch(shingles, "id", F.col("t"), k)
 
 
@@ -353,6 +362,17 @@ def near_duplicates(spark, sf):
     return E.similar_sketches(_word_sketches(spark, sf), "id", 0.5, 32)
 
 
+@query()
+def document_sketch(spark, sf):
+    s = _document_sketches(spark, sf)
+    return s.select("id", F.size("sketch").alias("n"), F.col("sketch")[0].alias("least"))
+
+
+@query()
+def document_near_duplicates(spark, sf):
+    return E.similar_sketches(_document_sketches(spark, sf), "id")
+
+
 def _part_names(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("folder"), F.col("p_name").alias("stem"))
 

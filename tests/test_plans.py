@@ -73,6 +73,33 @@ def test_similar_sketches_are_all_pairs_in_large_families(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_near_copies_among_documents_match_brute_force(spark, tmp_path):
+    import hashlib
+    import random
+
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(900)}" for _ in range(rng.choice([2, 40, 300]))] for _ in range(12)]
+    texts = {}
+    for i in range(72):
+        words = list(base[i % 12])
+        for _ in range(rng.randint(0, len(words) // 12)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(900)}"
+        texts[i] = " ".join(words)
+    spark.createDataFrame([*texts.items(), (900, None), (901, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sketch(text):
+        w = text.lower().split()
+        return sorted({hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest() for i in range(max(1, len(w) - 2))})[:128]
+
+    s = {i: sketch(t) for i, t in texts.items()}
+    got = {r["id"]: (r["n"], r["least"]) for r in catalogue.queries()["document_sketch"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), x[0]) for i, x in s.items()} and max(len(x) for x in s.values()) == 128
+    u = lambda a, b: sorted({*s[a], *s[b]})[:128]
+    want = {(a, b) for a in s for b in s if a < b and len({*u(a, b)} & {*s[a]} & {*s[b]}) / len(u(a, b)) >= 0.5}
+    found = catalogue.queries()["document_near_duplicates"](spark, str(tmp_path)).collect()
+    assert len(found) == len(want) > 50 and {tuple(r) for r in found} == want
+
+
 def test_statistics(spark):
     row = spark.createDataFrame([([3, 1, 2, 2],), ([],), ([5],)], "a array<int>")
     got = row.select(S.mean(F.col("a")), S.median(F.col("a")), S.stdev(F.col("a")), S.entropy(F.col("a")), S.gini(F.col("a")), S.first_top(F.col("a"))).collect()
