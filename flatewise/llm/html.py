@@ -4,7 +4,8 @@ First pass, by page: the containers of a page are scored by the text of the bloc
 count, half of it goes to the enclosing container), and the best few vote with their share of the page's score.  A
 container is named by its generalised path: tags and classes from the root, with digits in class names blanked.  The
 votes are added for each (host, path) in Spark.  Second pass: every page is extracted again with the first of its
-host's winning paths that it has; a page with none uses its own best container.
+host's winning paths that it has; a page with none uses its own best container.  A container inside an article or main
+stands for the whole of it, so headings, leads and sibling sections stay.
 
 Site parts (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are known by
 tag, role or the words of class and id, and are left out inside containers too.
@@ -75,6 +76,7 @@ class Page:
         self.parent, self.tag, self.path, self.site = [-1], [""], [""], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.bonus = [0.0]
+        self.whole = [False]
         self.scan(source)
 
     def open(self, parent: int, tag: str, attributes: str) -> int:
@@ -113,6 +115,7 @@ class Page:
         self.path.append(f"{self.path[parent]}/{label}")
         self.site.append(site)
         self.bonus.append(bonus)
+        self.whole.append(bonus >= 1.0)
         return len(self.tag) - 1
 
     def scan(self, source: str) -> None:
@@ -229,14 +232,27 @@ class Page:
         found = self.scores()
         return min(found, key=lambda p: (-found[p], p)) if found else None
 
+    def widened(self, k: int, path: str | None) -> int:
+        """The nearest article or main around the element of a path that holds k, else that element."""
+        while k > 0 and self.path[k] != path:
+            k = self.parent[k]
+        above = k
+        while above > 0 and not self.whole[above]:
+            above = self.parent[above]
+        return above or k
+
     def text(self, path: str | None) -> str | None:
-        """Blocks inside the elements of a path, one a line; None if the page has no such element with text."""
+        """Blocks inside the elements of a path and the article or main around each, one a line; None if the page has no such element with text."""
         inside = [False] * len(self.tag)
         for k in range(1, len(self.tag)):
             inside[k] = inside[self.parent[k]] or self.path[k] == path
         inside[0] = path == ""
         if path == "":
             inside = [True] * len(self.tag)
+        found = {k for k, _, _ in self.blocks if inside[k] and not self.site[k]}
+        for top in {self.widened(k, path) for k in found}:
+            for k in range(top, len(self.tag)):
+                inside[k] = inside[k] or k == top or inside[self.parent[k]]
         lines = [text for k, text, _ in self.blocks if inside[k] and not self.site[k]]
         return "\n".join(lines) if lines else None
 

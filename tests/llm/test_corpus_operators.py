@@ -217,6 +217,17 @@ def test_extraction(spark):
     assert html.extract_pages(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
+def test_nested_content_keeps_the_whole_article(spark, tag):
+    body = "".join(f"<p>{'long body text ' * 20}{i}</p>" for i in range(3))
+    flat = f"<{tag}><h1>Title</h1><p>Lead</p><div class=content>{body}</div><section class=more><p>Rest</p></section><div class=share>tweet</div></{tag.split()[0]}>"
+    deep = f"<{tag}><h1>Title</h1><div class=outer><div class=inner>{body}</div></div><div class=other><p>Rest</p></div></{tag.split()[0]}>"
+    df = spark.createDataFrame([(i, f"http://{'ab'[i % 2]}.com/{i}", PAGE.format([flat, deep][i % 2])) for i in range(4)], "page_id long, url string, html string")
+    lines = [f"{'long body text ' * 20}{i}" for i in range(3)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract_pages(df).collect()}
+    assert got[0] == got[2] == ["Title", "Lead", *lines, "Rest"] and got[1] == got[3] == ["Title", *lines, "Rest"]
+
+
 def test_salted_path_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.com/{i}", PAGE.format(f"<article><p>text {i}</article>")) for i in range(9)], "page_id long, url string, html string")
     plain = sorted(map(tuple, html.extract_pages(df).collect()))
