@@ -32,10 +32,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is configured (tests) make a private one."""
+    """Use the cluster's shared checkpoint folder; only a local session without one (tests) gets a private one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="flatewise-checkpoint-"))
 
 
@@ -187,6 +189,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a first column __key, unique for different documents and in their order.
+
+    The key is doc_id where that is unique and never null.  Otherwise documents are numbered: nulls first, then by
+    doc_id, rows of one doc_id by the MD5 of their text; rows that agree in both are one document.  Numbers come from a
+    sort by ranges and a count of each range, so no id, however often it occurs, has its rows in one task.
+    """
+    key = F.col("doc_id").cast("long")
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).take(1):
+        return docs.select(key.alias("__key"), "*")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    n = shuffle_width(docs.sparkSession)
+    distinct = docs.select(key.alias("__id"), digest.alias("__digest")).distinct()
+    ranged = checkpoint(distinct.repartitionByRange(n, "__id", "__digest").withColumn("__range", F.spark_partition_id()))
+    counts = {r[0]: r[1] for r in ranged.groupBy("__range").count().collect()}
+    before = [sum(c for p, c in counts.items() if p < k) for k in range(n)]
+
+    def numbered(batches):
+        at = None
+        for batch in batches:
+            if batch.num_rows:
+                at = before[batch.column(2)[0].as_py()] if at is None else at
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.arange(at, at + batch.num_rows))], names=["__id", "__digest", "__key"])
+                at += batch.num_rows
+
+    ordered = ranged.repartition(n, F.element_at(F.lit(np.array(partition_keys(n), dtype=np.int32)), F.col("__range") + 1)).sortWithinPartitions("__id", "__digest")
+    keys = checkpoint(ordered.mapInArrow(numbered, "__id long, __digest string, __key long"))
+    rows = docs.withColumns({"__id": key, "__digest": digest})
+    same = rows["__id"].eqNullSafe(keys["__id"]) & (rows["__digest"] == keys["__digest"])
+    return checkpoint(rows.join(keys, same).select("__key", *[docs[c] for c in docs.columns]))
+
+
 def plain_names(df: DataFrame) -> DataFrame:
     """`df` with all columns but doc_id, text and n_chars renamed, so that none clashes with a working column."""
     return df.toDF(*[n if n in ("doc_id", "text", "n_chars") else f"c{i}_" for i, n in enumerate(df.columns)])

@@ -4,20 +4,23 @@ A line is the set of its words (runs of bytes other than ASCII white space).  A
 corpus (smaller doc_id, or earlier in the same document) has Jaccard similarity of at least 0.8 with it; lines are
 judged on the input.  Lines without words stay.
 
-1. *Rarity.*  Word frequencies are counted over all lines in a table of fixed size (`BUCKETS`).  A word's code is its
-   quantised frequency above its 36-bit hash, so codes sort from rare to common and the order is the same everywhere.
-2. *Equal sets* meet by a hash of the set; all but the first go.
+1. *Rarity.*  Word frequencies are counted over all lines in a table of fixed size (`BUCKETS`).  The words of a line
+   are ordered by quantised frequency, then by 64-bit hash, so the order is the same everywhere.
+2. *Equal sets* meet by a 128-bit hash of the set; all but the first go.
 3. *Prefixes.*  Sets that overlap enough share one of their rarest |s| - ceil(0.8 |s|) + 1 words.  Records of the
-   prefix words meet by word; pairs must pass the length filter, the positional filter and a bitmap bound on the
-   symmetric difference.  A word whose records are many (found on a sample; it steers the dealing only) is dealt into
-   blocks, and pairs of blocks are separate work items.
-4. *Verification.*  A record is first offered its word's earliest candidate and the one with the nearest bitmap; of a
-   line's offers the `TESTED` best supported are verified: the words of both lines are fetched from their texts and
-   Jaccard is computed.  Lines that this does not settle are then compared with all their other candidates.
-
-Defined cases: null and empty texts are one line without words; rows with one doc_id are ordered by text and equal
-ones are the same document; a null doc_id sorts before all; columns other than doc_id and text are passed on by
-`remove_lines`; an empty table gives an empty table.
+   prefix words meet by word; pairs must pass the length filter, the positional filter and a bound on the symmetric
+   difference by 128 parity bits.  A record looks through its word's earlier lines from the first on and stops at
+   its second fitting candidate.  Words whose records are many (by a table of counts over a sample of documents, which
+   steers the dealing only) are dealt into blocks, and pairs of blocks are separate work items.
+4. *Verification.*  Of a line's candidates the `TESTED` best supported are verified first: both lines are fetched from
+   their texts and their words are compared.  Lines that this does not settle are then compared with all their other
+   candidates, in waves over the lines fetched for them once.
+
+Hashes decide nothing but equality of whole sets (128 bits) and of a word within one line (64 bits).
+
+Defined cases: null and empty texts are one line without words; rows with one doc_id are ordered by the MD5 of their
+text and equal ones are the same document; a null doc_id sorts before all; columns other than doc_id and text are
+passed on by `remove_lines`; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,30 +33,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, mix64, pack, plain_names, read_slots, segments, shuffle_width, slices, small_batches, to_blobs, trim, unpack
-from flatewise.llm.suffix import BASE, BYTE_HASH, INVERSE, doc_slot, keyed, power_table, text_blobs
+from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, keyed, mix64, pack, plain_names, read_slots, segments, shuffle_width, small_batches, to_blobs, trim, unpack
+from flatewise.llm.suffix import BASE, BYTE_HASH, INVERSE, doc_slot, power_table, text_blobs
 
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
-HASH_BITS = 36
+CODE_BITS = 36
 BATCH_BYTES = 1_000_000
 FLUSH = 250_000
 TESTED = 2
-KNOWN_DOCS = 200_000
 WAVE_PAIRS = 30_000
 SAMPLE_SHARE = 64
-HOT_RECORDS = 300
 BLOCK = 8192
-MAX_HOT = 4096
 U = np.uint64
 
-LINE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("line", "<u4")])
-PREFIX = np.dtype([("word", "<u8"), ("i", "<u2"), ("j", "<u2"), ("side", "u1"), ("set", "<u8"), ("bitmap", "<u4"), ("size", "<u4"), ("place", "<u2"), ("doc", "<i8"), ("line", "<u4")])
+LINE = np.dtype([("set", "<u8"), ("set2", "<u8"), ("doc", "<i8"), ("line", "<u4")])
+PREFIX = np.dtype([("word", "<u8"), ("i", "<u4"), ("j", "<u4"), ("side", "u1"), ("set", "<u8"), ("even", "<u8"), ("odd", "<u8"), ("size", "<u4"), ("place", "<u4"), ("doc", "<i8"), ("line", "<u4")])
 OFFER = np.dtype([("doc", "<i8"), ("line", "<u4"), ("to_doc", "<i8"), ("to_line", "<u4"), ("apart", "u1")])
 PAIR = np.dtype([("doc", "<i8"), ("line", "<u4"), ("to_doc", "<i8"), ("to_line", "<u4")])
-
-
+REQUEST = np.dtype([("doc", "<i8"), ("line", "<u4"), ("slot", "<i4")])
 
 
 def need(a, b):
@@ -61,6 +60,31 @@ def need(a, b):
     return -(-(NUMERATOR * (a + b)) // (NUMERATOR + DENOMINATOR))
 
 
+def pieces(batch: pa.RecordBatch):
+    """Lists of (key, number of the first line, bytes) of about `BATCH_BYTES`; a longer text is cut between lines."""
+    held, total = [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        data, at, line = (text or "").encode("utf-8", "replace"), 0, 0
+        while True:
+            stop = len(data)
+            if stop - at > BATCH_BYTES:
+                cut = data.rfind(b"\n", at, at + BATCH_BYTES)
+                stop = cut if cut >= 0 else data.find(b"\n", at + BATCH_BYTES)
+                stop = stop if stop >= 0 else len(data)
+            part = data[at:stop]
+            if total + len(part) > BATCH_BYTES and held:
+                yield held
+                held, total = [], 0
+            held.append((key, line, part))
+            total += len(part) + 1
+            if stop == len(data):
+                break
+            line += part.count(b"\n") + 1
+            at = stop + 1
+    if held:
+        yield held
+
+
 def line_words(texts: list[bytes]):
     """Lines of some texts: (text number, line number in it) of every line, and (line, word hash) of every word."""
     counts = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
@@ -78,109 +102,129 @@ def line_words(texts: list[bytes]):
 
 
 def bucket_of(word: np.ndarray) -> np.ndarray:
-    return (word >> U(HASH_BITS)).astype(np.int64) % BUCKETS
+    return (word >> U(CODE_BITS)).astype(np.int64) % BUCKETS
 
 
-def rarity_batches(batches):
-    """Word counts by bucket, as one blob for each chunk of buckets and task."""
+def counted(batches, words_of):
+    """Counts by bucket of the words of all pieces, as one blob for each chunk of buckets and task."""
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
-        for a, b in slices([len(t) for t in texts], BATCH_BYTES):
-            _, _, _, word = line_words(texts[a:b])
-            total += np.bincount(bucket_of(word), minlength=BUCKETS)
+        for part in pieces(batch):
+            total += np.bincount(bucket_of(words_of(part)), minlength=BUCKETS)
     trim()
     if total.any():
         parts = total.reshape(-1, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([pack(p) for p in parts], pa.binary())], names=["slot", "blob"])
 
 
-def rarity_sums(batches):
+def chunk_sums(batches):
     for slot, values in read_slots(batches, np.int64):
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([values.reshape(-1, CHUNK).sum(axis=0).tobytes()], pa.binary())], names=["slot", "blob"])
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """Quantised frequency (one byte) of every bucket; a table of fixed size."""
-    sums = exchange_blobs(texts.select("text").mapInArrow(rarity_batches, "slot int, blob binary")).mapInArrow(rarity_sums, "slot int, blob binary")
+def count_table(rows: DataFrame, words_of) -> np.ndarray:
+    """Word counts of rows (__key, text) by bucket; a table of fixed size."""
+    blobs = rows.mapInArrow(lambda batches: counted(batches, words_of), "slot int, blob binary")
     total = np.zeros(BUCKETS, np.int64)
-    for slot, blob in sums.collect():
+    for slot, blob in exchange_blobs(blobs).mapInArrow(chunk_sums, "slot int, blob binary").collect():
         total[slot * CHUNK : (slot + 1) * CHUNK] = np.frombuffer(blob, np.int64)
+    return total
+
+
+def rarity(rows: DataFrame) -> np.ndarray:
+    """Quantised frequency (one byte) of every bucket."""
+    total = count_table(rows, lambda part: line_words([t for *_, t in part])[3])
     return np.minimum(255, np.floor(8 * np.log2(total + 1))).astype(np.uint8)
 
 
+def block_table(rows: DataFrame, frequency: np.ndarray) -> np.ndarray:
+    """Number of blocks into which the prefix records of every bucket's words are dealt, from a sample of documents."""
+    sample = rows.where(F.pmod(F.xxhash64("__key"), F.lit(SAMPLE_SHARE)) == 0)
+    total = count_table(sample, lambda part: Sets(part, frequency).prefixes()["word"])
+    return np.maximum(1, -(-total * SAMPLE_SHARE // BLOCK)).astype(np.uint32)
+
+
 class Sets:
-    """Word sets of the lines of some texts: codes of line k are codes[first[k] : first[k] + size[k]], rare first."""
-
-    def __init__(self, texts: list[bytes], keys: list[int], frequency: np.ndarray):
-        text_of, line_no, line, word = line_words(texts)
-        code = (frequency[bucket_of(word)].astype(U) << U(HASH_BITS)) | (word & U((1 << HASH_BITS) - 1))
-        packed = np.unique((line.astype(U) << U(HASH_BITS + 8)) | code)
-        self.line_of = (packed >> U(HASH_BITS + 8)).astype(np.int64)
-        self.codes = packed & U((1 << (HASH_BITS + 8)) - 1)
-        self.size = np.bincount(self.line_of, minlength=len(text_of))
+    """Word sets of the lines of some pieces: words of line k are words[first[k] : first[k] + size[k]], rare first."""
+
+    def __init__(self, part: list[tuple[int, int, bytes]], frequency: np.ndarray):
+        text_of, line_no, line, word = line_words([t for *_, t in part])
+        code = (line.astype(U) << U(CODE_BITS + 8)) | (frequency[bucket_of(word)].astype(U) << U(CODE_BITS)) | (word & U((1 << CODE_BITS) - 1))
+        order = np.argsort(code)
+        code, word = code[order], word[order]
+        fresh = np.ones(len(code), bool)
+        fresh[1:] = word[1:] != word[:-1]
+        same = np.zeros(len(code), bool)
+        same[1:] = code[1:] == code[:-1]
+        if (same & fresh).any():  # different words with one code: order them by the whole hash
+            order = np.lexsort((word, code))
+            code, word = code[order], word[order]
+            fresh[1:] = word[1:] != word[:-1]
+        fresh[1:] |= code[1:] != code[:-1]
+        self.words = word[fresh]
+        line = (code[fresh] >> U(CODE_BITS + 8)).astype(np.int64)
+        self.size = np.bincount(line, minlength=len(text_of))
         self.first = np.cumsum(self.size) - self.size
-        self.doc = np.array(keys, np.int64)[text_of]
-        self.line = line_no
-        self.hash = np.zeros(len(text_of), U)
-        filled = np.flatnonzero(self.size)
-        if len(filled):
-            self.hash[filled] = mix64(np.add.reduceat(mix64(self.codes + U(MIX_STEP)), self.first[filled]) + self.size[filled].astype(U))
+        self.doc = np.array([k for k, *_ in part], np.int64)[text_of]
+        self.line = line_no + np.array([n for _, n, _ in part], np.int64)[text_of]
+        self.filled = np.flatnonzero(self.size)
+        self.set, self.set2 = (self.folded(np.add, mix64(self.words ^ U(salt))) for salt in (MIX_STEP, 0xD6E8FEB86659FD93))
+
+    def folded(self, ufunc, values: np.ndarray) -> np.ndarray:
+        """`values` of the words of each line combined, as 64-bit numbers."""
+        out = np.zeros(len(self.size), U)
+        if len(self.filled):
+            out[self.filled] = ufunc.reduceat(values, self.first[self.filled])
+        return out
 
     def lines(self) -> np.ndarray:
-        some = np.flatnonzero(self.size)
+        some = self.filled
         out = np.empty(len(some), LINE)
-        out["set"], out["doc"], out["line"] = self.hash[some], self.doc[some], self.line[some]
+        out["set"], out["set2"], out["doc"], out["line"] = self.set[some], self.set2[some], self.doc[some], self.line[some]
         return out
 
     def prefixes(self) -> np.ndarray:
         """Prefix records of the lines of 4 words or more (smaller sets only match equal ones), each set once."""
         some = np.flatnonzero(self.size >= NUMERATOR)
-        order = some[np.lexsort((self.line[some], self.doc[some], self.hash[some]))]
+        order = some[np.lexsort((self.line[some], self.doc[some], self.set2[some], self.set[some]))]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = self.hash[order][1:] != self.hash[order][:-1]
+        fresh[1:] = (self.set[order][1:] != self.set[order][:-1]) | (self.set2[order][1:] != self.set2[order][:-1])
         some = order[fresh]
         size = self.size[some]
         length = size - -(-NUMERATOR * size // DENOMINATOR) + 1
         run, place = segments(length)
-        bits = np.zeros(len(self.size), np.uint32)
-        filled = np.flatnonzero(self.size)
-        if len(filled):
-            bits[filled] = np.bitwise_xor.reduceat(np.uint32(1) << (mix64(self.codes) & U(31)).astype(np.uint32), self.first[filled])
+        bit = self.words >> U(7) & U(127)
+        flag = U(1) << (bit & U(63))
+        even, odd = (self.folded(np.bitwise_xor, np.where(bit >> U(6) == U(half), flag, U(0))) for half in (0, 1))
         out = np.zeros(len(run), PREFIX)
         owner = some[run]
-        out["word"] = self.codes[self.first[owner] + place]
-        out["set"], out["bitmap"], out["size"], out["place"] = self.hash[owner], bits[owner], self.size[owner], np.minimum(place, 65535)
+        out["word"] = self.words[self.first[owner] + place]
+        out["set"], out["even"], out["odd"], out["size"], out["place"] = self.set[owner], even[owner], odd[owner], self.size[owner], place
         out["doc"], out["line"] = self.doc[owner], self.line[owner]
         return out
 
 
 def sets_of(batches, frequency: np.ndarray):
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-        for a, b in slices([len(t) for t in texts], BATCH_BYTES):
-            yield Sets(texts[a:b], keys[a:b], frequency)
+        for part in pieces(batch):
+            yield Sets(part, frequency)
     trim()
 
 
-def spread(records: np.ndarray, hot_words: np.ndarray, hot_blocks: np.ndarray) -> np.ndarray:
-    """Records of hot words, once for each pair of blocks that their block takes part in."""
-    if not len(hot_words) or not len(records):
-        return records
-    at = np.minimum(np.searchsorted(hot_words, records["word"]), len(hot_words) - 1)
-    hot = hot_words[at] == records["word"]
+def spread(records: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Records of words dealt into blocks, once for each pair of blocks that their block takes part in."""
+    n = blocks[bucket_of(records["word"])].astype(np.int64)
+    hot = n > 1
     if not hot.any():
         return records
-    n = hot_blocks[at[hot]].astype(np.int64)
-    rows, other = segments(n)
+    rows, other = segments(n[hot])
     more = records[hot][rows]
-    block = (mix64(more["set"]) % n[rows].astype(U)).astype(np.int64)
+    block = (mix64(more["set"]) % n[hot][rows].astype(U)).astype(np.int64)
     more["i"], more["j"], more["side"] = np.minimum(block, other), np.maximum(block, other), block > other
     return np.concatenate([records[~hot], more])
 
 
-def record_batches(frequency: np.ndarray, hot_words: np.ndarray, hot_blocks: np.ndarray, slots: int):
+def record_batches(frequency: np.ndarray, blocks: np.ndarray, slots: int):
     """Lines by set (slots from `slots`) and prefix records by word (slots from 0)."""
 
     def run(batches):
@@ -191,11 +235,8 @@ def record_batches(frequency: np.ndarray, hot_words: np.ndarray, hot_blocks: np.
             yield to_blobs((found["set"] % U(slots)).astype(np.int32) + np.int32(slots), found)
             records = np.concatenate(prefixes)
             if len(records):
-                records = records[np.lexsort((records["line"], records["doc"], records["set"], records["word"]))]
-                fresh = np.ones(len(records), bool)
-                fresh[1:] = (records["word"][1:] != records["word"][:-1]) | (records["set"][1:] != records["set"][:-1])
-                records = spread(records[fresh], hot_words, hot_blocks)
-                yield to_blobs(item_slot(records, slots), records)
+                records = spread(records, blocks)
+                yield to_blobs((item_key(records) % U(slots)).astype(np.int32), records)
 
         for sets in sets_of(batches, frequency):
             lines.append(sets.lines())
@@ -210,19 +251,8 @@ def record_batches(frequency: np.ndarray, hot_words: np.ndarray, hot_blocks: np.
     return run
 
 
-def item_slot(records: np.ndarray, slots: int) -> np.ndarray:
-    key = records["word"] + records["i"].astype(U) * U(MIX_STEP) + records["j"].astype(U) * U(0xC4CEB9FE1A85EC53)
-    return (mix64(key) % U(slots)).astype(np.int32)
-
-
-def hot_batches(frequency: np.ndarray):
-    def run(batches):
-        for sets in sets_of(batches, frequency):
-            word, count = np.unique(sets.prefixes()["word"], return_counts=True)
-            some = count > 1
-            yield pa.RecordBatch.from_arrays([pa.array(word[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=["word", "n"])
-
-    return run
+def item_key(records: np.ndarray) -> np.ndarray:
+    return mix64(records["word"] + records["i"].astype(U) * U(MIX_STEP) + records["j"].astype(U) * U(0xC4CEB9FE1A85EC53))
 
 
 def pair_rows(records: np.ndarray, y: np.ndarray, x: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -232,120 +262,116 @@ def pair_rows(records: np.ndarray, y: np.ndarray, x: np.ndarray, apart: np.ndarr
     return out
 
 
-def fitting(records: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of index pairs (y later than x, same word): which lengths, positions and bitmaps allow the similarity, and the
-    distance of their bitmaps."""
-    a, b = records["size"][x].astype(np.int64), records["size"][y].astype(np.int64)
-    least = need(a, b)
-    apart = np.bitwise_count(records["bitmap"][x] ^ records["bitmap"][y]).astype(np.int64)
-    ok = (NUMERATOR * np.maximum(a, b) <= DENOMINATOR * np.minimum(a, b)) & (apart <= a + b - 2 * least)
-    ok &= np.minimum(a - records["place"][x], b - records["place"][y]) >= least
-    ok &= (records["i"][x] == records["j"][x]) | (records["side"][x] != records["side"][y])
-    return ok, apart
-
-
-def distinct_records(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records of words that occur more than once, each set once a word (its first line), sorted by work item and line;
-    and the size of the item each belongs to."""
-    key = mix64(raw["word"] + raw["i"].astype(U) * U(MIX_STEP) + raw["j"].astype(U) * U(0xC4CEB9FE1A85EC53))
-    sorted_key = np.sort(key)
-    common = np.unique(sorted_key[1:][sorted_key[1:] == sorted_key[:-1]])
-    if not len(common):
-        return raw[:0], np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-    some = common[at] == key
-    raw, item = raw[some], at[some]
-    own = mix64(item.astype(U) * U(MIX_STEP) ^ raw["set"])
-    order = np.lexsort((raw["line"], raw["doc"], own))
+class Columns:
+    """The compared columns of records, each by itself for fast access."""
+
+    def __init__(self, records: np.ndarray):
+        self.size, self.place = records["size"].astype(np.int64), records["place"].astype(np.int64)
+        self.even, self.odd = records["even"].copy(), records["odd"].copy()
+        self.blocks = None if not records["j"].any() else (records["i"] == records["j"], records["side"].copy())
+
+    def fitting(self, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of index pairs (y later than x, same item): those whose lengths, positions and parities allow the similarity,
+        and how far their parities are apart."""
+        a, b = self.size[x], self.size[y]
+        least = need(a, b)
+        ok = np.minimum(a - self.place[x], b - self.place[y]) >= least
+        ok &= NUMERATOR * np.maximum(a, b) <= DENOMINATOR * np.minimum(a, b)
+        if self.blocks is not None:
+            ok &= self.blocks[0][x] | (self.blocks[1][x] != self.blocks[1][y])
+        at = np.flatnonzero(ok)
+        x, y = x[at], y[at]
+        apart = np.bitwise_count(self.even[x] ^ self.even[y]).astype(np.int64) + np.bitwise_count(self.odd[x] ^ self.odd[y])
+        good = apart <= (a + b - 2 * least)[at]
+        return at[good], apart[good]
+
+
+def distinct_records(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records of items that hold more than one set, each set once an item (its first line), sorted by item and line;
+    the place of each in its item; and the item sizes."""
+    key = item_key(raw)
+    order = np.argsort(key)
     fresh = np.ones(len(order), bool)
-    fresh[1:] = own[order][1:] != own[order][:-1]
-    order = order[fresh]
-    order = order[np.lexsort((raw["line"][order], raw["doc"][order], item[order]))]
-    size = np.bincount(item[order], minlength=len(common))[item[order]]
-    return raw[order][size > 1], size[size > 1]
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    item = np.cumsum(fresh) - 1
+    several = np.bincount(item)[item] > 1
+    raw, item = raw[order[several]], item[several]
+    order = np.lexsort((raw["line"], raw["doc"], item))
+    raw, item = raw[order], item[order]
+    own = mix64(item.astype(U) * U(MIX_STEP) ^ raw["set"])
+    order = np.argsort(own, kind="stable")
+    again = np.zeros(len(raw), bool)
+    again[order[1:]] = own[order[1:]] == own[order[:-1]]
+    raw, item = raw[~again], item[~again]
+    size = np.bincount(item, minlength=1)
+    keep = size[item] > 1
+    size = size[size > 1]
+    return raw[keep], segments(size)[1], size
 
 
-def offers(records: np.ndarray, size: np.ndarray, everything: bool = False, asking: np.ndarray | None = None):
-    """Offers of earlier lines to lines, and a mask of the records that were not offered all of theirs.
+def offers(records: np.ndarray, place: np.ndarray, asking: np.ndarray | None = None):
+    """Candidates of records among the earlier ones of their item, and a mask of the records that have yet more.
 
-    A record is offered its earliest candidate and the one with the nearest bitmap; with `everything`, all
-    candidates, to the records of `asking`.
+    A record stops looking at its second candidate; those of `asking`, where given, look through all.
     """
-    n = len(records)
-    bounds, k = [], 0
-    while k < n:
-        bounds.append(k)
-        k += int(size[k])
-    starts = np.array(bounds, np.int64)
-    start = np.repeat(starts, size[starts])
-    place = np.arange(n) - start
-    first, best, best_apart, count = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, 1 << 30, np.int64), np.zeros(n, np.int64)
-    out = []
-    lag, rows = 1, np.flatnonzero(place >= 1)
-    while len(rows):  # the record `lag` before, farther and farther back, for all items at once
-        y, x = rows, rows - lag
-        if asking is not None:
-            keep = asking[y]
-            y, x = y[keep], x[keep]
-        ok, apart = fitting(records, y, x)
-        y, x, apart = y[ok], x[ok], apart[ok]
-        if everything:
-            out.append(pair_rows(records, y, x, apart))
-        else:
-            count[y] += 1
-            first[y] = x
-            nearer = apart <= best_apart[y]
-            best[y[nearer]], best_apart[y[nearer]] = x[nearer], apart[nearer]
-        lag += 1
-        rows = rows[place[rows] >= lag]
-    if everything:
-        return np.concatenate(out) if out else np.empty(0, OFFER), np.zeros(n, bool)
-    y = np.flatnonzero(first >= 0)
-    two = y[best[y] != first[y]]
-    far = np.bitwise_count(records["bitmap"][y] ^ records["bitmap"][first[y]]).astype(np.int64)
-    out = np.concatenate([pair_rows(records, y, first[y], far), pair_rows(records, two, best[two], best_apart[two])])
-    return out, count > 1 + (best != first)
+    columns, seen, more, out = Columns(records), np.zeros(len(records), np.int8), np.zeros(len(records), bool), []
+    step, rows = 0, np.flatnonzero(place > 0 if asking is None else (place > 0) & asking)
+    while len(rows):
+        x = rows - place[rows] + step
+        at, apart = columns.fitting(rows, x)
+        if len(at):
+            y = rows[at]
+            if asking is None:
+                third = seen[y] >= TESTED
+                more[y[third]] = True
+                seen[y] += 1
+                out.append(pair_rows(records, y[~third], x[at][~third], apart[~third]))
+                rows = rows[~more[rows]]
+            else:
+                out.append(pair_rows(records, y, x[at], apart))
+        step += 1
+        rows = rows[place[rows] > step]
+    return np.concatenate(out) if out else np.empty(0, OFFER), more
 
 
 GONE, OFFERED, MORE, GROUP = 0, 1, 2, 3
 TEST, RESERVE = 0, 1
 
 
-def squeezed(records: np.ndarray) -> bytes:
-    return zstandard.compress(pack(records), 3)
-
-
 def tagged(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * batch.num_rows, pa.int8()), *batch.columns], names=["kind", "slot", "blob"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * batch.num_rows, pa.int8()), batch.column(1)], names=["slot", "kind", "blob"])
 
 
 def meet_batches(slots: int):
-    """Equal sets: later lines, by document.  Prefix records: candidate pairs by document of the later line; where a dense
-    group held some back, those lines and the item's records, by the slot they came from."""
+    """Equal sets: later lines, by document.  Prefix records: candidate pairs by document of the later line; lines that have
+    more candidates than they were given (with this slot), likewise; and the records of their items, by this slot."""
 
     def run(batches):
         for slot, raw in read_slots(batches, np.uint8):
             if slot >= slots:
                 lines = raw.view(LINE)
-                lines = lines[np.lexsort((lines["line"], lines["doc"], lines["set"]))]
+                lines = lines[np.lexsort((lines["line"], lines["doc"], lines["set2"], lines["set"]))]
                 again = np.zeros(len(lines), bool)
-                again[1:] = lines["set"][1:] == lines["set"][:-1]
+                again[1:] = (lines["set"][1:] == lines["set"][:-1]) & (lines["set2"][1:] == lines["set2"][:-1])
                 gone = np.zeros(int(again.sum()), PAIR)
                 gone["doc"], gone["line"] = lines["doc"][again], lines["line"][again]
                 if len(gone):
                     yield tagged(GONE, to_blobs(doc_slot(gone["doc"], slots), gone))
                 continue
-            records, size = distinct_records(raw.view(PREFIX))
+            records, place, size = distinct_records(raw.view(PREFIX))
             if not len(records):
                 continue
-            offered, more = offers(records, size)
+            offered, more = offers(records, place)
             if len(offered):
                 yield tagged(OFFERED, to_blobs(doc_slot(offered["doc"], slots), offered))
             if more.any():
-                item = np.cumsum(np.concatenate([[True], (records["word"][1:] != records["word"][:-1]) | (records["i"][1:] != records["i"][:-1]) | (records["j"][1:] != records["j"][:-1])])) - 1
+                item = np.repeat(np.arange(len(size)), size)
                 kept = records[np.isin(item, item[more])]
-                yield tagged(MORE, pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([squeezed(records[more])], pa.binary())], names=["slot", "blob"]))
-                yield tagged(GROUP, pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([squeezed(kept)], pa.binary())], names=["slot", "blob"]))
+                lines = np.empty(int(more.sum()), REQUEST)
+                lines["doc"], lines["line"], lines["slot"] = records["doc"][more], records["line"][more], slot
+                lines = np.unique(lines)
+                yield tagged(MORE, to_blobs(doc_slot(lines["doc"], slots), lines))
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([GROUP], pa.int8()), pa.array([zstandard.compress(pack(kept), 3)], pa.binary())], names=["slot", "kind", "blob"])
 
     return run
 
@@ -355,11 +381,12 @@ def choose_batches(batches):
     for slot, offered in read_slots(batches, OFFER):
         order = np.lexsort((offered["to_line"], offered["to_doc"], offered["line"], offered["doc"]))
         offered = offered[order]
-        ids = offered[["doc", "line", "to_doc", "to_line"]]
-        fresh = np.ones(len(ids), bool)
-        fresh[1:] = ids[1:] != ids[:-1]
+        fresh = np.ones(len(offered), bool)
+        fresh[1:] = False
+        for name in PAIR.names:
+            fresh[1:] |= offered[name][1:] != offered[name][:-1]
         at = np.flatnonzero(fresh)
-        support = np.diff(np.concatenate([at, [len(ids)]]))
+        support = np.diff(np.concatenate([at, [len(offered)]]))
         pairs, apart = offered[at], offered["apart"][at]
         order = np.lexsort((pairs["to_line"], pairs["to_doc"], apart, -support, pairs["line"], pairs["doc"]))
         pairs = pairs[order]
@@ -369,77 +396,117 @@ def choose_batches(batches):
         rank = np.arange(len(pairs)) - np.repeat(at, np.diff(np.concatenate([at, [len(pairs)]])))
         for kind, part in ((TEST, pairs[rank < TESTED]), (RESERVE, pairs[rank >= TESTED])):
             if len(part):
-                out = np.empty(len(part), PAIR)
-                for name in PAIR.names:
-                    out[name] = part[name]
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([slot], pa.int32()), pa.array([pack(out)], pa.binary())], names=["kind", "slot", "blob"])
+                yield tagged(kind, to_blobs(np.full(len(part), slot, np.int32), as_pairs(part)))
+
+
+def as_pairs(records: np.ndarray) -> np.ndarray:
+    out = np.empty(len(records), PAIR)
+    for name in PAIR.names:
+        out[name] = records[name]
+    return out
+
+
+def pairs_in(batches, wave: int = 0, waves: int = 1):
+    """Distinct pairs of each batch whose later line belongs to the wave."""
+    for batch in batches:
+        blobs = [unpack(b) for b in batch.column(1).to_pylist()]
+        pairs = np.unique(np.frombuffer(b"".join(blobs), PAIR))
+        pairs = pairs[line_ids(pairs) % U(waves) == U(wave)]
+        if len(pairs):
+            yield pairs
+
+
+def line_ids(records: np.ndarray) -> np.ndarray:
+    return mix64(np.ascontiguousarray(records["doc"]).view(U) * U(MIX_STEP) + records["line"].astype(U))
+
+
+def test_slot(pairs: np.ndarray, slots: int) -> np.ndarray:
+    return (line_ids(pairs) // U(64) % U(slots)).astype(np.int32)
 
 
 def request_batches(slots: int, wave: int = 0, waves: int = 1):
-    """Pairs as requests to the documents of both lines, each once a batch; of lines that belong to one wave."""
+    """Requests to the documents of both lines of a pair to send these to the slot where the pair is tested."""
 
     def run(batches):
-        for batch in batches:
-            blobs = [unpack(b) for b in batch.column(1).to_pylist()]
-            if not blobs:
-                continue
-            pairs = np.unique(np.frombuffer(b"".join(blobs), PAIR))
-            pairs = pairs[line_ids(pairs) % U(waves) == U(wave)]
-            if not len(pairs):
-                continue
-            targets = np.unique(pairs[["to_doc", "to_line"]])
-            own = np.empty(len(targets), PAIR)
-            own["doc"] = own["to_doc"] = targets["to_doc"]
-            own["line"] = own["to_line"] = targets["to_line"]
-            both = np.concatenate([pairs, own])
+        for pairs in pairs_in(batches, wave, waves):
+            both = np.empty(2 * len(pairs), REQUEST)
+            both["doc"], both["line"] = np.concatenate([pairs["doc"], pairs["to_doc"]]), np.concatenate([pairs["line"], pairs["to_line"]])
+            both["slot"] = np.tile(test_slot(pairs, slots), 2)
+            both = np.unique(both)
             yield to_blobs(doc_slot(both["doc"], slots), both)
 
     return run
 
 
-def target_slot(doc: np.ndarray, line: np.ndarray, slots: int) -> np.ndarray:
-    return (mix64(doc.view(U) * U(MIX_STEP) + line.astype(U) + U(1)) % U(slots)).astype(np.int32)
+def tested_batches(slots: int, wave: int = 0, waves: int = 1):
+    """Pairs by the slot where they are tested."""
+
+    def run(batches):
+        for pairs in pairs_in(batches, wave, waves):
+            yield to_blobs(test_slot(pairs, slots), pairs)
+
+    return run
+
+
+LINES = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("text", pa.large_binary())])
 
 
-def word_set_batches(slots: int):
-    """Word sets of requested lines, sent to the slot of the line they are compared with."""
+def lines_blob(columns: list) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, LINES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, LINES)], schema=LINES))
+    return sink.getvalue().to_pybytes()
+
+
+def wanted_lines(rows: pa.Table, asked: np.ndarray):
+    """(lines, texts, requests by line) of the documents of a blob of texts, or of a blob of fetched lines."""
+    mine = asked[np.isin(asked["doc"], rows.column(0).to_numpy())]
+    if not len(mine):
+        return
+    if "line" in rows.column_names:
+        have = {(d, n): t for d, n, t in zip(*(c.to_pylist() for c in rows.columns))}
+        for r in mine.tolist():
+            text = have.get(r[:2])
+            if text is not None:
+                yield *r, text
+        return
+    order = np.argsort(mine["doc"], kind="stable")
+    mine = mine[order]
+    for key, text in dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())).items():
+        a, b = np.searchsorted(mine["doc"], [key, key + 1])
+        if a < b:
+            split = (text or "").encode("utf-8", "replace").split(b"\n")
+            for doc, line, slot in mine[a:b].tolist():
+                yield doc, line, slot, split[line]
+
+
+def fetch_batches(kind: int):
+    """Requested lines, to the slots that asked for them."""
 
     def run(batches):
-        for rows, requests in requests_beside(batches):
-            wanted_keys = rows.column(0).to_numpy()
-            requests = requests[np.isin(requests["doc"], wanted_keys)]
-            if not len(requests):
-                continue
-            texts = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-            keys = np.unique(requests["doc"]).tolist()
-            encoded = [(texts[k] or "").encode("utf-8", "replace") for k in keys]
-            for a, b in slices([len(t) for t in encoded], BATCH_BYTES):
-                sets = Sets(encoded[a:b], keys[a:b], np.zeros(BUCKETS, np.uint8))
-                base = np.searchsorted(sets.doc, np.array(keys[a:b]))
-                mine = requests[(requests["doc"] >= keys[a]) & (requests["doc"] <= keys[b - 1])]
-                k = base[np.searchsorted(np.array(keys[a:b]), mine["doc"])] + mine["line"]
-                slot = target_slot(mine["to_doc"], mine["to_line"], slots)
-                order = np.argsort(slot, kind="stable")
-                out_slot, blobs = [], []
-                for o in order.tolist():
-                    line = int(k[o])
-                    codes = sets.codes[sets.first[line] : sets.first[line] + sets.size[line]]
-                    header = np.array([mine["to_doc"][o], mine["to_line"][o], mine["doc"][o], mine["line"][o], len(codes)], np.int64)
-                    body = np.empty((len(codes), 5), np.uint8)
-                    body[:] = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    blob = header.tobytes() + body.tobytes()
-                    if out_slot and out_slot[-1] == slot[o]:
-                        blobs[-1].append(blob)
-                    else:
-                        out_slot.append(int(slot[o]))
-                        blobs.append([blob])
-                yield pa.RecordBatch.from_arrays([pa.array(out_slot, pa.int32()), pa.array([pack(np.frombuffer(b"".join(x), np.uint8)) for x in blobs], pa.binary())], names=["slot", "blob"])
+        held, total = {}, 0
+
+        def emit():
+            out = [(slot, kind, lines_blob(columns)) for slot, columns in sorted(held.items())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int8(), pa.binary()))], names=["slot", "kind", "blob"])
+
+        for rows, requests in requests_beside(batches, REQUEST):
+            for doc, line, slot, text in wanted_lines(rows, requests):
+                columns = held.setdefault(slot, ([], [], []))
+                for c, v in zip(columns, (doc, line, text)):
+                    c.append(v)
+                total += len(text) + 50
+                if total >= 8 * BATCH_BYTES:
+                    yield emit()
+                    held, total = {}, 0
+        if held:
+            yield emit()
 
     return run
 
 
-def requests_beside(batches):
-    """For batches sorted by (slot, kind): (rows of a text blob, requests of the slot)."""
+def requests_beside(batches, dtype: np.dtype = PAIR):
+    """For batches sorted by (slot, kind): (rows of an Arrow blob, requests of the slot)."""
     current, parts, requests = None, [], None
     for batch in batches:
         for slot, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -449,115 +516,150 @@ def requests_beside(batches):
                 parts.append(unpack(blob))
                 continue
             if requests is None:
-                requests = np.unique(np.frombuffer(b"".join(parts), PAIR))
+                requests = np.unique(np.frombuffer(b"".join(parts), dtype))
                 parts = []
             yield pa.ipc.open_stream(blob).read_all(), requests
     trim()
 
 
+def similar(a: set, b: set) -> bool:
+    common = len(a & b)
+    return DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common)
+
+
 def verify_batches(slots: int):
-    """Lines whose similarity with the line of the slot reaches the threshold, by document."""
+    """Later lines of the pairs of a slot that are similar, by document, from batches sorted by (slot, kind)."""
 
     def run(batches):
-        for _, raw in read_slots(batches, np.uint8):
-            data, at, sets, asked = raw.tobytes(), 0, {}, []
-            while at < len(data):
-                to_doc, to_line, doc, line, n = np.frombuffer(data, np.int64, 5, at).tolist()
-                codes = data[at + 40 : at + 40 + 5 * n]
-                at += 40 + 5 * n
-                if (to_doc, to_line) == (doc, line):
-                    sets[doc, line] = {codes[i : i + 5] for i in range(0, 5 * n, 5)}
-                else:
-                    asked.append((to_doc, to_line, doc, line, codes))
-            gone = []
-            for to_doc, to_line, doc, line, codes in asked:
-                one = sets[to_doc, to_line]
-                other = {codes[i : i + 5] for i in range(0, len(codes), 5)}
-                common = len(one & other)
-                if DENOMINATOR * common >= NUMERATOR * (len(one) + len(other) - common):
+        current, pairs, texts = None, [], {}
+
+        def work():
+            sets: dict = {}
+
+            def words(line):
+                found = sets.get(line)
+                if found is None:
+                    found = sets[line] = frozenset(texts[line].split())
+                return found
+
+            gone, last = [], None
+            for doc, line, to_doc, to_line in np.unique(np.frombuffer(b"".join(pairs), PAIR)).tolist() if pairs else []:
+                if (doc, line) != last and similar(words((doc, line)), words((to_doc, to_line))):
+                    last = (doc, line)
                     gone.append((doc, line, 0, 0))
             if gone:
-                found = np.unique(np.array(gone, PAIR))
+                found = np.array(gone, PAIR)
                 yield to_blobs(doc_slot(found["doc"], slots), found)
 
+        for batch in batches:
+            for slot, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if slot != current:
+                    yield from work()
+                    current, pairs, texts = slot, [], {}
+                if kind == 0:
+                    pairs.append(unpack(blob))
+                else:
+                    rows = pa.ipc.open_stream(blob).read_all()
+                    texts.update(zip(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()), rows.column(2).to_pylist()))
+        yield from work()
+        trim()
+
     return run
 
 
-def line_ids(records: np.ndarray) -> np.ndarray:
-    return mix64(np.ascontiguousarray(records["doc"]).view(U) * U(MIX_STEP) + records["line"].astype(U))
+def member(lines: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of `lines` (doc, line) occur in `of`."""
+    doc, line = np.concatenate([of["doc"], lines["doc"]]), np.concatenate([of["line"], lines["line"]])
+    asked = np.arange(len(doc)) >= len(of)
+    order = np.lexsort((asked, line, doc))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (line[order][1:] != line[order][:-1])
+    known = ~asked[order][np.flatnonzero(fresh)]
+    out = np.empty(len(order), bool)
+    out[order] = known[np.cumsum(fresh) - 1]
+    return out[len(of) :]
+
+
+def kinds_of_slots(batches):
+    """For batches sorted by slot: the blobs of each slot by kind."""
+    current, held = None, {}
+    for batch in batches:
+        for slot, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if slot != current:
+                if held:
+                    yield current, held
+                current, held = slot, {}
+            held.setdefault(kind, []).append(blob)
+    if held:
+        yield current, held
+
+
+def records_of(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(map(unpack, blobs)), dtype)
+
+
+def open_batches(batches):
+    """Reserve pairs, and lines with more candidates (by the slot that holds them), of lines that are not gone yet."""
+    for slot, held in kinds_of_slots(batches):
+        gone = records_of(held.get(GONE, []), PAIR)
+        for kind, dtype in ((RESERVE, PAIR), (MORE, REQUEST)):
+            left = records_of(held.get(kind, []), dtype)
+            left = left[~member(left, gone)]
+            if len(left):
+                yield tagged(kind, to_blobs(left["slot"] if kind == MORE else np.full(len(left), slot, np.int32), left))
 
 
 def leftover_batches(slots: int):
-    """All candidates of the lines still open, from the records of their items; kind 0 are the lines, 1 the records."""
+    """All candidates of the lines still open, from the records of their items."""
 
     def run(batches):
-        current, held = None, {}
+        for _, held in kinds_of_slots(batches):
+            if MORE not in held or GROUP not in held:
+                continue
+            records, place, _ = distinct_records(records_of([zstandard.decompress(b) for b in held[GROUP]], PREFIX))
+            found, _ = offers(records, place, member(records, records_of(held[MORE], REQUEST)))
+            if len(found):
+                pairs = np.unique(as_pairs(found))
+                yield to_blobs(doc_slot(pairs["doc"], slots), pairs)
 
-        def work():
-            if held.get(0) and held.get(1):
-                open_ = line_ids(np.frombuffer(b"".join(held[0]), PREFIX))
-                records, size = distinct_records(np.frombuffer(b"".join(held[1]), PREFIX))
-                asking = np.isin(line_ids(records), open_)  # a chance match only asks for more
-                found, _ = offers(records, size, True, asking)
-                if len(found):
-                    pairs = np.empty(len(found), PAIR)
-                    for name in PAIR.names:
-                        pairs[name] = found[name]
-                    pairs = np.unique(pairs)
-                    yield to_blobs(doc_slot(pairs["doc"], slots), pairs)
+    return run
 
-        for batch in batches:
-            for slot, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if slot != current:
-                    yield from work()
-                    current, held = slot, {}
-                held.setdefault(kind, []).append(unpack(zstandard.decompress(blob)))
-        yield from work()
 
-    return run
+BLOBS = "slot int, blob binary"
+KINDS = "slot int, kind byte, blob binary"
 
 
-def beside(requests: DataFrame, rows: DataFrame) -> DataFrame:
-    texts = rows.mapInArrow(text_blobs(shuffle_width(rows.sparkSession)), "slot int, kind byte, blob binary")
-    return deal_slots(requests.selectExpr("slot", "cast(0 as byte) kind", "blob").union(texts), "kind")
+def of_kind(blobs: DataFrame, kind: int) -> DataFrame:
+    return blobs.selectExpr("slot", f"cast({kind} as byte) kind", "blob")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, slots: int, limit_rows: bool = False, wave: int = 0, waves: int = 1) -> DataFrame:
-    """(slot, blob) of the lines that verification removes, from candidate pairs by document.
+def beside(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    texts = rows.mapInArrow(text_blobs(shuffle_width(rows.sparkSession)), KINDS)
+    return deal_slots(of_kind(requests, 0).union(texts), "kind")
 
-    With `limit_rows`, only documents that take part are moved, while their list is within `KNOWN_DOCS`.
-    """
-    requests = pairs.mapInArrow(request_batches(slots, wave, waves), "slot int, blob binary")
-    if limit_rows:
-        requests = checkpoint(requests)
-        known = requests.mapInArrow(gone_rows, "doc long, line long").select("doc").distinct()
-        listed = known.limit(KNOWN_DOCS + 1).collect()
-        if len(listed) <= KNOWN_DOCS:
-            docs = np.sort(np.array([r[0] for r in listed], np.int64))
-            rows = rows.mapInArrow(only_docs(docs), rows.schema)
-    sets = beside(requests, rows).mapInArrow(word_set_batches(slots), "slot int, blob binary")
-    return checkpoint(exchange_blobs(sets).mapInArrow(verify_batches(slots), "slot int, blob binary"))
-
-
-def only_docs(docs: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), docs)))
 
-    return run
+def fetched(pairs: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
+    """Blobs of all lines that take part in `pairs`, each once, by document."""
 
+    def own_slot(batches):
+        for found in pairs_in(batches):
+            both = np.empty(2 * len(found), REQUEST)
+            both["doc"], both["line"] = np.concatenate([found["doc"], found["to_doc"]]), np.concatenate([found["line"], found["to_line"]])
+            both["slot"] = doc_slot(both["doc"], slots)
+            both = np.unique(both)
+            yield to_blobs(both["slot"], both)
 
-def record_rows(dtype: np.dtype, compressed: bool):
-    """Records of blobs as (doc, line, slot, blob) rows, one a record."""
+    return checkpoint(beside(pairs.mapInArrow(own_slot, BLOBS), rows).mapInArrow(fetch_batches(1), KINDS))
 
-    def run(batches):
-        for batch in batches:
-            for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                records = np.frombuffer(unpack(zstandard.decompress(blob) if compressed else blob), dtype)
-                singles = [squeezed(records[i : i + 1]) if compressed else pack(records[i : i + 1]) for i in range(len(records))]
-                yield pa.RecordBatch.from_arrays([pa.array(records["doc"]), pa.array(records["line"].astype(np.int64)), pa.array([slot] * len(records), pa.int32()), pa.array(singles, pa.binary())], names=["doc", "line", "slot", "blob"])
 
-    return run
+def verified(pairs: DataFrame, source: DataFrame, slots: int, wave: int = 0, waves: int = 1) -> DataFrame:
+    """(slot, blob) of the lines that verification removes, from candidate pairs by document; `source` are the rows
+    (__key, text) or what `fetched` took from them."""
+    requests = pairs.mapInArrow(request_batches(slots, wave, waves), BLOBS)
+    both = deal_slots(of_kind(requests, 0).union(source), "kind") if "blob" in source.columns else beside(requests, source)
+    lines = both.mapInArrow(fetch_batches(1), KINDS)
+    tested = of_kind(pairs.mapInArrow(tested_batches(slots, wave, waves), BLOBS), 0)
+    return checkpoint(deal_slots(tested.union(lines), "kind").mapInArrow(verify_batches(slots), BLOBS))
 
 
 def gone_rows(batches):
@@ -572,46 +674,38 @@ def removed_lines(rows: DataFrame, slots: int) -> DataFrame:
     """(slot, blob) of all lines to remove, by document, for rows (__key, text)."""
     small_batches(rows.sparkSession)
     frequency = rarity(rows)
-    sample = rows.where(F.pmod(F.xxhash64("__key"), F.lit(SAMPLE_SHARE)) == 0).mapInArrow(hot_batches(frequency), "word long, n long")
-    hot = sample.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_RECORDS).orderBy(F.desc("n"), "word").limit(MAX_HOT).collect()
-    hot = sorted((r["word"], min(60_000, -(-r["n"] * SAMPLE_SHARE // BLOCK))) for r in hot)
-    words, blocks = np.array([w for w, _ in hot], np.int64).view(U), np.array([b for _, b in hot], np.int64)
-    records = exchange_blobs(rows.mapInArrow(record_batches(frequency, words, blocks, slots), "slot int, blob binary"))
-    met = checkpoint(records.mapInArrow(meet_batches(slots), "kind byte, slot int, blob binary"))
+    blocks = block_table(rows, frequency)
+    records = exchange_blobs(rows.mapInArrow(record_batches(frequency, blocks, slots), BLOBS))
+    met = checkpoint(records.mapInArrow(meet_batches(slots), KINDS))
     del records  # its exchange is not needed again
-    equal = met.where(F.col("kind") == GONE).select("slot", "blob")
-    offered = exchange_blobs(met.where(F.col("kind") == OFFERED).select("slot", "blob"))
-    chosen = checkpoint(offered.mapInArrow(choose_batches, "kind byte, slot int, blob binary"))
-    del offered
-    near = verified(chosen.where(F.col("kind") == TEST).select("slot", "blob"), rows, slots)
-    settled = checkpoint(near.union(equal).mapInArrow(gone_rows, "doc long, line long").distinct())
-
-    def still_open(df, dtype, compressed):
-        each = df.select("slot", "blob").mapInArrow(record_rows(dtype, compressed), "doc long, line long, slot int, blob binary")
-        return each.join(settled, ["doc", "line"], "left_anti").select("slot", "blob")
-
-    reserve = still_open(chosen.where(F.col("kind") == RESERVE), PAIR, False)
-    more = still_open(met.where(F.col("kind") == MORE), PREFIX, True)
-    items = met.where(F.col("kind") == GROUP)
-    again = deal_slots(more.selectExpr("slot", "cast(0 as byte) kind", "blob").union(items.selectExpr("slot", "cast(1 as byte) kind", "blob")), "kind")
-    left = checkpoint(reserve.union(again.mapInArrow(leftover_batches(slots), "slot int, blob binary")))
-    if not left.take(1):
-        return equal.union(near)
-    pairs = left.agg(F.sum(F.length("blob"))).first()[0] // PAIR.itemsize
-    waves = 1 + pairs // (WAVE_PAIRS * slots)  # each line is in one wave; a wave's word sets are gone before the next
-    found = equal.union(near)
+
+    def part(df, kind):
+        return df.where(F.col("kind") == kind).select("slot", "blob")
+
+    chosen = checkpoint(exchange_blobs(part(met, OFFERED)).mapInArrow(choose_batches, KINDS))
+    near = verified(part(chosen, TEST), rows, slots)
+    found = part(met, GONE).union(near)
+    waiting = of_kind(part(chosen, RESERVE), RESERVE).union(of_kind(part(met, MORE), MORE))
+    open_ = checkpoint(deal_slots(of_kind(found, GONE).union(waiting), "kind").mapInArrow(open_batches, KINDS))
+    if not open_.take(1):
+        return found
+    asked = part(open_, MORE)
+    items = part(met, GROUP).join(F.broadcast(asked.select("slot").distinct()), "slot", "left_semi")  # slots: a bounded number
+    again = deal_slots(of_kind(asked, MORE).union(of_kind(items, GROUP))).mapInArrow(leftover_batches(slots), BLOBS)
+    left = checkpoint(part(open_, RESERVE).union(again))
+    pairs = (left.agg(F.sum(F.length("blob"))).first()[0] or 0) // PAIR.itemsize
+    if not pairs:
+        return found
+    lines = fetched(left, rows, slots)
+    waves = 1 + pairs // (WAVE_PAIRS * slots)  # each line is in one wave; a wave's copies of lines are gone before the next
     for wave in range(waves):
-        found = found.union(verified(left, rows, slots, True, wave, waves))
+        found = found.union(verified(left, lines, slots, wave, waves))
     return found
 
 
-def slots_for(docs: DataFrame) -> int:
-    return shuffle_width(docs.sparkSession)
-
-
 def line_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines of every document."""
-    slots = slots_for(docs)
+    slots = shuffle_width(docs.sparkSession)
     rows = keyed(docs.select("doc_id", "text"))
     gone = removed_lines(rows.select("__key", "text"), slots).mapInArrow(gone_rows, "doc long, line long")
     lists = gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
@@ -623,7 +717,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """`docs` without the removed lines in text, n_chars to match; other columns as they are."""
-    slots = slots_for(docs)
+    slots = shuffle_width(docs.sparkSession)
     original = docs.columns
     rows = keyed(plain_names(docs))
     names = rows.columns

@@ -19,8 +19,8 @@ Groups are bounded: a map task sends equal fragments once however often it has t
 different fragments (found on a sample of documents; it steers the dealing, never the result) are dealt by fragment
 instead of by anchor.  Texts travel twice, zstd-compressed; fragments as packed records.
 
-Defined cases: null text is empty; texts under 100 bytes keep everything; rows with one doc_id are ordered by text and
-equal ones among them are the same document (none removes bytes of the other); a null doc_id sorts before all;
+Defined cases: null text is empty; texts under 100 bytes keep everything; rows with one doc_id are ordered by the MD5
+of their text and equal ones among them are the same document (none removes bytes of the other); a null doc_id sorts before all;
 columns other than doc_id and text are passed on by `remove_repeats` and ignored otherwise; an empty table gives an
 empty table.
 """
@@ -29,12 +29,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, mix64, plain_names, read_slots, release, shuffle_width, slices, small_batches, to_blobs, trim, unpack
+from flatewise.llm.common import MIX_STEP, checkpoint, deal_slots, exchange_blobs, keyed, mix64, plain_names, read_slots, release, shuffle_width, slices, small_batches, to_blobs, trim, unpack
 
 LENGTH = 100
 GRAM = 24
@@ -522,16 +522,6 @@ def merge_batches(slots: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a first column __key, unique for different documents and in their order."""
-    key = F.col("doc_id").cast("long")
-    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).take(1):
-        return docs.select(key.alias("__key"), "*")
-    lowest = docs.agg(F.min("doc_id")).first()[0]
-    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit(""))))
-    return docs.select((F.coalesce(key, F.lit((lowest or 0) - 1).cast("long")) * 65536 + rank).alias("__key"), "*")
-
-
 def repeat_spans(rows: DataFrame, slots: int) -> DataFrame:
     """(slot, kind 0, blob) spans to remove, for rows (__key, text)."""
     spark = rows.sparkSession

@@ -427,9 +427,9 @@ def brute_lines(rows):
 @pytest.mark.parametrize("hot", [False, True])
 def test_line_join_matches_brute_force(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(lines, "HOT_RECORDS", 3)
         monkeypatch.setattr(lines, "SAMPLE_SHARE", 1)
         monkeypatch.setattr(lines, "BLOCK", 10)
+        monkeypatch.setattr(lines, "BATCH_BYTES", 3000)
         monkeypatch.setattr(lines, "WAVE_PAIRS", 10)
     rng = random.Random(3)
     vocabulary = ["w%d" % int(rng.paretovariate(0.7)) for _ in range(2000)]
