@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -42,7 +43,8 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder of one vocabulary file with word-end symbols."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, unlike: str | None = None):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -56,6 +58,8 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.symbols = byte_symbols()
         self.cache: dict[str, tuple[str, str]] = {}
+        self.unlike_class = unlike or self.unlike_characters()
+        self.unlike = re.compile(self.unlike_class).search
 
     def merge(self, parts: list[str]) -> list[str]:
         """Apply the merges to a symbol list: always the lowest rank, the leftmost pair among equals."""
@@ -109,18 +113,19 @@ class WordBpe:
         """Tokens of a string without white space."""
         out: list[str] = []
         for piece in self.pieces(word):
-            symbols = [self.symbols[b] for b in piece.encode("utf-8", "replace")]
-            symbols[-1] += self.suffix
-            out += self.encode_symbols(symbols)
+            out += self.encode_piece([self.symbols[b] for b in piece.encode("utf-8", "replace")])
         return out
 
-    def lookup(self, word: str) -> tuple[str, str]:
-        """(decimal ids, tokens) of a word, each joined by spaces."""
-        found = self.cache.get(word)
+    def encode_piece(self, symbols: list[str]) -> list[str]:
+        return self.encode_symbols([*symbols[:-1], symbols[-1] + self.suffix])
+
+    def lookup(self, word: str, spelled: bool = False) -> tuple[str, str]:
+        """(decimal ids, tokens) of a word, or of a piece spelled in byte symbols, each joined by spaces."""
+        found = None if spelled else self.cache.get(word)
         if found is None:
-            tokens = self.encode_word(word)
+            tokens = self.encode_piece(list(word)) if spelled else self.encode_word(word)
             found = " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens)
-            if len(word) <= 64:
+            if len(word) <= 64 and not spelled:
                 if len(self.cache) >= CACHE_ENTRIES:
                     self.cache.clear()
                 self.cache[word] = found
@@ -134,6 +139,41 @@ class WordBpe:
             return [w for w in regex.split(r"[\t-\r \x85\xa0  -     　]+", text) if w]
         return text.split()
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library on the same file, for its character tables only."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def library_pieces(self, text: str) -> list[str]:
+        """Pieces in byte symbols as the library's normaliser and pre-tokeniser cut them."""
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+
+    def own_pieces(self, text: str) -> list[str]:
+        return ["".join(self.symbols[b] for b in piece.encode("utf-8", "replace")) for word in self.words(text) for piece in self.pieces(word)]
+
+    def unlike_characters(self) -> str:
+        """A character class of all code points that the library's tables and Python's treat differently, or that Python's
+        do not know: texts that hold one take `library_pieces`."""
+
+        def alike(points):
+            text = "\n".join(f"a{c}1{c}{c} {c}a{c}\u0323 a\u0301{c}" if unicodedata.category(c)[0] == "M" else f"a{c}1{c}{c}" for c in points)
+            return self.own_pieces(text) == self.library_pieces(text)
+
+        known = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+
+        def unlike(points):
+            if not points or alike(points):
+                return []
+            half = len(points) // 2
+            return unlike(points[:half]) + unlike(points[half:]) if half else points
+
+        bad = {c for at in range(0, len(known), 500) for c in unlike(known[at : at + 500])}
+        odd = [n for n in range(0x80, 0x110000) if unicodedata.category(chr(n)) == "Cn" or chr(n) in bad]
+        edges = [0, *(i for i in range(1, len(odd)) if odd[i] != odd[i - 1] + 1), len(odd)]
+        return "[" + "".join(f"\\U{odd[a]:08x}-\\U{odd[b - 1]:08x}" for a, b in zip(edges, edges[1:])) + "]" if odd else "(?!)"
+
     def encode_text(self, text: str) -> tuple[str, str]:
         """(decimal ids, decoded text) of a whole text."""
         if "<|" in text and self.specials.search(text):
@@ -148,6 +188,10 @@ class WordBpe:
                         ids.append(a)
                         decoded.append(b)
             return " ".join(ids), " ".join(decoded)
+        if not text.isascii() and self.unlike(text):
+            words = self.library_pieces(text)
+            found = [self.lookup(w, True) for w in words]
+            return " ".join([a for a, _ in found]), " ".join([b for _, b in found])
         words = self.words(text)
         try:
             found = [self.cache[w] for w in words]
@@ -164,13 +208,13 @@ class WordBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
-    return WordBpe(path)
+def load(path: str, unlike: str | None = None) -> WordBpe:
+    return WordBpe(path, unlike)
 
 
-def encode_batches(path: str):
+def encode_batches(path: str, unlike: str):
     def run(batches):
-        bpe = load(path)
+        bpe = load(path, unlike)
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for text in batch.column(1).to_pylist():
@@ -188,4 +232,4 @@ def encode_batches(path: str):
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Token count and digests of ids and decoded text for every row; no shuffle, whole texts."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode_batches(vocabulary), SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode_batches(vocabulary, load(vocabulary).unlike_class), SCHEMA)
