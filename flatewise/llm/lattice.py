@@ -77,12 +77,15 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 
 
 def directions(dimension: int, table: int) -> np.ndarray:
-    """BLOCKS * 8 random directions, orthonormal where the dimension allows, scaled to lattice units."""
+    """BLOCKS * 8 random directions, scaled so that a unit vector's projection on a block is `SCALE` long on average.
+
+    All are orthonormal where the dimension allows, else those of each block are; below eight dimensions a block's
+    eight directions are a tight frame, which keeps lengths exactly.
+    """
     rng = np.random.default_rng([dimension, table, 5])
-    rows = rng.standard_normal((BLOCKS * 8, dimension))
-    if dimension >= BLOCKS * 8:
-        rows = np.linalg.qr(rows.T)[0].T * np.sqrt(dimension / 8.0)
-    return rows * SCALE / np.sqrt(dimension / 8.0) * np.sqrt(dimension) / np.sqrt(8.0)
+    blocks = [rng.standard_normal((BLOCKS * 8, dimension))] if dimension >= BLOCKS * 8 else [rng.standard_normal((8, dimension)) for _ in range(BLOCKS)]
+    rows = [np.linalg.qr(b.T)[0].T if dimension >= len(b) else np.linalg.qr(b)[0] for b in blocks]
+    return np.concatenate(rows) * SCALE * np.sqrt(max(1.0, dimension / 8.0))
 
 
 def point_hash(points: np.ndarray) -> np.ndarray:
