@@ -1,13 +1,6 @@
-"""Near-duplicate documents of the pipeline: classes of texts whose sets of 5-word shingles have Jaccard 4/5 or more.
+"""Sets of 5-word shingles of texts, the exact Jaccard check of candidate pairs, and keeping one row of a class.
 
-Shingles are 40-bit codes (top bits of XXH64).  Two sets of that similarity share a code in their prefixes, the first
-n - ceil(4n/5) + 1 codes of each in one fixed order, so an equi-join on prefix codes loses no pair.  Codes that are
-frequent in a sample of the texts come last in the order; the sample steers the cost only.
-
-Members of a bucket (texts with one prefix code) are compared with the first and the next smaller one before; then, in
-buckets that still hold more than one component, all pairs of different components that pass the length and
-positional filters.  A family of near copies so costs comparisons in proportion to its size.  Every pair is verified
-by the Jaccard of the whole sets.
+Shingles are 48-bit codes (top bits of XXH64); a set is its distinct codes.  Candidates are found elsewhere (`simhash`).
 
 Defined cases: null and blank texts have the empty set and are one class; a text of fewer than five words is one shingle.
 """
@@ -17,37 +10,33 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatewise.llm.common import checkpoint, connected_components, small_batches
+from flatewise.llm.common import checkpoint
 
 SHINGLE = 5
 SEED = 42
 OVER, UNDER = 4, 5  # least Jaccard as a fraction
-CODE_BYTES = 5
-SAMPLE_SHARE = 16
-HOT_SEEN = 8
-HOT_CODES = 50_000
-BROADCAST_NODES = 500_000
-WAVES, WAVE_PAIRS = 6, 20_000
+CODE_BYTES = 6
+WAVE_PAIRS = 200_000
 
 
-def codes(text: str | None) -> np.ndarray:
-    """Distinct shingle codes of a text, ascending."""
+def codes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Distinct codes of the `width`-word shingles of a text, ascending."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if n <= SHINGLE:
-        return np.array([digest(joined, SEED) >> 24], np.uint64)
+    if n <= width:
+        return np.array([digest(joined, SEED) >> 16], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
-    begins = (ends - lengths)[: n - SHINGLE + 1].tolist()
-    stops = ends[SHINGLE - 1 :].tolist()
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begins, stops)], np.uint64) >> np.uint64(24))
+    begins = (ends - lengths)[: n - width + 1].tolist()
+    stops = ends[width - 1 :].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begins, stops)], np.uint64) >> np.uint64(16))
 
 
 def to_bytes(found: np.ndarray) -> bytes:
@@ -61,72 +50,22 @@ def from_bytes(blob: bytes) -> np.ndarray:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if UNDER * min(len(a), len(b)) < OVER * max(len(a), len(b)):
+        return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return UNDER * common >= OVER * (len(a) + len(b) - common)
 
 
-def set_batches(batches):
-    for batch in batches:
-        blobs = [to_bytes(codes(t)) for t in batch.column(2).to_pylist()]
-        nodes = np.array([xxhash.xxh64_intdigest(b, SEED) if b else 0 for b in blobs], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "digest", "node", "codes"])
-
-
 def text_digest(text: F.Column) -> F.Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, node, codes) of every row; equal sets have one node."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
-    return rows.mapInArrow(set_batches, "doc_id long, digest string, node long, codes binary")
-
-
-def frequent_codes(sets: DataFrame) -> np.ndarray:
-    """Codes of many texts of a sample, ascending; at most `HOT_CODES`, which are compared last and not left out."""
-
-    def spread(batches):
-        for batch in batches:
-            found = [from_bytes(b) for b in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["code"])
-
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE_SHARE)) == 0).groupBy("node").agg(F.first("codes").alias("codes")).select("codes")
-    seen = sample.mapInArrow(spread, "code long").groupBy("code").count().where(F.col("count") >= HOT_SEEN)
-    return np.sort(np.array([r["code"] for r in seen.orderBy(F.desc("count"), "code").limit(HOT_CODES).select("code").collect()], np.uint64))
-
-
-def prefix_batches(hot: np.ndarray):
-    """Records (code, node, n, place) of the prefix of every set."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = from_bytes(blob)
-                n = len(found)
-                if not n:
-                    continue
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, found), len(hot) - 1)] == found
-                    found = np.concatenate([found[~late], found[late]])
-                take = n - -(-OVER * n // UNDER) + 1
-                out.append((found[:take].view(np.int64), np.full(take, node, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["code", "node", "n", "place"])
-
-    return run
-
-
-def passes(n: str, place: str, m: str, at: str) -> F.Column:
-    """Length and positional filters: the sets can still have the least overlap from this common code on."""
-    n, place, m, at = map(F.col, (n, place, m, at))
-    most = F.least(place, at) + F.least(n - place, m - at)
-    return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * most >= OVER * (n + m))
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The checkpointed pairs (a, b) whose sets are similar; in waves, whose sets are released one after another."""
+    """The checkpointed pairs (a, b) whose sets (node, codes; each node once) are similar.
+
+    In waves, so that the sets fetched for one wave are released before the next; a wave moves the sets of its own
+    nodes only.
+    """
 
     def check(batches):
         for batch in batches:
@@ -134,48 +73,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = pa.array([similar(from_bytes(p), from_bytes(q)) for p, q in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
-    def wave(part):
-        need = part.select(F.col("a").alias("node")).union(part.select("b")).distinct()
-        small = need.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-        found = sets.select("node", "codes").join(F.broadcast(need) if small else need, "node", "left_semi").groupBy("node").agg(F.first("codes").alias("codes"))
-        full = part.join(found.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
+    def wave(part, have):
+        full = part.join(have.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
         return checkpoint(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
-    waves = WAVES if pairs.count() > WAVE_PAIRS else 1
-    links = wave(pairs.where(F.pmod(F.xxhash64("a"), F.lit(waves)) == 0))
-    for w in range(1, waves):
-        links = links.union(wave(pairs.where(F.pmod(F.xxhash64("a"), F.lit(waves)) == w)))
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    have = checkpoint(sets.select("node", "codes").join(need, "node", "left_semi"))
+    waves = 1 + pairs.count() // WAVE_PAIRS
+    links = None
+    for w in range(waves):
+        found = wave(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(waves)) == w), have)
+        links = found if links is None else links.union(found)
     return links
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """(node, component) of nodes that are linked; a node that is missing is a class by itself."""
-    records = sets.select("node", "codes").mapInArrow(prefix_batches(frequent_codes(sets)), "code long, node long, n int, place int")
-    bucket = Window.partitionBy("code")
-    ordered = bucket.orderBy("n", "node", "place")
-    records = records.withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).where("least <> most").drop("least", "most")
-    near = records.withColumns({"before": F.lag(F.struct("node", "n", "place")).over(ordered), "first": F.first(F.struct("node", "n", "place")).over(ordered)})
-
-    def pairs_with(other):
-        both = near.select("node", "n", "place", F.col(f"{other}.node").alias("o"), F.col(f"{other}.n").alias("m"), F.col(f"{other}.place").alias("at"))
-        return both.where(F.col("node") != F.col("o")).where(passes("n", "place", "m", "at")).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-
-    tried = checkpoint(pairs_with("before").union(pairs_with("first")).distinct())
-    links = verified(tried, sets)
-    parts = checkpoint(connected_components(links))
-    small = parts.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    named = records.join(F.broadcast(parts) if small else parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    open_ = named.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high").select("code", "node", "n", "place", "c")
-    open_ = checkpoint(open_)
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.code") == F.col("y.code")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & passes("x.n", "x.place", "y.n", "y.place")
-    more = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))
-    if not more.take(1):
-        return parts
-    return connected_components(links.union(verified(more, sets)))
-
-
 def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Of `rows` (doc_id, digest of the text, class) the first by doc_id, then text, of each class, as rows of `docs`; null ids come last."""
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
@@ -185,10 +96,3 @@ def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).take(1):  # rows with equal id and text
         kept = kept.withColumn("__digest", text_digest(F.col("text"))).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
     return kept
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class: the row with the smallest doc_id, with its own columns."""
-    sets = checkpoint(sets_of(docs))
-    rows = sets.select("doc_id", "digest", "node").join(classes(sets), "node", "left")
-    return keep_one(docs, rows.select("doc_id", "digest", F.coalesce("component", "node").alias("class")))

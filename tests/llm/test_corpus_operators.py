@@ -154,6 +154,17 @@ def test_encoding_matches_the_library(spark):
     assert rows.count() == len(ODD) and rows.where("doc_id = 1").first()["ids_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_every_code_point_is_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, ours = Tokenizer.from_file(path), bpe.load(path)
+    points = [chr(n) for n in [*range(1, 0x3400), *range(0xA000, 0xAC10), *range(0xD7A0, 0xD800), *range(0xF900, 0x20000), *range(0x3400, 0x110000, 1009), *range(0xE0000, 0xE0200)] if not 0xD800 <= n < 0xE000]
+    for at in range(0, len(points), 200):
+        text = "\n".join(f"a{c}b1{c} {c}{c} e{c}\u0301{c}" for c in points[at : at + 200])
+        assert ours.encode(text) == t.encode(text, add_special_tokens=False).ids, hex(ord(points[at]))
+
+
 def test_packing_covers_every_id_once(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
@@ -288,6 +299,17 @@ def test_lattice_points_are_nearest():
     assert all(own[k] <= ((x[k] - (near[k] + lattice.NEIGHBOURS)) ** 2).sum(1).min() + 1e-9 for k in range(200))
 
 
+@pytest.mark.parametrize("dimension", [2, 4, 8, 16, 64, 384, 1024])
+def test_lattice_recall_at_every_dimension(dimension):
+    rng = np.random.default_rng(dimension)
+    for cosine in (0.9, 0.92):
+        x, g = rng.normal(size=(2, 400, dimension))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        g -= (g * x).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(lattice.cells(x), lattice.cells(y))]) >= 0.9
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 64))
@@ -324,11 +346,25 @@ def test_bit_sliced_links_are_all_links():
         key = fp & np.uint64(simhash.key_mask(blocks))
         order = np.lexsort((fp, key))
         rest = ((fp[order] >> np.uint64(8 * blocks[0])) & np.uint64(255)) | (((fp[order] >> np.uint64(8 * blocks[1])) & np.uint64(255)) << np.uint64(8))
-        for a, b in simhash.bucket_links(key[order], rest.astype(np.uint16)):
+        for a, b in simhash.bucket_links(key[order], lambda rows, rest=rest: simhash.bit_planes(rest[rows].astype(np.uint16), 16)):
             got |= {(min(x, y), max(x, y)) for x, y in zip(order[a].tolist(), order[b].tolist())}
     assert got == want
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 7, 34])
+def test_carry_save_counters_count(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 2, dtype=np.uint64)
+    records = np.zeros(150, simhash.WIDE)
+    for k in range(150):
+        flips = np.packbits(rng.random(128) < rng.choice([0, 0.02, 0.1, 0.2])).view("<u8")
+        records["low"][k], records["high"][k] = base[0] ^ flips[0], base[1] ^ flips[1]
+    apart = lambda i, j: sum(int(records[n][i] ^ records[n][j]).bit_count() for n in ("low", "high"))
+    key = np.repeat(np.arange(3, dtype=np.uint64), [1, 100, 49])
+    got = {(int(i), int(j)) for a, b in simhash.bucket_links(key, lambda rows: simhash.wide_planes(records[rows]), radius) for i, j in zip(a, b)}
+    assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if key[i] == key[j] and apart(i, j) <= radius}
+
+
 def test_simhash_classes(spark):
     rng = random.Random(9)
     texts = [prose(rng, 80) for _ in range(20)]
@@ -348,16 +384,13 @@ def test_simhash_classes(spark):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     assert len(got) == len(rows) + len(ODD) and all(r["component_id"] == find(r["doc_id"]) for r in got if r["doc_id"] is not None)
-    kept = simhash.keep_first(docs(spark, rows + ODD))
-    assert kept.columns == docs(spark, rows).columns and {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == {find(i) for i in prints}
 
 
-@pytest.mark.parametrize("keep", [simhash.keep_first, shingles.keep_first])
-def test_null_and_repeated_ids_lose_no_other_text(spark, keep):
+def test_null_and_repeated_ids_lose_no_other_text(spark):
     rng = random.Random(21)
     texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(6)]
     rows = [(None, texts[0], "en", None), (None, texts[1], "en", None), (7, texts[2], "en", None), (7, texts[3], "en", None), (7, texts[3], "en", None), (8, texts[4], "en", None), (None, texts[4], "en", None)]
-    got = [(r["doc_id"], r["text"]) for r in keep(docs(spark, rows)).collect()]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_first(docs(spark, rows)).collect()]
     want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
@@ -367,13 +400,12 @@ def shingle_set(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_near_stage_keeps_one_of_each_class_at_eight_tenths(spark, monkeypatch, hot):
+@pytest.mark.parametrize("waves", [False, True])
+def test_near_stage_keeps_one_of_each_class_at_eight_tenths(spark, monkeypatch, waves):
     import corpus_pipeline
 
-    if hot:
-        monkeypatch.setattr(shingles, "SAMPLE_SHARE", 1)
-        monkeypatch.setattr(shingles, "BROADCAST_NODES", 3)
+    if waves:
+        monkeypatch.setattr(shingles, "WAVE_PAIRS", 100)
     rng = random.Random(15)
     word = lambda: "w%d" % rng.randrange(5000)
     passage, rows, planted = " ".join(word() for _ in range(60)), [], 0
