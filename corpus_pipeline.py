@@ -6,8 +6,8 @@ history.  All stages but the last keep the columns of `documents`.
 
 1. quality: documents that the line classifier rejects go (trained on `labels` of documents that are not held out).
 2. line_dedup: lines that are near-duplicates of earlier lines go from the text.
-3. near_dedup: of each class of near copies (Jaccard of 5-word shingles 0.8 or more, linked) the document with the smallest
-   doc_id stays.
+3. near_dedup: of each class of near copies (found by SimHash, Jaccard of 5-word shingles 0.8 or more) the document with the
+   smallest doc_id stays.
 4. suffix_dedup: byte strings of 100 that occur earlier go from the text.
 5. packing: what is left is packed into sequences.
 """
@@ -19,7 +19,7 @@ import uuid
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from flatewise.llm import lines, packing, quality, shingles, suffix
+from flatewise.llm import lines, packing, quality, simhash, suffix
 from flatewise.llm.common import table, with_checkpoint_dir
 
 ORACLE_SQL = None  # model fitting and the byte-pair vocabulary are beyond SQL; tests compare the stages with brute force
@@ -34,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
