@@ -32,14 +32,21 @@ def extract(raw: bytes, n: int) -> list[int]:
     return [record.pad_value >> i & 1 for i in range(min(n, record.pad_bits))]
 
 
+def shares(rooms: list[int], n: int) -> list[tuple[int, int]]:
+    """(first bit, number of bits) of a message of n bits that each of some paddings takes, in order."""
+    out, at = [], 0
+    for room in rooms:
+        take = min(room, n - at)
+        out.append((at, take))
+        at += take
+    return out
+
+
 def spread(streams: list[bytes], message: bytes) -> list[bytes]:
     """Lay a message over the paddings of several streams, in order."""
-    bits, out = to_bits(message), []
-    for raw in streams:
-        room = inflate.parse(raw, keep_output=False).pad_bits
-        out.append(embed(raw, bits[:room]))
-        bits = bits[room:]
-    return out
+    bits = to_bits(message)
+    rooms = [inflate.parse(raw, keep_output=False).pad_bits for raw in streams]
+    return [embed(raw, bits[at : at + n]) for raw, (at, n) in zip(streams, shares(rooms, len(bits)))]
 
 
 def steerer(bits: list[int]):
