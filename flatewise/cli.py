@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -12,9 +13,10 @@ from pyspark.sql import SparkSession
 def session() -> SparkSession:
     spark = SparkSession.builder.appName("flatewise").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise SystemExit("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flatewise-"))
     return spark
 
 

@@ -230,8 +230,8 @@ def register(encoder: Encoder) -> Encoder:
 
 
 register(Encoder("zlib", "zlib", tuple(ZLIB_SETTINGS), zlib_setting, reference=True))
-register(Encoder("zlib-strategies", "zlib-strategies", tuple(STRATEGIES), zlib_setting))
-register(Encoder("own", "own", ("greedy", "lazy"), own_raw, synthetic=True))
+register(Encoder("zlib-strategies", "zlib-strategies", tuple(STRATEGIES), zlib_setting, reference=True))
+register(Encoder("own", "own", ("greedy", "lazy"), own_raw, reference=True, synthetic=True))
 for _name, _library, _settings, _reference in [
     ("java", "zlib", "1 2 3 4 5 6 7 8 9", False), ("zlib-ng", "zlib-ng", "1 3 6 9 1f 6f 9f", True), ("libdeflate", "libdeflate", "1 6 9 12", True),
     ("zopfli", "zopfli", "i5 i15", True), ("node", "chromium-zlib", "1 3 6 9", True), ("go-flate", "go-flate", "1 3 6 9", True),

@@ -1,7 +1,7 @@
 """Analysis of files: scan, decode, describe, attribute, prove, and one verdict a file.
 
-Control crosses into Python in three kernels (containers, decoding, exact re-encoding) and rows are shuffled once, on
-path.  Exact re-encoding runs on the largest entries of each archive only, chosen before the kernel.
+Control crosses into Python in three kernels (containers, decoding, exact re-encoding).  Exact re-encoding runs on the
+largest entries of each archive only, chosen before the kernel.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from flatewise.functions import features, rules
 from flatewise.operators import streams
+from flatewise.plans import proofs
 from flatewise.plans import verdict as V
 from flatewise.plans.model import Model
 from flatewise.sources import containers
 
-# fixed values: entries tried in full, and on the side
-REENCODE_LIMIT, SIDE_LIMIT = 400, 20
+# fixed value: entries of a file that are re-encoded
+REENCODE_LIMIT = 400
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -28,13 +29,14 @@ def described(found: DataFrame) -> DataFrame:
     return features.add_features(records, [*keep, "output", "compressed_bytes", "out_size", "capped", "error", "ending", rules.signatures().alias("signatures"), total("matches").alias("n_matches"), total("n_tokens").alias("n_tokens"), F.size("blocks").alias("n_blocks")])
 
 
-def with_proofs(rows: DataFrame, limit: int = REENCODE_LIMIT) -> DataFrame:
-    """zlib_proof and zlib_hits for the largest complete streams of each file; null where a stream was not tried."""
+def with_proofs(rows: DataFrame, profiles: list[str], limit: int = REENCODE_LIMIT) -> DataFrame:
+    """zlib_proof, zlib_hits and reproduced of the largest complete streams of each file; null where a stream was not tried."""
     order = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("size"), "name", "index"))
     ranked = rows.withColumn("tried", (order <= limit) & F.col("error").isNull() & ~F.col("capped"))
-    tried = streams.proofs(ranked.where("tried"), "payload", "output").drop("payload", "output", "tried")
-    rest = ranked.where("not tried").drop("payload", "output", "tried").withColumn("zlib_proof", F.lit(None).cast("string"))
-    return tried.withColumn("zlib_hits", F.col("zlib_proof").isNotNull().cast("int")).unionByName(rest.withColumn("zlib_hits", F.lit(None).cast("int")))
+    tried = streams.references(streams.proofs(ranked.where("tried")), profiles).drop("payload", "output", "tried")
+    nothing = {"zlib_proof": F.lit(None).cast("string"), "zlib_hits": F.lit(None).cast("int"), "reproduced": F.lit(None).cast("map<string,string>")}
+    rest = ranked.where("not tried").drop("payload", "output", "tried").withColumns(nothing)
+    return tried.withColumn("zlib_hits", F.col("zlib_proof").isNotNull().cast("int")).unionByName(rest)
 
 
 def entries(files: DataFrame, model: Model | None = None, least: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +47,7 @@ def entries(files: DataFrame, model: Model | None = None, least: int | None = No
     reports = containers.scan_table(files)
     reports = reports.checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else reports
     rows = described(containers.stream_rows(reports)).withColumn("size", F.when(F.col("capped"), F.octet_length("payload")).otherwise(F.col("compressed_bytes")))
-    rows = with_proofs(rows)
+    rows = with_proofs(rows, model.classes if model else [])
     least = least if least is not None else (model.min_bytes if model else V.PROOF_BYTES)
     if model:
         rows = model.predict(rows).withColumnRenamed("reason", "status_reason")
@@ -53,10 +55,10 @@ def entries(files: DataFrame, model: Model | None = None, least: int | None = No
         rows = rows.withColumns({"label": F.lit("unknown"), "confidence": F.lit(0.0), "abstained": F.lit(True), "novelty": F.lit(None).cast("double"), "status_reason": F.lit("no model"), "proba": F.lit(None).cast("map<string,double>")})
     provable = (F.col("size") >= F.greatest(F.lit(V.PROOF_BYTES), F.lit(least))) & (F.col("n_matches") >= V.PROOF_MATCHES)
     proven = F.col("zlib_proof").isNotNull() & provable
-    rows = rows.withColumns({"proof": F.when(proven, F.lit("zlib")), "setting": F.when(F.col("zlib_proof").isNotNull(), F.col("zlib_proof"))})
+    rows = rows.withColumns({"provable": provable, "proof": F.when(proven, F.lit("zlib")), "setting": F.when(F.col("zlib_proof").isNotNull(), F.col("zlib_proof"))})
     status = F.when(proven, V.ATTRIBUTED).otherwise(V.entry_status(F.col("error"), F.col("n_tokens"), F.col("size"), F.col("abstained"), least))
     rows = rows.withColumns({"status": status, "label": F.when(proven, "zlib").otherwise(F.col("label")), "confidence": F.when(proven, 1.0).otherwise(F.col("confidence")), "method": F.lit("deflate")})
-    kept = ["path", "name", "index", "method", "size", "out_size", "n_blocks", "n_matches", "ending", "status", "status_reason", "error", "label", "confidence", "novelty", "setting", "proof", "zlib_hits", "signatures"]
+    kept = ["path", "name", "index", "method", "size", "out_size", "n_blocks", "n_matches", "ending", "status", "status_reason", "error", "label", "confidence", "novelty", "setting", "proof", "zlib_hits", "signatures", "provable", "proba", "reproduced"]
     other = containers.entry_rows(reports).where("stream_index is null").select(
         "path", "name", F.lit(None).cast("int").alias("index"), F.when(F.col("encrypted"), "encrypted").when(F.col("method") == 0, "stored").when(F.col("status") == "error", "damaged").otherwise("other").alias("method"),
         F.col("csize").alias("size"), F.when(F.col("status") == "error", V.ERROR).otherwise(V.INSUFFICIENT).alias("status"))
@@ -72,8 +74,11 @@ def analyse(files: DataFrame, model: Model | None = None) -> DataFrame:
     rows, reports = entries(files, model)
     if files.sparkSession.sparkContext.getCheckpointDir():
         rows = rows.checkpoint()  # the verdict reads entries several times; the kernels run once
+    if model:
+        rows = proofs.proven(rows)
+        rows = rows.checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else rows
     profiles = model.classes if model else ["zlib"]
-    found = V.verdicts(rows, archives_of(reports), profiles)
+    found = V.verdicts(rows, archives_of(reports), profiles, proofs.sides(rows))
     failed = reports.where("error is not null").select("path", F.lit("error").alias("status"), F.array(F.struct(F.lit("info").alias("kind"), F.lit("container").alias("check"), F.col("error").alias("text"))).cast(f"array<{V.FINDING}>").alias("findings"))
     return found.unionByName(failed, allowMissingColumns=True)
 

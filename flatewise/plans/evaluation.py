@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,24 +76,53 @@ def name_pairs(files: DataFrame, key: str, folder: str, stem: str, prefix: int =
     return named.withColumn("a", F.min(key).over(w)).where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b"))
 
 
-def components(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 30) -> DataFrame:
-    """key, family: the least key reachable over pairs, by label propagation with pointer jumping until nothing changes."""
-    spark = nodes.sparkSession
+def components(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 60) -> DataFrame:
+    """key, family: the least key reachable over pairs, by label propagation with pointer jumping until nothing changes.
+
+    The session needs a checkpoint folder.  Labels that have not settled after `rounds` (2^60 steps) are an error.
+    """
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     labels = nodes.select(F.col(key).alias("node"), F.col(key).alias("label"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("next"))
         hop = stepped.select(F.col("node").alias("h"), F.col("next").alias("n2"))
-        after = stepped.join(hop, stepped["next"] == hop["h"]).select("node", "label", F.least("next", "n2").alias("next")).checkpoint()
+        after = cut(stepped.join(hop, stepped["next"] == hop["h"]).select("node", "label", F.least("next", "n2").alias("next")))
         labels = after.select("node", F.col("next").alias("label"))
         if not after.where("next <> label").limit(1).take(1):
-            break
-    return labels.select(F.col("node").alias(key), F.col("label").alias("family"))
+            return labels.select(F.col("node").alias(key), F.col("label").alias("family"))
+    raise RuntimeError(f"families did not settle in {rounds} rounds")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """`rows` checkpointed in the session's folder; only a local session without one gets a folder of its own."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flatewise-"))
+    return rows.checkpoint()
+
+
+def families(files: DataFrame, key: str, similar: DataFrame, named: DataFrame) -> DataFrame:
+    """key, family over both kinds of links: similar content and similar names."""
+    return components(files.select(key), similar.select("a", "b").union(named.select("a", "b")), key)
+
+
+def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """`rows` whose key is not among the known ones: a second, independent test set."""
+    return rows.join(known.select(key).distinct(), key, "left_anti")
+
+
+def overlaps(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """`rows` whose key is among the known ones: what a leakage check reports."""
+    return rows.join(known.select(key).distinct(), key, "left_semi")
+
+
+def rates(rows: DataFrame, test: Column, *keys: str) -> DataFrame:
+    """rate of a condition and n by every prefix of the keys, the whole included."""
+    return rows.rollup(*keys).agg(F.avg(test.cast("double")).alias("rate"), F.count("*").alias("n"))
 
 
 def family_split(families: DataFrame, fraction: float = 0.3) -> DataFrame:
@@ -137,19 +170,33 @@ def threshold_pick(rows: DataFrame, target: float, never: float = 0.99) -> DataF
     return ok.agg(F.round(F.coalesce(F.min("t"), F.lit(never)), 3).alias("threshold"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with `value` computed once a row however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def log_scores(proba: Column) -> Column:
+    """Logarithms of probabilities, taken as 1e-9 at least."""
+    return F.transform(proba, lambda p: F.log(F.least(F.greatest(p, F.lit(1e-9)), F.lit(1.0))))
+
+
 def temperatures(rows: DataFrame, proba: str = "proba", truth: str = "truth") -> DataFrame:
-    """t, nll of 61 temperatures on held-out rows: proba is an array, truth its 1-based index."""
+    """t, nll of 61 temperatures on held-out rows: proba is an array, truth its 1-based index.
+
+    The loss only needs the true class's logarithm and the logarithm of the sum, so a row costs one pass a temperature.
+    """
     grid = F.broadcast(rows.sparkSession.range(61).select((F.lit(0.25) + F.col("id") * (3.75 / 60)).alias("t")))
-    joined = rows.crossJoin(grid)
-    return joined.groupBy("t").agg(F.avg(-F.log(F.greatest(F.element_at(calibrated(F.col(proba), F.col("t")), F.col(truth)), F.lit(1e-9)))).alias("nll"))
+    logs = rows.select(log_scores(F.col(proba)).alias("logs"), truth).select("logs", F.array_max("logs").alias("top"), F.element_at("logs", F.col(truth)).alias("own"))
+    total = F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("top")) / F.col("t")))
+    loss = F.least(F.log(total) - (F.col("own") - F.col("top")) / F.col("t"), F.lit(-math.log(1e-9)))
+    return logs.crossJoin(grid).groupBy("t").agg(F.avg(loss).alias("nll"))
 
 
 def calibrated(proba: Column, t: Column) -> Column:
     """softmax(log p / t) with p at least 1e-9."""
-    logs = F.transform(proba, lambda p: F.log(F.least(F.greatest(p, F.lit(1e-9)), F.lit(1.0))) / t)
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / S.total(powers))
+    scaled = lambda s: F.transform(s["logs"], lambda x: F.exp((x - s["top"]) / t))
+    powers = let(let(log_scores(proba), lambda logs: F.struct(logs.alias("logs"), F.array_max(logs).alias("top"))), scaled)
+    return let(let(powers, lambda x: F.struct(x.alias("x"), S.total(x).alias("sum"))), lambda s: F.transform(s["x"], lambda x: x / s["sum"]))
 
 
 def standardise(rows: DataFrame, columns: list[str], clip: float = 10.0) -> DataFrame:
@@ -178,13 +225,31 @@ def class_scales(refs: DataFrame, floor: float = 0.05) -> DataFrame:
     return refs.select("label").distinct().join(found, "label", "left").select("label", F.greatest(F.coalesce("d", F.lit(1.0)), F.lit(floor)).alias("scale"))
 
 
-def novelty(rows: DataFrame, refs: DataFrame, scales: DataFrame) -> DataFrame:
-    """id, novelty: least scaled distance to any class's references.
+def nearest_reference(vector: Column, references: list[tuple[float, list[float]]], columns: list[int] | None = None) -> Column:
+    """Least scaled distance of a vector (or of some of its columns) to (scale, reference) pairs, in Arrow batches.
 
-    References are at most 400 a class, so they and their scales are a broadcast of bounded size.
+    References are at most 400 a class, so they travel with the function.
     """
-    known = F.broadcast(refs.join(scales, "label").select("label", F.col("v").alias("r"), "scale"))
-    return rows.crossJoin(known).groupBy("id").agg(F.min(distance(F.col("v"), F.col("r")) / F.col("scale")).alias("novelty"))
+    if not references:
+        return F.lit(float("inf"))
+    scales, known = np.array([s for s, _ in references]), np.array([v for _, v in references], float)
+    lengths = (known**2).sum(1)
+
+    def nearest(vectors):
+        import pandas as pd
+
+        x = np.array(vectors.tolist(), float).reshape(len(vectors), -1)
+        x = x if columns is None else x[:, columns]
+        squares = (x**2).sum(1)[:, None] + lengths[None, :] - 2 * x @ known.T
+        return pd.Series((np.sqrt(np.maximum(squares, 0)) / scales[None, :]).min(axis=1))
+
+    return F.pandas_udf(nearest, "double", F.PandasUDFType.SCALAR)(vector)
+
+
+def novelty(rows: DataFrame, refs: DataFrame, scales: DataFrame) -> DataFrame:
+    """id, novelty: least scaled distance to any class's references (a bounded number a class)."""
+    known = [(r["scale"], list(r["v"])) for r in refs.join(scales, "label").select("scale", "v").collect()]
+    return rows.select("id", nearest_reference(F.col("v"), known).alias("novelty"))
 
 
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -1,8 +1,9 @@
 """From entries to an archive verdict: votes, proofs, endings, producers, findings and status.
 
-Every function is a DataFrame transformation keyed by `path`, so archives are processed side by side with one shuffle on
-path.  Ties are broken by name, ascending.  Entry rows have: path, name, size (compressed bytes), label, status
-(attributed, unknown, insufficient, error), confidence, setting, proof, ending, n_matches.
+Entry rows have: path, name, size (compressed bytes), label, status (attributed, unknown, insufficient, error), confidence,
+setting, proof, ending, n_matches.  Everything a verdict needs of them but names is additive, so entries are first added up
+into `cells` (one row for each kind of entry an archive has), which is the only shuffle of entries, with partial sums
+before it; all votes work on cells and also take entries.  Ties are broken by name, ascending.
 """
 
 from __future__ import annotations
@@ -35,32 +36,50 @@ def entry_status(error: Column, n_tokens: Column, size: Column, abstained: Colum
     return F.when(error.isNotNull(), ERROR).when((n_tokens == 0) | (size < least), INSUFFICIENT).when(abstained, UNKNOWN).otherwise(ATTRIBUTED)
 
 
+def additive(entries: DataFrame) -> DataFrame:
+    """`entries` with the columns that cells add up; cells as they are."""
+    if "entries" in entries.columns:
+        return entries
+    return entries.withColumns({"entries": F.lit(1).cast("long"), "mass": (F.col("confidence") * F.col("size")).cast("double")})
+
+
+def cells(entries: DataFrame) -> DataFrame:
+    """Entries of an archive that are alike in status, label, setting and ending, added up."""
+    columns = entries.columns
+    proof = F.col("proof").isNotNull() if "proof" in columns else F.lit(False)
+    hits = F.col("zlib_hits") if "zlib_hits" in columns else F.lit(None).cast("int")
+    attributed = F.col("status") == ATTRIBUTED
+    keys = {"label": F.when(attributed, F.col("label")), "setting": F.when(attributed, F.col("setting")), "ending": F.when(F.col("n_matches") >= ENDING_MATCHES, F.col("ending"))}
+    kinds = additive(entries).select("path", "status", *[c.alias(n) for n, c in keys.items()], "size", "confidence", "mass", proof.alias("p"), hits.alias("h"))
+    return kinds.groupBy("path", "status", *keys).agg(
+        F.count("*").alias("entries"), F.sum("size").alias("size"), F.sum("mass").alias("mass"), F.min("confidence").alias("confidence"), F.count_if("p").alias("proofs"),
+        F.count_if(F.col("h") == 0).alias("zlib_misses"), F.count_if(F.col("h") > 0).alias("zlib_found"))
+
+
 def voting(entries: DataFrame) -> DataFrame:
     """Entries that vote, by their label or as unknown."""
-    some = entries.where(F.col("status").isin(ATTRIBUTED, UNKNOWN))
+    some = additive(entries).where(F.col("status").isin(ATTRIBUTED, UNKNOWN))
     return some.withColumn("vote", F.when(F.col("status") == ATTRIBUTED, F.col("label")).otherwise(UNKNOWN))
 
 
 def vote_shares(entries: DataFrame) -> DataFrame:
     """path, vote, n, bytes, share of bytes, share of entries."""
-    each = voting(entries).groupBy("path", "vote").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    each = voting(entries).groupBy("path", "vote").agg(F.sum("entries").alias("n"), F.sum("size").alias("bytes"))
     w = Window.partitionBy("path")
     return each.withColumns({"share": F.col("bytes") / F.sum("bytes").over(w), "count_share": F.col("n") / F.sum("n").over(w)})
 
 
 def weighted_vote(entries: DataFrame) -> DataFrame:
     """path, profile, share: the known profile with most bytes unless unknown entries are over half by bytes or count."""
-    shares = vote_shares(entries)
     known = F.col("vote") != UNKNOWN
-    first = Window.partitionBy("path").orderBy(F.desc("known"), F.desc("share"), "vote")
-    ranked = shares.withColumn("known", known).withColumn("rank", F.row_number().over(first))
-    per = ranked.groupBy("path").agg(
-        F.max(F.when(F.col("rank") == 1, F.struct("known", "vote", "share"))).alias("top"),
-        F.coalesce(F.max(F.when(~F.col("known"), F.col("share"))), F.lit(0.0)).alias("u_bytes"),
-        F.coalesce(F.max(F.when(~F.col("known"), F.col("count_share"))), F.lit(0.0)).alias("u_count"),
-    )
-    wins = F.col("top.known") & (F.col("u_bytes") <= 0.5) & (F.col("u_count") <= 0.5)
-    return per.select("path", F.when(wins, F.col("top.vote")).otherwise(UNKNOWN).alias("profile"), F.when(wins, F.col("top.share")).otherwise(F.col("u_bytes")).alias("share"))
+    best = F.max(F.when(known, F.struct("share", F.lit(0)))).alias("best")
+    per = vote_shares(entries).groupBy("path").agg(
+        best, F.collect_list(F.when(known, F.struct("share", "vote"))).alias("votes"),
+        F.coalesce(F.max(F.when(~known, F.col("share"))), F.lit(0.0)).alias("u_bytes"), F.coalesce(F.max(F.when(~known, F.col("count_share"))), F.lit(0.0)).alias("u_count"),
+    )
+    leaders = F.transform(F.filter("votes", lambda v: v["share"] == F.col("best.share")), lambda v: v["vote"])
+    wins = F.col("best").isNotNull() & (F.col("u_bytes") <= 0.5) & (F.col("u_count") <= 0.5)
+    return per.select("path", F.when(wins, F.array_min(leaders)).otherwise(UNKNOWN).alias("profile"), F.when(wins, F.col("best.share")).otherwise(F.col("u_bytes")).alias("share"))
 
 
 def heaviest(entries: DataFrame, value: str, name: str) -> DataFrame:
@@ -84,8 +103,7 @@ def archive_confidence(entries: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Supporting confidence, weighted by bytes, over all analysable bytes."""
     rows = voting(entries).join(verdicts.select("path", "profile"), "path")
     support = (F.col("status") == ATTRIBUTED) & (F.col("label") == F.col("profile"))
-    mass = F.sum(F.when(support, F.col("confidence") * F.col("size")).otherwise(0.0))
-    return rows.groupBy("path").agg((mass / F.sum("size")).alias("confidence"))
+    return rows.groupBy("path").agg((F.sum(F.when(support, F.col("mass")).otherwise(0.0)) / F.sum("size")).alias("confidence"))
 
 
 def largest_entries(entries: DataFrame, k: int) -> DataFrame:
@@ -101,24 +119,23 @@ def duplicate_names(entries: DataFrame) -> DataFrame:
 
 def odd_endings(entries: DataFrame) -> DataFrame:
     """For archives whose streams end in several ways: path, ending, n, odd (strictly fewer than the most)."""
-    some = entries.where(F.col("ending").isNotNull() & (F.col("n_matches") >= ENDING_MATCHES))
-    each = some.groupBy("path", "ending").agg(F.count("*").alias("n"))
+    counted = entries if "entries" in entries.columns else additive(entries.where(F.col("n_matches") >= ENDING_MATCHES))
+    each = counted.where(F.col("ending").isNotNull()).groupBy("path", "ending").agg(F.sum("entries").alias("n"))
     w = Window.partitionBy("path")
     return each.withColumns({"kinds": F.count("*").over(w), "most": F.max("n").over(w)}).where("kinds > 1").select("path", "ending", "n", (F.col("n") < F.col("most")).alias("odd"))
 
 
 def family(label: Column) -> Column:
     """Libraries behind the zlib interface count as one family."""
-    return F.when(label.isin(*ZLIB_FAMILY), "zlib-api").otherwise(label)
+    return F.when(label.isin(*ZLIB_FAMILY) | label.startswith("zlib"), "zlib-api").otherwise(label)
 
 
 def established(entries: DataFrame, strong: float = STRONG) -> DataFrame:
     """path, label, established: any proof, or all confident, enough bytes, and zlib's exact checks not against it."""
-    some = entries.where(F.col("status") == ATTRIBUTED)
-    contrary = F.when(F.col("label") == "zlib", F.col("zlib_hits") == 0).otherwise(F.col("zlib_hits") > 0)
-    return some.groupBy("path", "label").agg(
-        (F.bool_or(F.col("proof").isNotNull()) | (F.bool_and(F.col("confidence") >= strong) & (F.sum("size") >= PROOF_BYTES) & ~F.coalesce(F.bool_or(contrary), F.lit(False)))).alias("established")
-    )
+    some = (entries if "proofs" in entries.columns else cells(entries)).where(F.col("status") == ATTRIBUTED)
+    contrary = F.when(F.col("label") == "zlib", F.col("zlib_misses")).otherwise(F.col("zlib_found"))
+    confident = (F.min("confidence") >= strong) & (F.sum("size") >= PROOF_BYTES) & (F.sum(contrary) == 0)
+    return some.groupBy("path", "label").agg(((F.sum("proofs") > 0) | confident).alias("established"))
 
 
 def producers(spark) -> DataFrame:
@@ -179,41 +196,59 @@ def verdict_status(findings: Column, profile: Column) -> Column:
     return F.when(has("inconsistent"), "inconsistent").when(profile.isin(UNKNOWN, INSUFFICIENT) | has("cannot-confirm"), "inconclusive").otherwise("consistent")
 
 
-def mixed_finding(odd_kinds: Column, ties: Column, groups: Column, profile: Column, kind: Column) -> Column:
-    severity = F.when(kind.isin(*MIXED_IS_INCONSISTENT), "inconsistent").otherwise("info")
-    ends = F.size(odd_kinds) > 0
-    differs = F.when(ends | ties, F.struct(severity.alias("kind"), F.lit("mixed-encoders").alias("check"), F.when(ties, "streams end in different ways, equally often").otherwise(F.concat(F.lit("odd streams end with "), F.array_join(odd_kinds, ", "))).alias("text")))
-    disagree = finding(~ends & ~ties & (groups > 1), "cannot-confirm", "mixed-encoders", "entries lean to different profiles, without exact evidence")
-    same = finding(~ends & ~ties & (groups == 1) & ~profile.isin(UNKNOWN, INSUFFICIENT), "consistent", "mixed-encoders", "all attributed entries match '", profile, "'")
-    none = finding(~ends & ~ties & (profile == UNKNOWN) & (groups <= 1), "cannot-confirm", "mixed-encoders", "entries match no known profile")
+def mixed_finding(rows_kind: Column) -> Column:
+    """The finding on entries made by different encoders: endings first, then proofs of two families, then the model's
+    disagreement, which alone confirms nothing.  Columns: odd, tied, side_odd, side_tied, groups, profile."""
+    severity = F.when(rows_kind.isin(*MIXED_IS_INCONSISTENT), "inconsistent").otherwise("info")
+    ends, sides = (F.size("odd") > 0) | F.col("tied"), (F.size("side_odd") > 0) | F.col("side_tied")
+    text = (
+        F.when(F.col("tied"), "streams end in different ways, equally often").when(ends, F.concat(F.lit("odd streams end with "), F.array_join("odd", ", ")))
+        .when(F.col("side_tied"), "encoders of two families are proven, equally often").otherwise(F.concat(F.lit("odd streams are proven to be made by "), F.array_join("side_odd", ", ")))
+    )
+    differs = F.when(ends | sides, F.struct(severity.alias("kind"), F.lit("mixed-encoders").alias("check"), text.alias("text")))
+    profile = F.col("profile")
+    disagree = finding(F.col("groups") > 1, "cannot-confirm", "mixed-encoders", "entries lean to different profiles, without exact evidence")
+    same = finding((F.col("groups") == 1) & ~profile.isin(UNKNOWN, INSUFFICIENT), "consistent", "mixed-encoders", "all attributed entries match '", profile, "'")
+    none = finding((profile == UNKNOWN) & (F.col("groups") <= 1), "cannot-confirm", "mixed-encoders", "entries match no known profile")
     return F.coalesce(differs, disagree, same, none)
 
 
-def verdicts(entries: DataFrame, archives: DataFrame, profiles: list[str]) -> DataFrame:
-    """One row for each archive: profile, share, confidence, setting, counts by status, findings and status.
+NO_SIDES = "path {}, side_odd array<string>, side_tied boolean, side_named array<string>"
+
+
+def verdicts(entries: DataFrame, archives: DataFrame, profiles: list[str], sides: DataFrame | None = None) -> DataFrame:
+    """One row for each archive: profile, share, confidence, setting, counts by status, findings, named entries and status.
 
-    `archives` has path, kind, claim, option_bits_seen, duplicate_names, encrypted, backslash_names.
+    `archives` has path, kind, claim, option_bits_seen, duplicate_names, encrypted, backslash_names; `sides` is
+    `proofs.sides` of the entries.  Named entries are those that endings or proofs single out.
     """
-    vote = weighted_vote(entries)
-    ends = odd_endings(entries).groupBy("path").agg(F.sort_array(F.collect_set(F.when(F.col("odd"), F.col("ending")))).alias("odd"), (~F.bool_or("odd")).alias("tied"))
-    every = entries.where(F.col("ending").isNotNull() & (F.col("n_matches") >= ENDING_MATCHES)).groupBy("path").agg(F.sort_array(F.collect_set("ending")).alias("endings"))
-    counts = entries.groupBy("path").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in (ATTRIBUTED, UNKNOWN, INSUFFICIENT, ERROR)], F.count_distinct(F.when(F.col("status") == ATTRIBUTED, F.col("label"))).alias("groups"), F.count("proof").alias("proofs"))
-    sure = established(entries).select("path", F.col("label").alias("profile"), "established")
-    parts = [vote, counts, archive_confidence(entries, vote), setting_vote(entries, vote), top_attributed(entries), ends, every]
+    spark, c = entries.sparkSession, cells(entries)
+    vote, odd = weighted_vote(c), odd_endings(c)
+    ends = odd.groupBy("path").agg(F.sort_array(F.collect_set(F.when(F.col("odd"), F.col("ending")))).alias("odd"), (~F.bool_or("odd")).alias("tied"))
+    attributed = F.when(F.col("status") == ATTRIBUTED, F.col("label"))
+    by_status = [F.sum(F.when(F.col("status") == s, F.col("entries")).otherwise(0)).alias(f"n_{s}") for s in (ATTRIBUTED, UNKNOWN, INSUFFICIENT, ERROR)]
+    counts = c.groupBy("path").agg(*by_status, F.count_distinct(attributed).alias("groups"), F.sum("proofs").alias("proofs"), F.sort_array(F.collect_set("ending")).alias("endings"))
+    strange = entries.where(F.col("n_matches") >= ENDING_MATCHES).join(odd.where("odd").select("path", "ending"), ["path", "ending"], "left_semi")
+    named = strange.groupBy("path").agg(F.sort_array(F.collect_list("name")).alias("end_named"))
+    sides = sides if sides is not None else spark.createDataFrame([], NO_SIDES.format(entries.schema["path"].dataType.simpleString()))
+    sure = established(c).select("path", F.col("label").alias("profile"), "established")
+    parts = [vote, counts, archive_confidence(c, vote), setting_vote(c, vote), top_attributed(c), ends, named, sides]
     rows = reduce(lambda a, b: a.join(b, "path", "left"), parts, archives).join(sure, ["path", "profile"], "left")
-    empty = F.array().cast("array<string>")
-    rows = rows.withColumns({"profile": F.coalesce("profile", F.lit(INSUFFICIENT)), "odd": F.coalesce("odd", empty), "tied": F.coalesce("tied", F.lit(False)), "endings": F.coalesce("endings", empty), "groups": F.coalesce("groups", F.lit(0)), "established": F.coalesce("established", F.lit(False))})
+    empty, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    defaults = dict.fromkeys(("odd", "endings", "side_odd", "side_named", "end_named"), empty) | dict.fromkeys(("tied", "side_tied", "established"), F.lit(False)) | dict.fromkeys(("groups", "proofs", *(f"n_{s}" for s in (ATTRIBUTED, UNKNOWN, INSUFFICIENT, ERROR))), zero)
+    rows = rows.withColumns({n: F.coalesce(n, d) for n, d in defaults.items()} | {"profile": F.coalesce("profile", F.lit(INSUFFICIENT))})
     rows = producer_findings(match_producer(rows), profiles)
     own = listed(
         finding(F.size("duplicate_names") > 0, "inconsistent", "duplicate-names", "entry names occur more than once: ", F.array_join(F.slice("duplicate_names", 1, 20), ", ")),
-        mixed_finding(F.col("odd"), F.col("tied"), F.col("groups"), F.col("profile"), F.col("kind")),
+        mixed_finding(F.col("kind")),
         finding(F.col("proofs") > 0, "info", "zlib-reencode", F.col("proofs").cast("string"), " entries are reproduced byte for byte"),
         finding(F.col("encrypted") > 0, "info", "encrypted", F.col("encrypted").cast("string"), " entries are encrypted and were not analysed"),
         finding(F.col("backslash_names") > 0, "info", "entry-names", F.col("backslash_names").cast("string"), " entry names use backslashes"),
     )
     claims = F.when(F.col("kind").isin(*ARCHIVES), F.col("producer_findings")).otherwise(F.array().cast(f"array<{FINDING}>"))
-    rows = rows.withColumn("findings", F.concat(own, claims))
-    kept = ["path", "kind", "profile", "share", "confidence", "setting", "closest", "claim", "producer", "n_attributed", "n_unknown", "n_insufficient", "n_error", "proofs", "findings"]
+    by_ends = (F.size("odd") > 0) | F.col("tied")
+    rows = rows.withColumns({"findings": F.concat(own, claims), "named": F.when(by_ends, F.col("end_named")).otherwise(F.col("side_named"))})
+    kept = ["path", "kind", "profile", "share", "confidence", "setting", "closest", "claim", "producer", "n_attributed", "n_unknown", "n_insufficient", "n_error", "proofs", "findings", "named"]
     return rows.withColumn("status", verdict_status(F.col("findings"), F.col("profile"))).select(*kept, "status")
 
 

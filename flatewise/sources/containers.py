@@ -452,10 +452,15 @@ def entry_rows(reports: DataFrame) -> DataFrame:
     return reports.select("path", "kind", F.explode("entries").alias("e")).select("path", "kind", "e.*")
 
 
+def suffix_column(path):
+    """A path's last suffix in lower case with its dot, empty where there is none; no Python."""
+    return F.regexp_extract(F.lower(path), r"(\.[^./\\]+)$", 1)
+
+
 def kind_column(content: str = "content", path: str = "path"):
     """Container kind without Python where signatures decide; ZIPs behind other bytes need `detect`."""
     head = lambda n: F.hex(F.substring(content, 1, n))
-    suffix = F.regexp_extract(F.lower(F.col(path)), r"(\.[^./\\]+)$", 1)
+    suffix = suffix_column(F.col(path))
     kinds = F.create_map(*[F.lit(x) for pair in SUFFIX_KIND.items() for x in pair])
     by_suffix = F.coalesce(F.try_element_at(kinds, suffix), F.lit("raw"))
     zip_by_suffix = F.when(by_suffix.isin(*sorted(ZIP_KINDS)), by_suffix).otherwise("zip")

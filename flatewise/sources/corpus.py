@@ -8,18 +8,20 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flatewise.functions import features
-from flatewise.operators import encoders, streams
+from flatewise.operators import encoders, inflate, streams
 from flatewise.plans import evaluation
+from flatewise.sources import containers
 
 # fixed values: sizes and bounds of corpus files
 SIZES = (300, 1500, 6000, 24000, 90000, 300000)
-KINDS = ("text", "xml", "source", "json", "csv", "binary", "rle")
+KINDS = ("text", "xml", "source", "json", "csv", "binary", "random", "rle")
 LEAST_BYTES, MOST_BYTES = 200, 256_000
 PACKED = ("504B0304", "1F8B", "89504E47", "25504446", "FFD8FF", "377ABCAF", "425A68", "FD377A58", "28B52FFD")
 WORDS = "stream block token length distance window table code symbol literal match header value index offset entry archive report order record".split()
@@ -30,19 +32,20 @@ def generate(kind: str, size: int, k: int, seed: int = 0) -> bytes:
     rng = random.Random(hashlib.sha256(f"{seed}:{kind}:{size}:{k}".encode()).digest())
     word = lambda: rng.choice(WORDS)
     makers = {
-        "text": lambda: " ".join(word() for _ in range(rng.randint(6, 16))).capitalize() + ". ",
-        "xml": lambda: f'<row id="{rng.randint(1, 9999)}"><{word()}>{rng.random():.4f}</{word()}><v>{word()}</v></row>\n',
-        "source": lambda: f"def {word()}_{rng.randint(0, 99)}({word()}, {word()}):\n    return {word()} + {rng.randint(0, 999)}\n\n",
-        "json": lambda: f'{{"id": {rng.randint(0, 10**6)}, "{word()}": "{word()} {word()}", "ok": {rng.choice(("true", "false"))}}},\n',
-        "csv": lambda: f"{rng.randint(0, 10**6)},{word()},{rng.random():.3f},{rng.randint(2000, 2030)}-{rng.randint(1, 12):02d}\n",
-        "binary": lambda: rng.randbytes(24).hex()[: rng.randint(4, 40)] + "".join(map(chr, rng.choices(range(32), k=8))),
-        "rle": lambda: chr(rng.randint(32, 90)) * rng.randint(3, 400),
-    }
+        "text": lambda: (" ".join(word() for _ in range(rng.randint(6, 16))).capitalize() + ". ").encode(),
+        "xml": lambda: f'<row id="{rng.randint(1, 9999)}"><{word()}>{rng.random():.4f}</{word()}><v>{word()}</v></row>\n'.encode(),
+        "source": lambda: f"def {word()}_{rng.randint(0, 99)}({word()}, {word()}):\n    return {word()} + {rng.randint(0, 999)}\n\n".encode(),
+        "json": lambda: f'{{"id": {rng.randint(0, 10**6)}, "{word()}": "{word()} {word()}", "ok": {rng.choice(("true", "false"))}}},\n'.encode(),
+        "csv": lambda: f"{rng.randint(0, 10**6)},{word()},{rng.random():.3f},{rng.randint(2000, 2030)}-{rng.randint(1, 12):02d}\n".encode(),
+        "binary": lambda: rng.choice([rng.randbytes(rng.randint(20, 400)), struct.pack("<IHhd", rng.randrange(1 << 32), rng.randrange(300), rng.randint(-9, 9), rng.random()) * rng.randint(1, 4), bytes(rng.randint(1, 40))]),
+        "random": lambda: rng.randbytes(512),
+        "rle": lambda: bytes([rng.randint(32, 90)]) * rng.randint(3, 400),
+    }
     make, parts, n = makers[kind], [], 0
     while n < size:
         parts.append(make())
         n += len(parts[-1])
-    return "".join(parts).encode()[:size]
+    return b"".join(parts)[:size]
 
 
 def synthetic(spark: SparkSession, kinds=KINDS, sizes=SIZES, per: int = 1, seed: int = 0) -> DataFrame:
@@ -59,7 +62,11 @@ def synthetic(spark: SparkSession, kinds=KINDS, sizes=SIZES, per: int = 1, seed:
 
 
 def directory(files: DataFrame, limit: int | None = None, label: str = "file") -> DataFrame:
-    """Sources from (path, content) rows: unpacked formats of a size, cut, one a digest, in the order of their path's digest."""
+    """Sources from (path, content) rows: unpacked formats of a size, cut, one a digest, in the order of their path's digest.
+
+    A file that is one GZIP member and nothing else (a packed text) is taken unpacked.
+    """
+    files = unpacked(files)
     head = F.hex(F.substring("content", 1, 4))
     plain = files.where(F.octet_length("content") >= LEAST_BYTES).where(~F.exists(F.array(*map(F.lit, PACKED)), lambda p: head.startswith(p)))
     cut = plain.withColumn("content", F.expr(f"substring(content, 1, {MOST_BYTES})")).withColumns({"digest": F.sha2("content", 256), "order": F.sha2(F.col("path").cast("binary"), 256)})
@@ -68,10 +75,29 @@ def directory(files: DataFrame, limit: int | None = None, label: str = "file") -
     return rows.select(F.concat(F.lit(f"{label}:"), "path").alias("source_id"), F.lit(label).alias("content_type"), "content", F.col("path").alias("origin"))
 
 
+def unpacked(files: DataFrame) -> DataFrame:
+    """(path, content) with the content of whole GZIP files in place of the files; what does not decode stays as it is."""
+
+    def gunzip(content):
+        def one(data):
+            try:
+                found = containers.scan_gzip(bytes(data), "")["streams"] if data is not None else []
+            except containers.ContainerError:
+                found = []
+            record = inflate.parse(found[0]["payload"], max_out=16 * MOST_BYTES) if len(found) == 1 else None
+            return data if record is None or record.error else record.output
+
+        return content.map(one)
+
+    packed = F.hex(F.substring("content", 1, 2)) == "1F8B"
+    rows = files.select("path", "content")
+    return rows.where(~F.coalesce(packed, F.lit(False))).union(rows.where(packed).select("path", F.pandas_udf(gunzip, "binary", F.PandasUDFType.SCALAR)("content").alias("content")))
+
+
 def documents_in(spark: SparkSession, path: str, suffixes=(".docx", ".xlsx", ".pptx", ".odt", ".ods", ".odp", ".zip", ".jar", ".epub", ".apk")) -> DataFrame:
     """Files below a path that have one of the suffixes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+    return files.where(containers.suffix_column(F.col("path")).isin(*suffixes))
 
 
 def settings(synthetic_too: bool = True) -> list[tuple[str, str]]:

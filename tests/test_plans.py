@@ -11,7 +11,6 @@ from flatewise.plans import evaluation as E
 from flatewise.plans import verdict as V
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"feature_vectors", "temperature_grid", "rf_explanations", "rf_predict", "reencode_panel"}
 
 
 def entries(spark, rows):
@@ -92,11 +91,11 @@ def test_near_copies_among_documents_match_brute_force(spark, tmp_path):
         return sorted({hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest() for i in range(max(1, len(w) - 2))})[:128]
 
     s = {i: sketch(t) for i, t in texts.items()}
-    got = {r["id"]: (r["n"], r["least"]) for r in catalogue.queries()["document_sketch"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: (r["n"], r["least"]) for r in catalogue.queries()["content_sketch"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(x), x[0]) for i, x in s.items()} and max(len(x) for x in s.values()) == 128
     u = lambda a, b: sorted({*s[a], *s[b]})[:128]
     want = {(a, b) for a in s for b in s if a < b and len({*u(a, b)} & {*s[a]} & {*s[b]}) / len(u(a, b)) >= 0.5}
-    found = catalogue.queries()["document_near_duplicates"](spark, str(tmp_path)).collect()
+    found = catalogue.queries()["near_duplicates"](spark, str(tmp_path)).collect()
     assert len(found) == len(want) > 50 and {tuple(r) for r in found} == want
 
 
@@ -126,7 +125,7 @@ def test_features_against_the_record(spark):
     assert rows["1f"]["blk_flush_markers"] == 1 and rows["1f"]["blk_term_empty_coded"] == 1 and rows["6"]["blk_flush_markers"] == 0
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalogue.oracle_sql() if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import os
