@@ -1,16 +1,18 @@
 """Operator 4: main text of web pages by consensus host paths.
 
 First pass, by page: the containers of a page are scored by the text of the blocks directly in them (links do not
-count, half of it goes to the enclosing container), and the best few vote with their share of the page's score.  A
-container is named by its generalised path: tags and classes from the root, with digits in class names blanked.  The
-votes are added for each (host, path) in Spark.  Second pass: every page is extracted again with the first of its
-host's winning paths that it has; a page with none uses its own best container.  A container inside an article or main
-stands for the whole of it, so headings, leads and sibling sections stay.
+count, half of it goes to the enclosing container) and vote with their share of the page's score.  A container is
+named by its generalised path: tags and classes from the root, with digits in class names blanked.  The votes are
+added for each (host, path) in Spark.  Second pass: every page is extracted again with the first of its host's
+winning paths that it has; a page with none uses its own best container.  A container inside an article or main
+stands for the whole of it; one without takes the text containers beside it along, so headings, leads, sibling
+sections and ends stay.
 
 Site parts (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are known by
-tag, role or the words of class and id, and are left out inside containers too.
+tag, role or the words of class and id, and are left out inside containers too; a paragraph, heading or item is one only
+if all words of a class or id say so.
 
-The winners of a host are a handful of strings.  They reach the pages as a broadcast while the table of hosts is
+The winners of a host are at most 100 numbers.  They reach the pages as a broadcast while the table of hosts is
 within `BROADCAST_HOSTS`; beyond it both sides are joined by host and a salt, so a hot host is spread.
 
 Defined cases: null html is empty; a page without text gives the empty text; a null url or one without "://" belongs
@@ -21,23 +23,22 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flatewise.llm.common import checkpoint
 
-TOP_CONTAINERS = 3
-TOP_PATHS = 6
+LEAST_SHARE = 0.01  # of a host's votes, for a path to win: at most 100 paths a host can
 BROADCAST_HOSTS = 50_000
 SALTS = 32
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[!/a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+OPENING = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+ENDS_TAG = re.compile(r"[>\"']")
+RAW = frozenset("script style noscript template textarea title".split())
 NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 # fixed values: HTML elements by role
@@ -58,6 +59,7 @@ SITE_WORDS = frozenset(
     "popup modal overlay comment comments disqus reply replies respond discussion share sharing social related recommended newsletter subscribe signup "
     "login search pagination pager toolbar widget widgets skip disclaimer alert".split()
 )
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption address".split())
 GOOD_WORDS = frozenset("article content main post entry story text body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"option", "html", "body", "head"}
@@ -65,15 +67,78 @@ SIBLING = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def tags(source: str):
+    """(begin, end, closing, name, attributes) of every tag, comment and raw element, from left to right.
+
+    Comments, declarations and raw elements (scripts and the like, with their content) have no name.  One cursor runs
+    over the page; a quote that is never closed is an ordinary character, and what looks like a tag but has no end
+    runs to the end of the page, so no text is read more than a few times.
+    """
+    at, size, lower, quotes = 0, len(source), None, {q: source.rfind(q) for q in "\"'"}
+    last, closers = source.rfind(">"), {}
+    while True:
+        begin = source.find("<", at)
+        if begin < 0 or begin + 1 >= size:
+            return
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
+            yield begin, at, "", "", ""
+            continue
+        found = OPENING.match(source, begin + 1)
+        if not found and source[begin + 1] not in "!?/":
+            at = begin + 1
+            continue
+        if last < begin:
+            yield begin, size, "", "", ""
+            return
+        stop = found.end() if found else begin + 2
+        end = stop
+        while found:
+            m = ENDS_TAG.search(source, end)
+            if m is None:  # a quoted part swallowed the end: from here on quotes count for nothing
+                quotes = dict.fromkeys(quotes, -1)
+                end = source.find(">", stop)
+                break
+            end = m.start()
+            if m[0] == ">":
+                break
+            if quotes[m[0]] > end:
+                end = source.find(m[0], end + 1)
+            end += 1
+        if not found:
+            end = source.find(">", stop)
+        closing, name = (found[1], found[2].lower()) if found else ("", "")
+        at = end + 1
+        if name in RAW and not closing:
+            lower = source.lower() if lower is None else lower  # of equal length where it matters: see below
+            if closers.get(name, 0) >= 0:
+                closers[name] = find_closer(source, lower, name, at)
+            end = closers[name]
+            at = source.find(">", end) + 1 if end >= 0 else size
+            at = at or size
+            yield begin, at, "", "", ""
+            continue
+        yield begin, at, closing, name, source[stop:end]
+
+
+def find_closer(source: str, lower: str, name: str, at: int) -> int:
+    """Position of the end tag of a raw element, or -1; lower case can be longer than its source."""
+    if len(lower) == len(source):
+        return lower.find(f"</{name}", at)
+    found = re.compile(f"</{name}", re.I).search(source, at)
+    return found.start() if found else -1
+
+
 class Page:
     """Elements and text blocks of one page, found by a forgiving single scan.
 
-    Element k has a parent (a smaller index), a tag, a generalised path and a flag for site parts.  A block is
-    (element, text, characters inside links).
+    Element k has a parent (a smaller index), a tag, a generalised path (the hash of its parent's path and its own
+    label; 0 for the page) and a flag for site parts.  A block is (element, text, characters inside links).
     """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.site = [-1], [""], [""], [False]
+        self.parent, self.tag, self.path, self.site = [-1], [""], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.bonus = [0.0]
         self.whole = [False]
@@ -102,7 +167,9 @@ class Page:
                     site = site or name == "hidden" or tag in CONTAINER
                 elif name in ("class", "id"):
                     words = {w.lower() for w in WORDS.findall(value)}
-                    if words & SITE_WORDS and tag not in ("html", "body", "article", "main") or words & {"comment", "comments", "reply", "replies"}:
+                    if tag in PARAGRAPHS:  # a paragraph's subject may be named like a site part; it is one if all words say so
+                        site = site or any(w and w <= SITE_WORDS for w in ({x.lower() for x in WORDS.findall(v)} for v in value.split()))
+                    elif words & SITE_WORDS and tag not in ("html", "body", "article", "main") or words & {"comment", "comments", "reply", "replies"}:
                         site = True
                     if words & GOOD_WORDS:
                         bonus = max(bonus, 0.5)
@@ -112,7 +179,7 @@ class Page:
                 label = f"{tag}.{classes}"
         self.parent.append(parent)
         self.tag.append(tag)
-        self.path.append(f"{self.path[parent]}/{label}")
+        self.path.append(xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), self.path[parent]) >> 1)
         self.site.append(site)
         self.bonus.append(bonus)
         self.whole.append(bonus >= 1.0)
@@ -120,6 +187,7 @@ class Page:
 
     def scan(self, source: str) -> None:
         stack, links, at = [0], 0, 0
+        opened: Counter = Counter()
         parts: list[str] = []
         linked = 0
 
@@ -135,32 +203,35 @@ class Page:
                 parts.clear()
             linked = 0
 
-        for m in TAG.finditer(source):
-            if m.start() > at:
-                chunk = source[at : m.start()]
+        def close(k: int, stop: int | None = None):
+            for e in stack[k:stop]:
+                opened[self.tag[e]] -= 1
+            del stack[k:stop]
+
+        for begin, end, closing, tag, attributes in tags(source):
+            if begin > at:
+                chunk = source[at:begin]
                 parts.append(chunk)
                 if links:
                     linked += len(chunk)
-            at = m.end()
-            name = m[3]
-            if not name:
+            at = end
+            if not tag:
                 continue
-            tag = name.lower()
-            if m[2]:
+            if closing:
                 if tag not in BLOCK:
                     if tag == "a" and links:
                         links -= 1
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                         if self.tag[stack[k]] == tag:
-                            del stack[k]
+                            close(k, k + 1)
                             break
                         if self.tag[stack[k]] in BLOCK:
                             break
                     continue
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if self.tag[stack[k]] == tag:
-                        del stack[k:]
+                        close(k)
                         links = 0
                         break
                     if tag == "p" and self.tag[stack[k]] in CONTAINER:
@@ -177,15 +248,16 @@ class Page:
                     links += 1
                 if tag in DROPPED:
                     flush()
-                if m[4] and not m[4].endswith("/") or tag in DROPPED:
-                    stack.append(self.open(stack[-1], tag, m[4]))
+                if attributes and not attributes.endswith("/") or tag in DROPPED:
+                    stack.append(self.open(stack[-1], tag, attributes))
+                    opened[tag] += 1
                 continue
             flush()
             links = 0
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                     if self.tag[stack[k]] == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if self.tag[stack[k]] in BLOCK:
                         break
@@ -195,66 +267,84 @@ class Page:
                     if self.tag[stack[k]] in border:
                         break
                     if self.tag[stack[k]] in same:
-                        del stack[k:]
+                        close(k)
                         break
-            if m[4].endswith("/") and tag == "hr":
-                continue
-            stack.append(self.open(stack[-1], tag, m[4]))
+            stack.append(self.open(stack[-1], tag, attributes))
+            opened[tag] += 1
         if at < len(source):
             parts.append(source[at:])
         flush()
 
-    def kept(self, k: int) -> bool:
-        """Block owner k is not part of a site part; a heading in an article's header stays."""
-        return not self.site[k]
+    def containers(self, k: int):
+        """The container of element k and the one around it (0 or less: none)."""
+        while k > 0 and self.tag[k] not in CONTAINER:
+            k = self.parent[k]
+        above = self.parent[k] if k > 0 else -1
+        while above > 0 and self.tag[above] not in CONTAINER:
+            above = self.parent[above]
+        return k, above
 
-    def scores(self) -> dict[str, float]:
+    def scores(self) -> dict[int, float]:
         """Score of every container path of the page."""
         score: dict[int, float] = {}
-        for k, text, linked in self.blocks:
-            if self.site[k]:
+        for owner, text, linked in self.blocks:
+            if self.site[owner]:
                 continue
             value = max(0, len(text) - 2 * linked) + 1.0
-            while k > 0 and self.tag[k] not in CONTAINER:
-                k = self.parent[k]
-            above = self.parent[k] if k > 0 else -1
+            k, above = self.containers(owner)
             score[k] = score.get(k, 0.0) + value
-            while above > 0 and self.tag[above] not in CONTAINER:
-                above = self.parent[above]
             if above > 0:
                 score[above] = score.get(above, 0.0) + value / 2
-        paths: dict[str, float] = {}
+        paths: dict[int, float] = {}
         for k, value in score.items():
             paths[self.path[k]] = paths.get(self.path[k], 0.0) + value * (1 + self.bonus[k])
         return paths
 
-    def best(self) -> str | None:
+    def best(self) -> int | None:
         found = self.scores()
         return min(found, key=lambda p: (-found[p], p)) if found else None
 
-    def widened(self, k: int, path: str | None) -> int:
-        """The nearest article or main around the element of a path that holds k, else that element."""
-        while k > 0 and self.path[k] != path:
-            k = self.parent[k]
-        above = k
-        while above > 0 and not self.whole[above]:
-            above = self.parent[above]
-        return above or k
-
-    def text(self, path: str | None) -> str | None:
-        """Blocks inside the elements of a path and the article or main around each, one a line; None if the page has no such element with text."""
-        inside = [False] * len(self.tag)
-        for k in range(1, len(self.tag)):
-            inside[k] = inside[self.parent[k]] or self.path[k] == path
-        inside[0] = path == ""
-        if path == "":
-            inside = [True] * len(self.tag)
-        found = {k for k, _, _ in self.blocks if inside[k] and not self.site[k]}
-        for top in {self.widened(k, path) for k in found}:
-            for k in range(top, len(self.tag)):
-                inside[k] = inside[k] or k == top or inside[self.parent[k]]
-        lines = [text for k, text, _ in self.blocks if inside[k] and not self.site[k]]
-        return "\n".join(lines) if lines else None
+    def widened(self, tops: set[int]) -> tuple[set[int], set[int]]:
+        """The nearest article or main around each element; without one, the element and the containers beside it that
+        hold text rather than links (a heading, a lead, an end of the article in boxes of their own), and the elements
+        around both, whose own text counts too."""
+        out, beside = set(), set()
+        for k in tops:
+            above = k
+            while above > 0 and not self.whole[above]:
+                above = self.parent[above]
+            out.add(above or k)
+            if not above:
+                beside.add(self.parent[k])
+        if beside:
+            text, linked = Counter(), Counter()
+            for owner, block, links in self.blocks:
+                if not self.site[owner]:
+                    k = owner
+                    while k > 0 and self.parent[k] not in beside:
+                        k = self.parent[k]
+                    text[k] += len(block)
+                    linked[k] += links
+            out |= {k for k in text if k > 0 and 2 * linked[k] <= text[k]}
+        return out, beside
+
+    def text(self, path: int | None) -> str | None:
+        """Blocks inside the elements of a path, widened, one a line; None if the page has no such element with text."""
+        def spread(chosen):
+            inside = [k in chosen for k in range(len(self.tag))]
+            for k in range(1, len(self.tag)):
+                inside[k] = inside[k] or inside[self.parent[k]]
+            return inside
+
+        if path is None:
+            return None
+        tops = {k for k in range(len(self.tag)) if self.path[k] == path}
+        inside = spread(tops)
+        if not any(inside[k] and not self.site[k] for k, _, _ in self.blocks):
+            return None
+        chosen, around = self.widened({k for k in tops if not self.site[k]})
+        inside = spread(chosen)
+        return "\n".join(text for k, text, linked in self.blocks if not self.site[k] and (inside[k] or k in around and 2 * linked <= len(text)))
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -263,30 +353,31 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def vote_batches(batches):
-    """(host, path, vote) of each page's best containers, added up for the batch before they are shuffled."""
+    """(host, path, vote) of each page's containers, added up for the batch before they are shuffled."""
     for batch in batches:
-        votes: dict[tuple[str, str], float] = {}
+        votes: dict[tuple[str, int], float] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = Page(source or "").scores()
             total = sum(found.values())
-            for path in sorted(found, key=lambda p: (-found[p], p))[:TOP_CONTAINERS]:
-                votes[host, path] = votes.get((host, path), 0.0) + found[path] / total
+            for path, score in found.items():
+                votes[host, path] = votes.get((host, path), 0.0) + score / total
         yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(votes.values(), pa.float64())],
+            [pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.int64()), pa.array(votes.values(), pa.float64())],
             names=["host", "path", "vote"],
         )
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the best paths of every host, most voted first."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote_batches, "host string, path string, vote double")
-    total = votes.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("vote"), "path"))
-    top = total.withColumn("rank", rank).where(F.col("rank") <= TOP_PATHS)
-    return top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
+    """(host, paths): the paths with `LEAST_SHARE` of a host's votes or more, most voted first."""
+    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote_batches, "host string, path long, vote double")
+    total = checkpoint(votes.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote")))
+    whole = total.groupBy("host").agg(F.sum("vote").alias("whole"))
+    top = total.join(whole, "host").where(F.col("vote") >= LEAST_SHARE * F.col("whole"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("vote")).alias("v"), "path")))
+    return top.groupBy("host").agg(ranked.alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
 
 
-def extract(source: str | None, paths: list[str] | None) -> str:
+def extract(source: str | None, paths: list[int] | None) -> str:
     page = Page(source or "")
     for path in paths or []:
         found = page.text(path)
