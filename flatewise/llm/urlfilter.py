@@ -1,11 +1,15 @@
 """Operator 9: URL filtering by rules and by link-graph propagation, in DataFrame operations only.
 
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's; the longest rule that
-fits decides.  Urls that no rule fits are judged by their host: personalised PageRank runs from trusted hosts (those
-with allowed pages) along the links between hosts, and distrust runs from hosts that a rule blocks at their root against the links, as a
-site that links to bad sites is itself suspect.  A rule for some paths of a host says nothing of its other pages; links to
-those paths lead to a node of their own, which is a source of distrust.  Sources are hosts of pages and of links alike.  A host is blocked when its
-distrust reaches `THRESHOLD` of a seed's and exceeds its trust.
+fits decides.  Urls that no rule fits are judged by their host: personalised PageRank runs from trusted hosts along the
+links between hosts, and distrust runs from blocked hosts against the links, as a site that links to bad sites is
+itself suspect.  A host's seeds are shares of its pages: trust the share that a rule allows, distrust the share that
+a rule for all of the host blocks (no path included); a host known from links only is one page.  A rule for some paths of a host says
+nothing of its other pages; links to those paths lead to a node of their own, which is a source of distrust.  A host
+is blocked when its distrust reaches `THRESHOLD` of a full seed's and exceeds its trust.
+
+Links are absolute urls and urls without a scheme (`//host/path`).  Links by path alone stay within their host, and a
+host's links to itself say nothing, so they are no edges.
 
 Links are counted per pair of hosts before anything else is shuffled, so a hot host is one row a task.  The state
 table has one row per host; a round is one join with the edges and one sum.  Rounds end when all that is still to be moved, over all hosts, is below a
@@ -30,7 +34,7 @@ ROUNDS = 6  # of the SQL, which cannot iterate until a bound holds
 THRESHOLD = 0.02
 TOLERANCE = THRESHOLD * (1 - DAMPING) / 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^?#"'\s>]*)"""
+LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^?#"'\s>]*)"""
 
 
 def split_urls(pages: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def host_links(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) from (host, good, bad) seeds of 0 or 1, iterated until what is still to come is below `tolerance`.
+    """(host, trust, distrust) from (host, good, bad) seeds of 0 to 1, iterated until what is still to come is below `tolerance`.
 
     A round keeps or loses mass, so after a round that moved `step` in all, no later sum differs by more than step * damping / (1 - damping).
     """
@@ -101,12 +105,14 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     urls = split_urls(pages).withColumn("found", rule_column(rules))
     links = checkpoint(host_links(urls, rules))
-    allowed = F.max((F.col("found.verdict") == "allow").cast("int"))
-    named = urls.groupBy("host").agg(F.coalesce(allowed, F.lit(0)).alias("a")).select("host", F.col("host").alias("node"), "a")
-    hosts = named.union(links.select(F.col("dst").alias("host"), "node", "a")).groupBy("host", "node").agg(F.max("a").alias("a")).withColumn("path", F.lit("/"))
-    blocked = F.coalesce(rule_column(rules)["verdict"] == "block", F.lit(False)) | (F.col("node") != F.col("host"))
-    hosts = hosts.select(F.col("node").alias("host"), "a", blocked.cast("int").alias("b"))
-    seeds = checkpoint(hosts.select("host", (F.col("a") * (1 - F.col("b"))).cast("double").alias("good"), (F.col("b") * (1 - F.col("a"))).cast("double").alias("bad")))
+    root = F.coalesce(rule_column(rules, path=F.lit("/"))["verdict"] == "block", F.lit(False))
+    allowed = F.coalesce(F.col("found.verdict") == "allow", F.lit(False)).cast("double")
+    barred = root.cast("double") * (1 - allowed)
+    shares = urls.select("host", allowed.alias("good"), barred.alias("bad")).groupBy("host").agg(F.avg("good").alias("good"), F.avg("bad").alias("bad"))
+    part = F.col("node") != F.col("host")
+    linked = links.select(F.col("dst").alias("host"), "node", "a").groupBy("host", "node").agg(F.max("a").alias("a"))
+    linked = linked.select(F.col("node").alias("host"), F.when(part, 0.0).otherwise(F.col("a").cast("double")).alias("good"), F.when(part | (root & (F.col("a") == 0)), 1.0).otherwise(0.0).alias("bad"))
+    seeds = checkpoint(shares.union(linked.join(shares.select("host"), "host", "left_anti")))
     ranks = propagate(links.where("n > 0 and dst <> src").select("src", F.col("node").alias("dst"), "n"), seeds)
     bad = ranks.where((F.col("distrust") >= THRESHOLD * (1 - DAMPING)) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("by_links"))
     rows = urls.select("page_id", "host", "path", "found").join(bad, "host", "left")
@@ -114,12 +120,13 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def judge_sql(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
-    """The same judgement as DuckDB SQL."""
+    """The same judgement as DuckDB SQL, for tables whose links lead to hosts of pages and not into blocked paths, and whose
+    distrust settles within the rounds."""
     cases = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for h, p, _ in cases]
     rule = "CASE " + " ".join(f"{f}'{h}{p}'" for f, (h, p, _) in zip(fits, cases)) + " END"
     verdict = "CASE " + " ".join(f"{f}'{v}'" for f, (_, _, v) in zip(fits, cases)) + " END"
-    link = r"""(?i)href\s*=\s*["'']?\s*[a-z][a-z0-9+.-]*://([^/?#"''\s>]*)"""
+    link = r"""(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]*)"""
     text = rf"""
 WITH split AS (
   SELECT page_id, html,
@@ -127,9 +134,8 @@ WITH split AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 urls AS (SELECT page_id, html, host, path, {rule} AS rule, {verdict} AS found FROM split),
-roots AS (SELECT host, '/' AS path, coalesce(max((found = 'allow')::INT), 0) AS a FROM urls GROUP BY host),
-hosts AS (SELECT host, a, coalesce(({verdict} = 'block')::INT, 0) AS b FROM roots),
-seeds AS (SELECT host, (a * (1 - b))::DOUBLE AS good, (b * (1 - a))::DOUBLE AS bad FROM hosts),
+roots AS (SELECT host, coalesce(({verdict} = 'block'), false) AS root FROM (SELECT DISTINCT host, '/' AS path FROM urls)),
+seeds AS (SELECT u.host AS host, avg(coalesce(found = 'allow', false)::INT)::DOUBLE AS good, avg((root AND NOT coalesce(found = 'allow', false))::INT)::DOUBLE AS bad FROM urls u JOIN roots r ON r.host = u.host GROUP BY u.host),
 links AS (
   SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(html, '{link}', 1))), '{UPPER}', '{LOWER}') AS dst, page_id FROM urls),
 edges AS (SELECT src, dst, count(*)::DOUBLE AS n FROM (SELECT DISTINCT src, dst, page_id FROM links) WHERE dst <> '' AND dst <> src GROUP BY src, dst),
