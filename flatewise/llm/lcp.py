@@ -4,9 +4,10 @@ Level 0 is the sequence of code points.  At every level, runs of one symbol beco
 tossing (the position and value of the lowest bit in which a name differs from its left neighbour's, repeated until
 labels are below 8) leaves no two neighbours alike; label maxima begin phrases of bounded length; a phrase's name is
 a hash of the names inside it.  Where a phrase begins depends on a few neighbouring names only, so equal substrings
-have the same names inside, whatever their offset.  A fingerprint is the bottom-k sketch of the distinct phrase
-names of the levels from `LEVELS` (and of all levels where a text is short); the likeness of two is the share of common names (Dice) that
-the union's bottom-k estimates.
+have the same names inside, whatever their offset.  Levels are built until a text is one phrase.  A fingerprint is the
+bottom-k sketch of the distinct phrase names of the levels from `LOWEST` up (of all levels where the first has fewer
+than `SHORT` phrases), each level's names salted by it; the likeness of two is the share of common names (Dice) that the
+union's bottom-k estimates.
 
 Texts of a batch are parsed together with numpy; document borders are phrase borders, and labels start afresh there.
 
@@ -14,8 +15,8 @@ Neighbours (the next document in descending doc_id) are found without a global s
 quantiles cut the table into ranges, rows go to their range, and the border document of a range is sent to both.
 
 Defined cases: null text is empty; the empty text's fingerprint is the empty string, like itself only (likeness 1);
-rows with the same doc_id are ordered by text, equal rows too take one another as next; a null doc_id sorts as the
-smallest; with a single row the next document is itself; other columns are ignored; an empty table gives an empty
+rows with the same doc_id are ordered by the MD5 of their text, equal rows too take one another as next; a null doc_id
+sorts as the smallest; with a single row the next document is itself; other columns are ignored; an empty table gives an empty
 table.
 """
 
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatewise.llm.common import mix64, shuffle_width, slices
+from flatewise.llm.common import deal_slots, keyed, mix64, shuffle_width, slices
 
-LEVELS = (2, 3)
+LOWEST = 2
+SHORT = 64
+NAME_BITS = 44
 SKETCH = 64
 BATCH_CHARS = 400_000
 U = np.uint64
@@ -101,21 +104,26 @@ def parse(texts: list[str]) -> list[np.ndarray]:
     first = np.zeros(len(names), bool)
     first[(np.cumsum(sizes) - sizes)[filled]] = True
     kept_names, kept_owner = [], []
-    short = np.zeros(len(texts), bool)
-    for level in range(1, max(LEVELS) + 1):
+    short, level = None, 0
+    while len(names):  # a level about halves the names of a text
         names, first, owner = phrases(names, first, owner)
-        if level == 1:
-            short = np.bincount(owner, minlength=len(texts)) < 64
-        use = slice(None) if level in LEVELS else short[owner]
-        salted = names[use] ^ U(level)
-        kept_names.append(salted)
+        level += 1
+        if short is None:
+            short = np.bincount(owner, minlength=len(texts)) < SHORT
+        use = slice(None) if level >= LOWEST else short[owner]
+        kept_names.append(mix64(names[use] ^ U(level)) >> U(64 - NAME_BITS))
         kept_owner.append(owner[use])
+        more = np.bincount(owner, minlength=len(texts))[owner] > 1
+        names, first, owner = names[more], first[more], owner[more]
     names, owner = np.concatenate(kept_names), np.concatenate(kept_owner)
-    # texts of a batch are few: the owner fits above a 44-bit name
-    keys = np.unique((owner.astype(U) << U(44)) | (mix64(names) >> U(20)))
-    cut = np.searchsorted(keys >> U(44), np.arange(len(texts) + 1).astype(U))
+    order = np.lexsort((names, owner))
+    names, owner = names[order], owner[order]
+    fresh = np.ones(len(names), bool)
+    fresh[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+    names, owner = names[fresh], owner[fresh]
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
     for k in filled:
-        found[k] = keys[cut[k] : cut[k + 1]] & U((1 << 44) - 1)
+        found[k] = names[cut[k] : cut[k + 1]]
     return found
 
 
@@ -151,7 +159,7 @@ def fingerprint_rows(rows: list[tuple[int | None, str, str]]):
     prints = []
     for group in (texts, following[-1:], changed):
         out = []
-        for a, b in slices([len(t) for t in group], BATCH_CHARS):
+        for a, b in slices([len(t) + 1 for t in group], BATCH_CHARS):
             out += [sketch(s) for s in parse(group[a:b])]
         prints.append(out)
     own, last, new = prints
@@ -173,43 +181,38 @@ def fingerprint_rows(rows: list[tuple[int | None, str, str]]):
 
 
 def range_batches(bounds: np.ndarray):
-    """Rows by range; bounds are existing ids, the greatest of their ranges, which also go to the range above as
-    donors.  The greatest id of all is the donor of the lowest range."""
+    """Rows (key, doc_id, text) by range; bounds are existing keys, the greatest of their ranges, which also go to the
+    range above as donors.  The greatest key of all is the donor of the lowest range."""
 
     def run(batches):
         for batch in batches:
-            ids = np.array([-(1 << 63) if i is None else i for i in batch.column(0).to_pylist()], dtype=np.int64)
-            part = np.searchsorted(bounds, ids, side="left")
+            keys = batch.column(0).to_numpy()
+            part = np.searchsorted(bounds, keys, side="left")
             border = part < len(bounds)
-            border[border] = bounds[part[border]] == ids[border]
+            border[border] = bounds[part[border]] == keys[border]
             donor = np.flatnonzero(border)
             target = (part[donor] + 1) % len(bounds)
-            take = np.concatenate([np.arange(len(ids)), donor])
+            take = pa.array(np.concatenate([np.arange(len(keys)), donor]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([part, target]).astype(np.int32)), pa.array(ids[take]), pa.array(np.concatenate([np.zeros(len(ids), bool), np.ones(len(donor), bool)])), batch.column(1).take(pa.array(take))],
-                names=["part", "id", "donor", "text"],
+                [pa.array(np.concatenate([part, target]).astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([np.zeros(len(keys), bool), np.ones(len(donor), bool)])), batch.column(2).take(take)],
+                names=["slot", "down", "doc_id", "donor", "text"],
             )
 
     return run
 
 
 def neighbour_batches(batches):
-    """Rows come sorted by part, then descending id (donors last): each takes the next row's text."""
+    """Rows come sorted by slot, then descending key (donors last): each takes the next row's text."""
     flush = 2_000_000
     rows: list[tuple[int | None, str, str]] = []
     held, total = None, 0
-    donors: list[str] = []
-
-    def real(i):
-        return None if i == -(1 << 63) else i
-
     for batch in batches:
-        for part, i, donor, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for slot, doc, donor, text in zip(*(batch.column(n).to_pylist() for n in ("slot", "doc_id", "donor", "text"))):
             text = text or ""
-            if held is not None and held[0] == part:
-                rows.append((real(held[1]), held[2], text))
-                total += len(text)
-            held = None if donor else (part, i, text)
+            if held is not None and held[0] == slot:
+                rows.append((held[1], held[2], text))
+                total += len(text) + 100
+            held = None if donor else (slot, doc, text)
             if total >= flush:
                 yield fingerprint_rows(rows)
                 rows, total = [], 0
@@ -221,14 +224,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row of SCHEMA for every document."""
     spark = docs.sparkSession
     n = shuffle_width(spark)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    lowest = -(1 << 63)
-    ids = docs.select(F.coalesce("doc_id", F.lit(lowest)).alias("id"))
+    rows = keyed(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
     parts = [k / n for k in range(1, n)]
-    quantiles = ids.agg(F.max("id").alias("top"), F.percentile_approx("id", parts or [0.5], 10_000).alias("cuts")).first()
+    quantiles = rows.agg(F.max("__key").alias("top"), F.percentile_approx("__key", parts or [0.5], 10_000).alias("cuts")).first()
     if quantiles["top"] is None:
         return spark.createDataFrame([], SCHEMA)
     bounds = np.unique(np.array([*(quantiles["cuts"] if n > 1 else []), quantiles["top"]], dtype=np.int64))
-    sent = docs.mapInArrow(range_batches(bounds), "part int, id long, donor boolean, text string")
-    ordered = sent.repartition(n, "part").sortWithinPartitions("part", "donor", F.desc("id"), "text")
-    return ordered.mapInArrow(neighbour_batches, SCHEMA)
+    sent = rows.mapInArrow(range_batches(bounds), "slot int, down long, doc_id long, donor boolean, text string")
+    return deal_slots(sent.withColumn("down", -F.col("down")), "donor", "down").mapInArrow(neighbour_batches, SCHEMA)

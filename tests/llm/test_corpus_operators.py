@@ -239,6 +239,47 @@ def test_nested_content_keeps_the_whole_article(spark, tag):
     assert got[0] == got[2] == ["Title", "Lead", *lines, "Rest"] and got[1] == got[3] == ["Title", *lines, "Rest"]
 
 
+def test_text_beside_the_article_and_paragraphs_named_like_site_parts_stay(spark):
+    long = "long body text of the story " * 15
+    page = PAGE.format(f"<div class=a1><h1>Title</h1></div><div class=b2><p>{long}</p><p id='related-work'>Related work</p><p class='advert'>buy</p><p class='social-history ad'>gone</p></div><div class=c3><p>The end</p></div><div><a href=x>only links</a></div>")
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract_pages(df).collect()} == {"\n".join(["Title", long.strip(), "Related work", "The end"])}
+
+
+def brute_extract(pages, path_of=lambda page: page.path):
+    """The consensus by definition, over one page at a time and plain sums."""
+    parsed = [(url.split("://", 1)[1].split("/")[0] if url and "://" in url else "", html.Page(source or "")) for url, source in pages]
+    votes = {}
+    for host, page in parsed:
+        found = page.scores()
+        for path, value in found.items():
+            votes.setdefault(host, {}).setdefault(path, []).append(value / sum(found.values()))
+    out = []
+    for host, page in parsed:
+        total = {p: round(sum(v), 6) for p, v in votes.get(host, {}).items()}
+        ranked = sorted((p for p in total if total[p] >= 0.01 * sum(total.values())), key=lambda p: (-total[p], p))
+        out.append(next((t for t in (page.text(p) for p in [*ranked, page.best()]) if t is not None), ""))
+    return out
+
+
+def test_the_hosts_vote_changes_a_page(spark):
+    story = lambda n: f"<div class=story><p>{'the text of the story ' * n}</p></div>"
+    aside = lambda n: f"<section><div class=extra><p>{'something else altogether ' * n}</p></div></section>"
+    rows = [(i, f"http://h.com/{i}", f"<html><body><section>{story(20)}</section>{aside(2)}</body></html>") for i in range(8)] + [(9, "http://h.com/9", f"<html><body><section>{story(5)}</section>{aside(30)}</body></html>"), (10, "http://other.com/", f"<html><body><section>{story(5)}</section>{aside(30)}</body></html>")]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9].startswith("the text") and "something" not in got[9] and got[10].startswith("something")
+    assert [got[i] for i, *_ in rows] == brute_extract([r[1:] for r in rows])
+
+
+@pytest.mark.parametrize("source", ["<b" * 1_000_000, '<a "' * 500_000, '<a ">" ' * 100_000, "<div class=x>" * 20_000 + "t" + "</div>" * 20_000, "<i x>" + "<b x>" * 30_000 + "</i>" * 30_000, "<!--" * 100_000, "<script>" * 50_000])
+def test_long_and_broken_pages_take_linear_time(source):
+    import time
+
+    start = time.time()
+    html.extract(source, None)
+    assert time.time() - start < 10
+
+
 def test_salted_path_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.com/{i}", PAGE.format(f"<article><p>text {i}</article>")) for i in range(9)], "page_id long, url string, html string")
     plain = sorted(map(tuple, html.extract_pages(df).collect()))
@@ -287,6 +328,19 @@ def test_link_targets_and_blocked_paths_are_seeds(spark):
     assert verdicts(spark, rows) == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
 
 
+def test_links_decide_among_subdomains_with_mixed_pages(spark):
+    """Hosts like the tables': subdomains of a few domains, some with pages that rules allow and pages that rules block."""
+    two = lambda *u: "".join(f"<a href='//{x}'>l</a><a href='/the'>own</a>" for x in u)
+    rows = [(1, "http://m.mixed.example.net/en/1", ""), (2, "http://m.mixed.example.net/de/1", ""), (3, "http://www.spam.example.com/en/1", two("m.mixed.example.net/de/1")), (4, "http://www.spam.example.com/de/2", ""),
+            (5, "http://blog.farm.example.org/de/1", two("www.spam.example.com/en/1", "www.spam.example.com/fr/2")), (6, "http://good.example.org/fr/1", two("friend.example.com/en/1")), (7, "http://friend.example.com/en/1", two("m.mixed.example.net/en/1")),
+            (8, "http://plain.example.com/en/1", two("nobody.example.com/en/1")), (9, "http://plain.example.com/de/1", "")]
+    assert verdicts(spark, rows) == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "block"}
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("pages", pa.Table.from_pylist([dict(zip(("page_id", "url", "html"), r)) for r in rows]))
+    assert {r[0]: r[4] for r in con.execute(urlfilter.judge_sql()).fetchall()} == verdicts(spark, rows)
+
+
 # ---- 5 embeddings, 6 SimHash
 
 
@@ -516,6 +570,68 @@ def test_fingerprints_match_the_definition(spark, texts):
     assert lcp.fingerprint_documents(docs(spark, ODD).where("false")).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & M64
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & M64
+    return x ^ x >> 33
+
+
+def plain_level(names):
+    """One level of locally consistent parsing, name by name."""
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    names = [x if n == 1 else plain_mix((x + plain_mix(n)) & M64) for x, n in runs]
+    labels, bits = names, 64
+    while bits > 3:
+        new = []
+        for i, x in enumerate(labels):
+            left = labels[i - 1] if i else x ^ 1
+            place = ((x ^ left) & -(x ^ left)).bit_length() - 1 if x != left else 64
+            new.append(place << 1 | (x >> place & 1 if place < 64 else 0))
+        labels, bits = new, max(3, (2 * bits - 1).bit_length())
+    starts = [0]
+    tops = [0 < i < len(names) - 1 and labels[i] > labels[i - 1] and labels[i] >= labels[i + 1] for i in range(len(names))]
+    marked = [i == 0 or t for i, t in enumerate(tops)]
+    starts += [i for i in range(1, len(names)) if marked[i] and not marked[i - 1]]
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(names)]):
+        total = sum(plain_mix((x + k * 0x9E3779B97F4A7C15) & M64) for k, x in enumerate(names[a:b]))
+        out.append(plain_mix(total & M64))
+    return out
+
+
+def plain_print(text):
+    if not text:
+        return ""
+    names, found, level, short = [plain_mix(ord(c) + 1) for c in text], set(), 0, False
+    while level == 0 or len(names) > 1:
+        names = plain_level(names)
+        level += 1
+        short = len(names) < 64 if level == 1 else short
+        if level >= 2 or short:
+            found |= {plain_mix(x ^ level) >> 20 for x in names}
+    return "".join(f"{x:011x}" for x in sorted(found)[:64])
+
+
+def test_fingerprints_match_a_plain_parser():
+    rng = random.Random(31)
+    texts = ["", "a", "ab", "aaaa" * 50, "ab" * 200, "é\U0001F600x", "x" * 5000] + [prose(rng, n) for n in (1, 3, 20, 90, 400, 1500)]
+    assert [lcp.sketch(x) for x in lcp.parse(texts)] == [plain_print(t) for t in texts]
+
+
+def test_fingerprints_of_many_empty_texts():
+    assert lcp.sketch(lcp.parse([""] * (2**20 + 1) + ["some text"])[-1]) == plain_print("some text")
+
+
 # ---- shared pieces
 
 
