@@ -8,6 +8,7 @@ import sys
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def session() -> SparkSession:
@@ -35,7 +36,10 @@ def main(argv: list[str] | None = None) -> int:
     verb("reencode", path)
     verb("corpus", (("out",), {}), (("--dir",), {"default": None}), (("--limit",), {"type": int, "default": None}))
     verb("train", (("corpus",), {}), (("out",), {}), (("--trees",), {"type": int, "default": 150}))
-    verb("evaluate", (("corpus",), {}), model)
+    verb("evaluate", (("corpus",), {}), (("--trees",), {"type": int, "default": 40}), (("--leave-out",), {"action": "store_true"}), (("--html",), {"default": None}))
+    verb("app", path, (("name",), {}), (("out",), {}))
+    verb("models", (("root",), {}))
+    verb("experiments", (("model",), {}), (("--dir",), {"default": None}))
     verb("encoders")
     verb("producers")
     verb("covert-embed", path, (("message",), {}), (("out",), {}))
@@ -43,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
 
     from flatewise.operators import covert, encoders, inflate, streams
-    from flatewise.plans import analyse, evaluation, report, verdict
+    from flatewise.plans import analyse, assess, report, verdict
     from flatewise.plans import model as models
     from flatewise.sources import containers, corpus
 
@@ -90,14 +94,29 @@ def main(argv: list[str] | None = None) -> int:
         corpus.save(rows, a.out)
         print(f"{errors.count()} settings failed")
         return 0
+    if a.verb == "models":
+        assess.stored_models(spark, a.root).show(100, False)
+        return 0
+    if a.verb == "app":
+        found = containers.stream_rows(containers.scan_table(corpus.documents_in(spark, a.path)))
+        files = corpus.documents_in(spark, a.path).select("path", F.sha2("content", 256).alias("file_hash"))
+        described = streams.proofs(streams.decode(found.select("path", "payload", found["payload"].alias("_p")), "_p", output=True))
+        rows = described.select("path", "payload", F.sha2("payload", 256).alias("hash"), F.col("compressed_bytes").alias("size"), F.col("zlib_proof").isNotNull().alias("reproduced"), F.lit(a.name).alias("app")).join(files, "path")
+        assess.add_application(rows, "zlib").write.mode("overwrite").parquet(a.out)
+        return 0
+    if a.verb == "experiments":
+        made = corpus.directory(containers.read_files(spark, a.dir)) if a.dir else corpus.synthetic(spark, sizes=(6000, 24000), per=2, seed=1)
+        assess.experiments(assess.build_archives(made), models.load(spark, a.model)).orderBy("writer", "variant").show(100, False)
+        return 0
     rows = corpus.load(spark, a.corpus)
     if a.verb == "train":
         models.fit(rows, a.trees).save(a.out)
         return 0
-    loaded = models.load(spark, a.model) if a.model else models.fit(rows, 40)
-    said = loaded.predict(models.training_rows(rows)).selectExpr("profile truth", "top", "not abstained answered", "case when abstained then null else top end predicted")
-    evaluation.closed_set(said).show()
-    evaluation.class_metrics(said).show()
+    sections = {name: [r.asDict(recursive=True) for r in found.limit(1000).collect()] for name, found in assess.evaluate(rows, None, a.trees, a.leave_out).items()}
+    print(json.dumps(sections, indent=2, default=str))
+    if a.html:
+        with open(a.html, "w", encoding="utf-8") as f:
+            f.write(report.evaluation_html(sections))
     return 0
 
 

@@ -87,17 +87,29 @@ def analyse_path(spark: SparkSession, path: str, model: Model | None = None) ->
     return analyse(containers.read_files(spark, path), model)
 
 
+# fixed values: extra fields that have a feature of their own
+EXTRA_IDS = ("0x0001", "0x000A", "0x5455", "0x7875", "0xCAFE", "0x7075", "0x6375", "0x5855")
+
+
 def metadata_features(reports: DataFrame) -> DataFrame:
-    """What headers alone tell of an archive: the input of the metadata baseline."""
+    """What headers alone tell of an archive, as numbers by path: the input of the metadata baseline."""
     e = F.filter("entries", lambda x: x["method"] == 8)
     first = F.coalesce(F.try_element_at(e, F.lit(1)), F.try_element_at("entries", F.lit(1)))
+    of = lambda s, name: F.coalesce(F.try_element_at(s["metadata"], F.lit(name)), F.lit(""))
+    head = F.try_element_at("streams", F.lit(1))["metadata"]
+    number = lambda name: F.coalesce(F.try_element_at(head, F.lit(name)).try_cast("long"), F.lit(0).cast("long"))
+    overall = lambda name: F.coalesce(F.try_element_at("metadata", F.lit(name)).try_cast("double"), F.lit(0.0))
+    extras = F.array_distinct(F.filter(F.transform(F.flatten(F.transform("streams", lambda s: F.split(F.regexp_replace(of(s, "extra"), r"[\[\]' ]", ""), ","))), lambda x: F.substring_index(x, ":", 1)), lambda x: x != ""))
+    times = F.transform("streams", lambda s: of(s, "time"))
     n = F.greatest(F.size("entries"), F.lit(1))
-    extras = F.array_distinct(F.flatten(F.transform("streams", lambda s: F.split(F.regexp_replace(F.coalesce(F.try_element_at(s["metadata"], F.lit("extra")), F.lit("[]")), r"[\[\]' ]", ""), ","))))
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return reports.where(F.size("entries") > 0).select(
-        "path", flag(F.shiftright(first["version_made_by"], 8)).alias("host"), flag(first["version_made_by"].bitwiseAND(255)).alias("version"), flag(first["flags"].bitwiseAND(8) != 0).alias("descriptor"), flag(first["flags"].bitwiseAND(0x800) != 0).alias("utf8"),
-        flag(first["option_bits"]).alias("option_bits"), F.size(F.filter(extras, lambda x: x != "")).cast("double").alias("n_extra"), (F.size(F.filter("entries", lambda x: x["method"] == 0)) / n).alias("stored_share"),
-        flag(F.try_element_at("metadata", F.lit("prepended_bytes")).cast("int") > 0).alias("prepended"), flag(F.try_element_at("metadata", F.lit("distinct_timestamps")).cast("int") / n).alias("timestamps_share"))
+    values = {
+        "host": F.shiftright(first["version_made_by"], 8), "version": first["version_made_by"].bitwiseAND(255), "descriptor": first["flags"].bitwiseAND(8) != 0, "utf8": first["flags"].bitwiseAND(0x800) != 0, "option_bits": first["option_bits"],
+        "n_extra": F.size(extras), "extra_unknown": F.exists(extras, lambda x: ~x.isin(*EXTRA_IDS)), "date_1980": F.exists(times, lambda t: t.startswith("1980")), "odd_seconds": F.lit(0.0), "timestamps_share": F.size(F.array_distinct(times)) / F.greatest(F.size(times), F.lit(1)),
+        "unix_attributes": F.shiftright(number("external_attr"), 16) != 0, "no_attributes": number("external_attr") == 0, "text_attribute": number("internal_attr").bitwiseAND(1), "stored_share": F.size(F.filter("entries", lambda x: x["method"] == 0)) / n,
+        "comment_length": overall("comment_length"), "prepended": overall("prepended_bytes") > 0, "has_entries": F.size("entries") > 0, **{f"extra_{x}": F.array_contains(extras, x) for x in EXTRA_IDS},
+    }
+    return reports.where(F.size("entries") > 0).select("path", *[flag(c).alias(k) for k, c in values.items()])
 
 
 def metadata_robustness(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flatewise.functions import features, rules
+from flatewise.functions import features, rules, udtf
 from flatewise.functions import stats as S
 from flatewise.operators import covert, decisions, encoders, inflate, rewrite, streams
+from flatewise.plans import assess as A
 from flatewise.plans import evaluation as E
 from flatewise.plans import proofs
 from flatewise.plans import verdict as V
@@ -515,6 +516,102 @@ def rollup_rates(spark, sf):
     return E.rates(d, F.col("quality") == 1, "lang", "source").withColumn("rate", F.round("rate", 6))
 
 
+# ---- assessment ---------------------------------------------------------------------------------------------------
+
+JUDGED = """j AS (SELECT l_returnflag AS label, l_discount > 0.09 AS abstained, CASE WHEN l_partkey % 3 = 0 THEN ['A', 'N'] ELSE [l_returnflag] END AS profiles,
+ CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_linestatus END AS setting, CASE WHEN l_linenumber % 2 = 0 THEN ['O'] ELSE ['F', 'O'] END AS known FROM lineitem)"""
+
+
+@query(f"WITH {JUDGED} SELECT label, count(*) AS n, round(avg(list_contains(known, setting)::INT), 6) AS accuracy FROM j WHERE NOT abstained AND list_contains(profiles, label) AND setting IS NOT NULL GROUP BY label")
+def setting_metrics(spark, sf):
+    known = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("O"))).otherwise(F.array(F.lit("F"), F.lit("O")))
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("label"), (F.col("l_discount") > 0.09).alias("abstained"), F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("A"), F.lit("N"))).otherwise(F.array("l_returnflag")).alias("profiles"),
+                                               F.when(F.col("l_suppkey") % 5 != 0, F.col("l_linestatus")).alias("setting"), F.create_map("l_returnflag", known).alias("settings"))
+    return A.setting_metrics(rows).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['go:' || p_size, '9', '10', 'fast'] WHEN 1 THEN ['go:10', 'java:' || p_size] WHEN 2 THEN ['smallest', 'optimal'] ELSE [p_size::VARCHAR || 'f', '6', 'x:1'] END AS settings FROM part),
+u AS (SELECT p_partkey, unnest(settings) AS s FROM s), k AS (SELECT *, regexp_replace(split_part(s, ':', -1), '[^0-9]', '', 'g') AS d, contains(s, ':') AS foreign_name FROM u)
+SELECT p_partkey, s AS setting FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY foreign_name, d = '', coalesce(nullif(d, '')::BIGINT, 0), s) AS r FROM k) WHERE r = 1""")
+def canonical_setting(spark, sf):
+    size = F.col("p_size").cast("string")
+    settings = (
+        F.when(F.col("p_partkey") % 4 == 0, F.array(F.concat(F.lit("go:"), size), F.lit("9"), F.lit("10"), F.lit("fast"))).when(F.col("p_partkey") % 4 == 1, F.array(F.lit("go:10"), F.concat(F.lit("java:"), size)))
+        .when(F.col("p_partkey") % 4 == 2, F.array(F.lit("smallest"), F.lit("optimal"))).otherwise(F.array(F.concat(size, F.lit("f")), F.lit("6"), F.lit("x:1")))
+    )
+    return table(spark, sf, "part").select("p_partkey", A.canonical_setting(settings).alias("setting"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE lang END AS profile, doc_id % 11 = 0 AS synthetic, CASE WHEN doc_id % 5 = 0 THEN 'app' ELSE 'corpus' END AS origin, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'holdout' END AS own, source FROM documents),
+s AS (SELECT source, CASE WHEN md5(source) < '8' THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT source FROM documents)),
+p AS (SELECT d.*, CASE WHEN origin = 'app' THEN CASE WHEN own = 'holdout' THEN 'test' ELSE own END ELSE s.split END AS part FROM d LEFT JOIN s ON s.source = d.source)
+SELECT doc_id, coalesce(part = 'train' AND profile IS NOT NULL AND NOT synthetic AND coalesce(profile <> 'de', true), false) AS in_train, coalesce(part = 'test' AND NOT synthetic, false) AS in_test FROM p""")
+def selection_masks(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_id"), F.when(F.col("doc_id") % 4 != 3, F.col("lang")).alias("profile"), (F.col("doc_id") % 11 == 0).alias("synthetic"),
+                                             F.when(F.col("doc_id") % 5 == 0, "app").otherwise("corpus").alias("origin"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("holdout").alias("split"))
+    split = d.select("source_id").distinct().select("source_id", F.when(F.md5(F.col("source_id").cast("binary")) < "8", "train").otherwise("test").alias("split"))
+    return A.selection(d, split, ["de"]).select("doc_id", "in_train", "in_test")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, md5(doc_id::VARCHAR) AS m, CASE WHEN doc_id % 3 = 0 THEN ['zlib', lang] ELSE [lang] END AS profiles, CASE WHEN doc_id % 2 = 0 THEN 'zlib' ELSE 'unknown' END AS a, CASE WHEN doc_id % 7 > 0 THEN lang END AS b FROM documents),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m, doc_id) AS k FROM r) WHERE k <= 40), e AS (SELECT 'a' AS method, profiles, a AS said FROM s UNION ALL SELECT 'b', profiles, b FROM s)
+SELECT method, count(*) AS n, count_if(said IS NOT NULL AND said <> 'unknown' AND list_contains(profiles, said))::BIGINT AS correct, count_if(said IS NOT NULL AND said <> 'unknown' AND NOT list_contains(profiles, said))::BIGINT AS wrong, count_if(said IS NULL OR said = 'unknown')::BIGINT AS none,
+ count_if(list_contains(profiles, 'zlib') AND coalesce(said = 'zlib', false))::BIGINT AS zlib_hits, count_if(NOT list_contains(profiles, 'zlib') AND coalesce(said = 'zlib', false))::BIGINT AS zlib_false, count_if(list_contains(profiles, 'zlib') AND NOT coalesce(said = 'zlib', false))::BIGINT AS zlib_missed FROM e GROUP BY method""")
+def baseline_comparison(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("hash"), F.col("lang").alias("profile"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("zlib"), "lang")).otherwise(F.array("lang")).alias("profiles"), F.when(F.col("doc_id") % 2 == 0, "zlib").otherwise("unknown").alias("a"), F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("b"))
+    return A.comparison(rows, ["a", "b"])
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority AS app, o_custkey AS hash, o_totalprice AS size, o_orderkey % 50 < CASE WHEN o_orderpriority < '3' THEN 49 ELSE 30 END AS reproduced, sha256(o_clerk_like) AS f FROM (SELECT *, (o_orderkey // 4)::VARCHAR AS o_clerk_like FROM orders)),
+o AS (SELECT *, CASE WHEN ('0x' || substr(f, 1, 2))::INTEGER % 2 = 0 THEN 'train' ELSE 'holdout' END AS own FROM r), seen AS (SELECT hash, max((own = 'train')::INT) AS t FROM o GROUP BY hash),
+share AS (SELECT app, avg(reproduced::INT) AS share FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY size DESC, hash) AS k FROM r) WHERE k <= 200 GROUP BY app)
+SELECT o.o_orderkey, CASE WHEN share >= 0.95 THEN 'zlib' ELSE o.app END AS profile, CASE WHEN t = 1 THEN 'train' ELSE 'holdout' END AS split FROM o JOIN seen ON seen.hash = o.hash JOIN share ON share.app = o.app""")
+def application_rows(spark, sf):
+    """Orders as streams of applications (their priority), customers as stream hashes, four orders a file."""
+    share = F.when(F.col("o_orderpriority") < "3", 49).otherwise(30)
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("app"), F.col("o_custkey").alias("hash"), F.col("o_totalprice").alias("size"), (F.col("o_orderkey") % 50 < share).alias("reproduced"), F.sha2(F.floor(F.col("o_orderkey") / 4).cast("string").cast("binary"), 256).alias("file_hash"))
+    return A.add_application(rows, "zlib").select("o_orderkey", "profile", "split")
+
+
+@query("SELECT count(*) AS streams, count(DISTINCT sha256(coalesce(text, ''))) AS sources, 1::BIGINT AS missing FROM documents")
+def regenerated_streams(spark, sf):
+    """Corpus rows made anew from their sources; one row that nothing makes is reported."""
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content")), "source_id")
+    rows = streams.compress(docs, [("zlib", "9")]).select("source_id", F.sha2("payload", 256).alias("hash"))
+    made, missing = A.regenerate(rows.union(spark.createDataFrame([("0", "none")], "source_id string, hash string")), docs, [("zlib", "9"), ("zlib", "1")])
+    out = streams.decode(made.select("source_id", F.col("payload").alias("p")), "p", output=True)
+    return out.agg(F.count("*").alias("streams"), F.count_distinct(F.sha2("output", 256)).alias("sources")).crossJoin(missing.agg(F.count("*").alias("missing")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'python-zipfile' ELSE 'own' END AS writer FROM documents")
+def metadata_baseline(spark, sf):
+    """Writers told apart by headers alone: archives of every document by two writers in turn."""
+    def make(data):
+        d, content = int(data[0]), bytes(data[1] or b"")[:300]
+        return A.WRITERS["own" if d % 2 else "python-zipfile"][1]([("a.xml", content), ("b.xml", content[:50])])
+
+    docs = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.struct(F.col("doc_id").alias("d"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("c")).alias("s"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in b.column(0).to_pylist()]), pa.array([make((s["d"], s["c"])) for s in b.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+
+    reports = E.cut(containers.scan_table(docs.mapInArrow(run, "path string, content binary")))
+    labelled = reports.withColumn("writer", F.when(F.col("path").cast("long") % 2 == 0, "python-zipfile").otherwise("own"))
+    said = A.metadata_predictions(A.metadata_model(labelled, "writer"), reports)
+    return said.select(F.col("path").cast("long").alias("doc_id"), "writer")
+
+
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS literals, 0::BIGINT AS matches FROM documents")
+def sql_table_function(spark, sf):
+    """Blocks of streams without matches, read by a table function in SQL."""
+    udtf.register(spark)
+    compressed(spark, sf, ("zlib-strategies", "huff")).select("doc_id", "payload").createOrReplaceTempView("flatewise_streams")
+    return spark.sql("SELECT doc_id, sum(b.literals) AS literals, sum(b.matches) AS matches FROM flatewise_streams, LATERAL deflate_blocks(payload) b GROUP BY doc_id")
+
+
 # ---- statistics over sequences ------------------------------------------------------------------------------------
 
 

@@ -190,6 +190,7 @@ def scan_zip(data: bytes, kind: str) -> dict:
         "entry_order": [e["name"] for e in entries[:200]], "hosts": sorted(hosts), "versions": sorted(versions), "flags": sorted({e["flags"] for e in entries}), "extra_kinds": sorted(kinds),
         "first_timestamp": times[0] if times else None, "distinct_timestamps": len(set(times)), "option_bits_seen": sorted({e["option_bits"] for e in entries if e["method"] == 8}),
         "duplicate_names": doubled[:50], "backslash_names": slashes, "prepended_bytes": min((e["local_header_offset"] for e in entries), default=0), "zip64": end_record64(data, end_record(data)) is not None,
+        "comment_length": struct.unpack_from("<H", data, end_record(data) + 20)[0],
     }
     out["claims"] = claims(data, entries)
     return out

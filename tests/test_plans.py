@@ -133,7 +133,7 @@ def test_query_matches_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "labels", "lineitem", "part", "pages", "embeddings", "conversations", "events", "benchmark", "customer", "nation"):
+    for t in ("documents", "labels", "lineitem", "part", "pages", "embeddings", "conversations", "events", "benchmark", "customer", "nation", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(catalogue.oracle_sql()[name])
     columns = [c[0] for c in want.description]
