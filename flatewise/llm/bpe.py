@@ -5,8 +5,11 @@ case; then words, single digits, punctuation runs).  Short pieces are merged dir
 into leaves; the leaves are encoded independently, and neighbours are joined level by level up a binary tree.  A
 join re-encodes a window of tokens around the seam and doubles it until the window's first token is the left side's
 token there and its last token the right side's: a token sequence is the encoding of its text exactly when every
-adjacent pair is, so both agreements make the joined sequence exact.  All leaves and all joins of a level are
-independent of one another; nothing is ever cut to a prefix.
+adjacent pair is, so both agreements make the joined sequence exact.  Nothing is ever cut to a prefix.
+
+Texts of up to `LONG_TEXT` characters are encoded in one go, documents side by side.  A longer one becomes rows: bundles
+of whole pieces, and the leaves of pieces of over `PART` symbols.  All rows are encoded in parallel, and the leaves of a
+piece are joined level by level, every join of a level in parallel, until each piece is one row.
 
 Defined cases: null text is the empty text; empty text has 0 tokens and the digests of the empty string; repeated
 rows each give a row; null doc_id is kept; other columns are ignored; an empty table gives an empty table.
@@ -23,9 +26,14 @@ import unicodedata
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flatewise.llm.common import checkpoint, shuffle_width
 
 LEAF = 48
 CACHE_ENTRIES = 400_000
+LONG_TEXT = 1 << 18
+PART = 1 << 15
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -199,6 +207,18 @@ class WordBpe:
             found = [self.lookup(w) for w in words]
         return " ".join([a for a, _ in found if a]), " ".join([b for _, b in found if b])
 
+    def items(self, text: str):
+        """(piece in byte symbols or special token, is it special) of a text, in order."""
+        for part in self.specials.split(text) if "<|" in text else [text]:
+            if part in self.special:
+                yield part, True
+            elif part:
+                pieces = self.library_pieces(part) if not part.isascii() and self.unlike(part) else self.own_pieces(part)
+                yield from ((p, False) for p in pieces)
+
+    def ids(self, tokens: list[str]) -> str:
+        return " ".join(str(self.special.get(t, self.vocab.get(t))) for t in tokens)
+
     def encode(self, text: str) -> list[int]:
         ids, _ = self.encode_text(text)
         return [int(i) for i in ids.split()]
@@ -230,6 +250,111 @@ def encode_batches(path: str, unlike: str):
     return run
 
 
+ROWS = "digest string, item long, place long, ends boolean, leaf boolean, pieces array<string>, special array<boolean>"
+TOKENS = "digest string, item long, place long, leaf boolean, tokens array<string>"
+
+
+def cut_batches(path: str, unlike: str):
+    """Long texts (digest, text) as rows: bundles of pieces, and leaves of long pieces (the last one `ends`)."""
+
+    def run(batches):
+        bpe = load(path, unlike)
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, bundle, size = [], [], 0
+
+                def flush():
+                    if bundle:
+                        rows.append((digest, rows[-1][1] + 1 if rows else 0, 0, True, False, [p for p, _ in bundle], [s for _, s in bundle]))
+                        bundle.clear()
+
+                for piece, special in bpe.items(text):
+                    if len(piece) <= PART or special:
+                        bundle.append((piece, special))
+                        size += len(piece)
+                        if size >= PART:
+                            flush()
+                            size = 0
+                        continue
+                    flush()
+                    size, item = 0, rows[-1][1] + 1 if rows else 0
+                    rows += [(digest, item, k // PART, k + PART >= len(piece), True, [piece[k : k + PART]], [False]) for k in range(0, len(piece), PART)]
+                flush()
+                if rows:
+                    types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in ROWS.split(", ")])
+
+    return run
+
+
+def row_batches(path: str, unlike: str):
+    """Tokens of every row, each by itself."""
+
+    def run(batches):
+        bpe = load(path, unlike)
+        for batch in batches:
+            out = []
+            for ends, leaf, pieces, special in zip(*(batch.column(n).to_pylist() for n in ("ends", "leaf", "pieces", "special"))):
+                if leaf:
+                    symbols = list(pieces[0])
+                    out.append(bpe.encode_symbols([*symbols[:-1], symbols[-1] + bpe.suffix] if ends else symbols))
+                else:
+                    out.append([t for p, s in zip(pieces, special) for t in ([p] if s else bpe.encode_piece(list(p)))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("digest", "item", "place", "leaf")), pa.array(out, pa.list_(pa.string()))], names=[f.split()[0] for f in TOKENS.split(", ")])
+
+    return run
+
+
+def join_batches(path: str, unlike: str):
+    """Neighbouring halves (one or two rows of tokens) as one row."""
+
+    def run(batches):
+        bpe = load(path, unlike)
+        for batch in batches:
+            halves = [[h["tokens"] for h in pair] for pair in batch.column(3).to_pylist()]
+            joined = [bpe.join(*h) if len(h) == 2 else h[0] for h in halves]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([True] * len(joined)), pa.array(joined, pa.list_(pa.string()))], names=[f.split()[0] for f in TOKENS.split(", ")])
+
+    return run
+
+
+def digest_batches(path: str, unlike: str):
+    def run(batches):
+        bpe = load(path, unlike)
+        for batch in batches:
+            tokens = [[t for item in items for t in item["tokens"]] for items in batch.column(1).to_pylist()]
+            sha = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([sha(bpe.ids(t)) for t in tokens]), pa.array([sha(" ".join(t)) for t in tokens])],
+                names=["digest", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return run
+
+
+def encode_long(docs: DataFrame, vocabulary: str, unlike: str) -> DataFrame:
+    """The same for long texts, whose pieces and leaves are rows; equal texts are encoded once."""
+    keyed = docs.withColumn("digest", F.sha2("text", 256))
+    rows = keyed.groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(cut_batches(vocabulary, unlike), ROWS)
+    spread = rows.repartition(shuffle_width(docs.sparkSession), "digest", "item", "place")
+    tokens = checkpoint(spread.mapInArrow(row_batches(vocabulary, unlike), TOKENS))
+    whole, leaves = tokens.where("not leaf"), tokens.where("leaf")
+    while (leaves.agg(F.max("place")).first()[0] or 0) > 0:
+        pairs = leaves.groupBy("digest", "item", F.floor(F.col("place") / 2).alias("place")).agg(F.sort_array(F.collect_list(F.struct("place", "tokens"))).alias("halves"))
+        leaves = checkpoint(pairs.mapInArrow(join_batches(vocabulary, unlike), TOKENS))
+    items = whole.union(leaves).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("item", "tokens"))).alias("items"))
+    found = items.mapInArrow(digest_batches(vocabulary, unlike), "digest string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    empty = F.lit(hashlib.sha256(b"").hexdigest())  # a long text of white space has no items
+    joined = keyed.select("doc_id", "digest").join(found, "digest", "left")
+    return joined.select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("ids_sha256", empty).alias("ids_sha256"), F.coalesce("decoded_sha256", empty).alias("decoded_sha256"))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Token count and digests of ids and decoded text for every row; no shuffle, whole texts."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode_batches(vocabulary, load(vocabulary).unlike_class), SCHEMA)
+    """Token count and digests of ids and decoded text for every row; whole texts.  Only long texts are shuffled."""
+    unlike = load(vocabulary).unlike_class
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    long = F.coalesce(F.length("text") > LONG_TEXT, F.lit(False))
+    short = docs.where(~long).mapInArrow(encode_batches(vocabulary, unlike), SCHEMA)
+    if not docs.where(long).limit(1).take(1):
+        return short
+    return short.union(encode_long(docs.where(long), vocabulary, unlike))
