@@ -226,12 +226,24 @@ def plain_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[n if n in ("doc_id", "text", "n_chars") else f"c{i}_" for i, n in enumerate(df.columns)])
 
 
+def with_minimum(both: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """`both` (a, b) with the row of `low` (a, m, n) of its a; nodes of over `most` neighbours travel as a broadcast, so a
+    hub's edges stay where they are, and there are at most 2 * edges / most of them."""
+    hubs = F.broadcast(low.where(F.col("n") > most).drop("n"))
+    rest = both.join(hubs.select("a"), "a", "left_anti").join(low.where(F.col("n") <= most).drop("n"), "a")
+    return both.join(hubs, "a").unionByName(rest)
+
+
+HUBS = 20_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an edge list (a, b): rows (node, component) with the smallest node id as component.
 
     Alternates the large-star and small-star steps, whose shuffles carry each edge once and never build
-    neighbour lists.  Every round is written to the shared checkpoint folder, so that a lost executor costs a
-    re-read and not the whole history.  Only nodes with an edge appear.
+    neighbour lists; nodes with a large share of all edges are joined by broadcast, at most 2 * `HUBS` of them.  Every
+    round is written to the shared checkpoint folder, so that a lost executor costs a re-read and not the whole
+    history.  Only nodes with an edge appear.
     """
     spark = edges.sparkSession
 
@@ -241,19 +253,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = checkpoint(directed(edges))
     if not now.take(1):
         return spark.createDataFrame([], "node long, component long")
-    before = None
+    before, size = None, now.count()
     for _ in range(max_rounds):
+        most = max(1000, size // HUBS)
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        joined = with_minimum(both, low, most) if size > most else both.join(low.drop("n"), "a")
+        large = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = checkpoint(directed(small.select("e.a", "e.b")))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == tuple(state):
             break
-        before = tuple(state)
+        before, size = tuple(state), state[0]
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

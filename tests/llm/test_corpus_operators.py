@@ -36,8 +36,8 @@ def texts():
 # ---- 1 suffix arrays
 
 
-def brute_repeats(rows):
-    seen, out = {}, {}
+def brute_repeats(rows, kept_texts=None):
+    seen, out, kept_texts = {}, {}, {} if kept_texts is None else kept_texts
     for i, t in sorted(rows, key=lambda r: r[0]):
         d = (t or "").encode()
         mark = bytearray(len(d))
@@ -48,6 +48,7 @@ def brute_repeats(rows):
             else:
                 seen[w] = (i, s)
         kept = bytes(b for b, m in zip(d, mark) if not m)
+        kept_texts[i] = kept.decode("utf-8", "ignore")
         out[i] = (len(d), sum(mark), sum(1 for k in range(len(d)) if mark[k] and (k == 0 or not mark[k - 1])), hashlib.sha256(kept).hexdigest())
     return out
 
@@ -154,6 +155,23 @@ def test_encoding_matches_the_library(spark):
     assert rows.count() == len(ODD) and rows.where("doc_id = 1").first()["ids_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_long_texts_are_encoded_as_rows(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(41)
+    t = Tokenizer.from_file(path)
+    piece = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [" ".join(piece(rng.choice([3, 8, 900])) for _ in range(60)), piece(5000), piece(64 * 16), piece(640) + "<|endoftext|>" + "é" * 700 + " 12 x\u0558 " + "日" * 300, " " * 900, piece(5000) + " end", "short", None]
+    texts.append(texts[1])
+    monkeypatch.setattr(bpe, "LONG_TEXT", 500)
+    monkeypatch.setattr(bpe, "PART", 64)
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.encode_documents(docs(spark, [(i, x, "en", None) for i, x in enumerate(texts)]), path).collect()}
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+        assert got[i] == (len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))), i
+
+
 def test_every_code_point_is_encoded_as_by_the_library():
     from tokenizers import Tokenizer
 
@@ -680,3 +698,61 @@ def test_pipeline(spark, texts, tmp_path):
     assert {i for i in range(80)} <= seen["quality"] and not seen["quality"] & set(range(200, 240))
     assert {i for i in range(80)} <= seen["near_dedup"] and len(seen["near_dedup"] & set(range(100, 120))) <= 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs_now.count()
+
+
+def test_pipeline_matches_brute_force_stage_by_stage(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(77)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    line = lambda n: (" ".join(rng.choice(vocabulary) for _ in range(n)) + ".").capitalize()
+    passage = line(70)
+    texts = ["\n".join([line(rng.randint(8, 40)) for _ in range(rng.randint(1, 6))] + ([passage + " " + line(9)] if i % 9 == 0 else [])) for i in range(70)]
+    texts += [t.replace("\n", " ").replace(t.split()[3], "other", 1) for t in texts[:12]] + [t.split("\n")[0] + "\n" + line(20) for t in texts[12:20]] + texts[20:24]
+    texts += [" ".join(w.upper() + "!!" for w in line(100).split()) for _ in range(30)] + ["", None, "  \n ", "short"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    good = {i: int(not (t or "").isupper() and "!!" not in (t or "")) for i, t in enumerate(texts)}
+    spark.createDataFrame([(i, good[i], 0) for i in range(0, 120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    model = quality.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    now = {i: t for i, t in enumerate(texts) if quality.score_texts(model, [t or ""])[0] >= 0.7}
+    assert 80 <= len(now) < len(texts)
+    want = {"quality": dict(now)}
+    gone = brute_lines(list(now.items()))
+    now = {i: t if not gone[i] else "\n".join(s for n, s in enumerate(t.split("\n")) if n not in gone[i]) for i, t in now.items()}
+    want["line_dedup"] = dict(now)
+    keys, sets = sorted(now), {i: shingle_set(t) for i, t in now.items()}
+    root = {i: i for i in keys}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in keys:
+        for b in keys:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    now = {i: now[i] for i in keys if find(i) == i}
+    want["near_dedup"] = dict(now)
+    kept = {}
+    found = brute_repeats(list(now.items()), kept)
+    want["suffix_dedup"] = {i: kept[i] if found[i][1] else t for i, t in now.items()}
+    assert len(want["near_dedup"]) < len(want["line_dedup"]) and any(want["line_dedup"][i] != texts[i] for i in want["line_dedup"]) and any(found[i][1] for i in found)
+
+    docs_now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs_now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs_now = spark.read.parquet(f"{tmp_path}/{name}")
+        got = docs_now.collect()
+        assert {r["doc_id"]: r["text"] for r in got} == want[name] and len(got) == len(want[name]), name
+        assert all(r["n_chars"] == len(r["text"] or "") and r["lang"] == "en" for r in got)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
+    assert packed == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in want["suffix_dedup"].items()}
