@@ -10,6 +10,9 @@ history.  All stages but the last keep the columns of `documents`.
    smallest doc_id stays.
 4. suffix_dedup: byte strings of 100 that occur earlier go from the text.
 5. packing: what is left is packed into sequences.
+
+Columns of `documents` other than doc_id, text and n_chars are passed on whatever their names; an empty table goes
+through all stages.  Each stage's docstring says what it does with nulls, repeated rows and ties.
 """
 
 from __future__ import annotations
@@ -22,26 +25,33 @@ from pyspark.sql import DataFrame, SparkSession
 from flatewise.llm import lines, packing, quality, simhash, suffix
 from flatewise.llm.common import table, with_checkpoint_dir
 
-ORACLE_SQL = None  # model fitting and the byte-pair vocabulary are beyond SQL; tests compare the stages with brute force
+ORACLE_SQL = None  # model fitting and the byte-pair vocabulary are beyond SQL; a test compares every stage with brute force
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier accepts, as they are; null and empty texts are scored like one empty line."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without lines that an earlier line resembles (n_chars follows); rows equal in id and text count once as
+    earlier and lose the same lines; a null text stays null."""
     return lines.remove_lines(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies, the least by doc_id (nulls last), then by the MD5 of its text; null and blank
+    texts are one class."""
     return simhash.keep_first(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without byte strings of 100 that start earlier (n_chars follows); texts below 100 bytes stay as they are."""
     return suffix.remove_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows; a null text is one closing token."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
