@@ -128,4 +128,4 @@ def padding_score(records: DataFrame) -> DataFrame:
 
 def edit_outcome(findings: DataFrame) -> DataFrame:
     """path, flagged, localised: an edited entry was reported, and it alone was named (named and edited are columns)."""
-    return findings.select("path", (F.size("named") > 0).alias("flagged"), (F.array_sort("named") == F.array("edited")).alias("localised"))
+    return findings.select("path", (F.size("named") > 0).alias("flagged"), (F.sort_array("named") == F.array("edited")).alias("localised"))

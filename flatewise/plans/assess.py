@@ -221,7 +221,7 @@ def build_archives(sources: DataFrame, parts: int = PARTS) -> DataFrame:
     """(path, writer, profile, content): every group of `parts` sources (in the order of their id) by every writer."""
     order = Window.partitionBy(F.pmod(F.xxhash64("source_id"), F.lit(64))).orderBy("source_id")
     groups = sources.select("source_id", "content", F.pmod(F.xxhash64("source_id"), F.lit(64)).alias("b"), F.floor((F.row_number().over(order) - 1) / parts).alias("g"))
-    listed = groups.groupBy("b", "g").agg(F.array_sort(F.collect_list(F.struct("source_id", "content"))).alias("s"))
+    listed = groups.groupBy("b", "g").agg(F.sort_array(F.collect_list(F.struct("source_id", "content"))).alias("s"))
 
     def run(batches):
         for batch in batches:

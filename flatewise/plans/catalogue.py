@@ -104,7 +104,7 @@ def literal_histogram(spark, sf):
 
 @query(f"WITH {BYTES}, t AS (SELECT sum(n) AS t FROM c) SELECT round(-sum(n / t * log2(n / t)), 6) AS entropy, sum(n)::BIGINT AS total FROM c, t")
 def literal_entropy(spark, sf):
-    one = _literals(spark, sf).agg(F.array_sort(F.collect_list("n")).alias("h"))
+    one = _literals(spark, sf).agg(F.sort_array(F.collect_list("n")).alias("h"))
     return one.select(F.round(S.entropy(F.col("h")), 6).alias("entropy"), S.total(F.col("h")).cast("long").alias("total"))
 
 
@@ -628,7 +628,7 @@ def feature_stats(spark, sf):
 SELECT id, n AS blocks, CASE WHEN count_if(i < n) > 0 AND coalesce(stddev_samp(CASE WHEN i < n THEN q END), 0) < 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS uniform FROM a GROUP BY id, n""")
 def interior_uniform(spark, sf):
     """The feature that tells blocks of one size (all but the last) from others, over the entries of stand-in archives."""
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("s"))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("s"))
     inner = li.select("id", F.size("s").cast("long").alias("blocks"), F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: x["l_quantity"] / 10).alias("_inner"))
     return inner.select("id", "blocks", features.columns()["blk_interior_uniform"].alias("uniform"))
 
@@ -636,13 +636,13 @@ def interior_uniform(spark, sf):
 @query("""WITH a AS (SELECT conv_id, length(text) // 50 AS v, min(turn) AS f, count(*) AS n FROM conversations GROUP BY ALL)
 SELECT conv_id, v::BIGINT AS mode FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) AS r FROM a) WHERE r = 1""")
 def block_mode(spark, sf):
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.floor(F.length("text") / 50).cast("long").alias("v")))).alias("s"))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.floor(F.length("text") / 50).cast("long").alias("v")))).alias("s"))
     return rows.select("conv_id", S.mode_first(F.col("s.v")).alias("mode"))
 
 
 def _conversations(spark, sf, value) -> DataFrame:
     """conv_id and one value a turn, in order."""
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", value.alias("v")))).alias("s"))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", value.alias("v")))).alias("s"))
     return rows.select("conv_id", F.col("s.turn").alias("turns"), F.col("s.v").alias("content"))
 
 
@@ -722,7 +722,7 @@ def bits_roundtrip(spark, sf):
 SELECT doc_id, greatest(0, least(cap, 64 - before))::BIGINT AS bits, least(before, 64)::BIGINT AS start FROM o""")
 def message_spread(spark, sf):
     """Where a 64-bit message lies over the paddings of each source's streams."""
-    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", (F.col("n_chars") % 8).cast("int").alias("cap")))).alias("s"))
+    d = table(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", (F.col("n_chars") % 8).cast("int").alias("cap")))).alias("s"))
     made = _make(d.select(F.col("s.doc_id").alias("ids"), F.col("s.cap").alias("content")), "m", lambda rooms: [[int(a), int(n)] for a, n in covert.shares([int(r) for r in rooms], 64)], "array<array<bigint>>")
     return made.select(F.explode(F.arrays_zip("ids", "m")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.m")[1].alias("bits"), F.col("x.m")[0].alias("start"))
 

@@ -37,11 +37,11 @@ def hash_parity(digest: Column) -> Column:
 
 def sketch(texts: DataFrame, key: str, tokens: Column, k: int = SKETCH) -> DataFrame:
     """Bottom-k of md5 over distinct tokens: key, sketch (sorted)."""
-    return texts.select(key, F.slice(F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.md5(t.cast("binary"))))), 1, k).alias("sketch"))
+    return texts.select(key, F.slice(F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.md5(t.cast("binary"))))), 1, k).alias("sketch"))
 
 
 def sketch_jaccard(a: Column, b: Column, k: int = SKETCH) -> Column:
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
     return S.ratio(F.size(F.array_intersect(F.array_intersect(union, a), b)), F.size(union))
 
 
@@ -56,7 +56,7 @@ def similar_sketches(sketches: DataFrame, key: str, threshold: float = FAMILY_JA
     classes = members.groupBy("c").agg(F.first("sketch").alias("sketch"))
     values = classes.select("c", F.size("sketch").alias("n"), F.explode("sketch").alias("v"))
     counted = values.join(values.groupBy("v").agg(F.count("*").alias("seen")).where("seen > 1"), "v", "left")
-    ordered = counted.groupBy("c").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "v"))).alias("o"))
+    ordered = counted.groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "v"))).alias("o"))
     take = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     prefix = ordered.select("c", F.explode(F.slice("o", 1, take)).alias("o")).where("o.seen > 1").select("c", F.col("o.v").alias("v"))
     x, y = prefix.select("v", F.col("c").alias("c")), prefix.select("v", F.col("c").alias("d"))
