@@ -61,11 +61,8 @@ def text_digest(text: F.Column) -> F.Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The checkpointed pairs (a, b) whose sets (node, codes; each node once) are similar.
-
-    In waves, so that the sets fetched for one wave are released before the next; a wave moves the sets of its own
-    nodes only.
-    """
+    """The checkpointed pairs (a, b) whose sets (node, codes; each node once) are similar; in waves, so that the copies of
+    sets that one wave moves are released before the next."""
 
     def check(batches):
         for batch in batches:
@@ -73,16 +70,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = pa.array([similar(from_bytes(p), from_bytes(q)) for p, q in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
-    def wave(part, have):
-        full = part.join(have.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
+    def wave(part):
+        full = part.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
         return checkpoint(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    have = checkpoint(sets.select("node", "codes").join(need, "node", "left_semi"))
     waves = 1 + pairs.count() // WAVE_PAIRS
     links = None
     for w in range(waves):
-        found = wave(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(waves)) == w), have)
+        found = wave(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(waves)) == w))
         links = found if links is None else links.union(found)
     return links
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flatewise.llm.common import checkpoint, connected_components, exchange_blobs, mix64, read_slots, shuffle_width, small_batches, to_blobs
-from flatewise.llm.shingles import codes, from_bytes, keep_one, text_digest, to_bytes, verified
+from flatewise.llm.shingles import codes, keep_one, text_digest, to_bytes, verified
 
 SHINGLE = 3
 SEED = 42
@@ -282,14 +282,23 @@ def wide_fingerprint(found: np.ndarray) -> bytes:
 
 
 def set_batches(shingle: int):
+    """(doc_id, digest, node, print) of every text; equal sets have one node, the empty set has none."""
+
     def run(batches):
         for batch in batches:
             sets = [codes(t, shingle) for t in batch.column(2).to_pylist()]
-            blobs = [to_bytes(c) for c in sets]
-            nodes = np.array([xxhash.xxh64_intdigest(b, SEED) if b else 0 for b in blobs], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([wide_fingerprint(c) for c in sets], pa.binary()), pa.array(blobs, pa.binary())], names=["doc_id", "digest", "node", "print", "codes"]
-            )
+            nodes = [xxhash.xxh64_intdigest(to_bytes(c), SEED) - 2**63 if len(c) else None for c in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([wide_fingerprint(c) for c in sets], pa.binary())], names=["doc_id", "digest", "node", "print"])
+
+    return run
+
+
+def code_batches(shingle: int):
+    """(node, codes) of (node, text) rows."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_bytes(codes(t, shingle)) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "codes"])
 
     return run
 
@@ -369,26 +378,35 @@ def pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[fresh, k]) for k in (0, 1)], names=["a", "b"])
 
 
-def set_classes(sets: DataFrame) -> DataFrame:
-    """(node, component) of nodes that are linked: (node, print, codes) of distinct sets whose prints are near and whose
-    Jaccard, computed on the whole sets, is 0.8 or more."""
-    slots = shuffle_width(sets.sparkSession)
+def set_classes(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, component) of nodes that are linked: sets whose prints are near and whose Jaccard, computed on the whole
+    sets, is 0.8 or more.  `rows` are (doc_id, digest, node, print), `texts` (digest, text).
 
-    def candidates(nodes, everything):
-        tables = exchange_blobs(nodes.mapInArrow(keyed_tables(slots), "slot int, blob binary"))
+    Sets are not kept: those of candidates are made again from their texts, one text a node.
+    """
+    slots = shuffle_width(rows.sparkSession)
+    nodes = checkpoint(rows.where("node is not null").groupBy("node").agg(F.first("print").alias("print"), F.min("digest").alias("digest")))
+
+    def candidates(of, everything):
+        tables = exchange_blobs(of.mapInArrow(keyed_tables(slots), "slot int, blob binary"))
         return tables.mapInArrow(near_batches(everything), "a long, b long").distinct()
 
-    nodes = sets.where(F.length("codes") > 0).select("node", "print")
-    tried = checkpoint(candidates(nodes.withColumn("class", F.col("node")), False))
+    def linked(pairs):
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        chosen = texts.join(nodes.join(wanted, "node", "left_semi").select("node", "digest"), "digest").select("node", "text")
+        sets = chosen.mapInArrow(code_batches(shingle), "node long, codes binary").groupBy("node").agg(F.first("codes").alias("codes"))
+        return verified(pairs, checkpoint(sets))
+
+    tried = checkpoint(candidates(nodes.select("node", "print", F.col("node").alias("class")), False))
     if not tried.take(1):
-        return sets.sparkSession.createDataFrame([], "node long, component long")
-    links = verified(tried, sets)
+        return rows.sparkSession.createDataFrame([], "node long, component long")
+    links = linked(tried)
     parts = checkpoint(connected_components(links))
     named = nodes.join(parts, "node", "left").select("node", "print", F.coalesce("component", "node").alias("class"))
     more = checkpoint(candidates(named, True).join(tried, ["a", "b"], "left_anti"))
     if not more.take(1):
         return parts
-    return connected_components(links.union(verified(more, sets)))
+    return connected_components(links.union(linked(more)))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -408,8 +426,7 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
-    rows = checkpoint(keyed.mapInArrow(set_batches(shingle), "doc_id long, digest string, node long, print binary, codes binary"))
-    sets = rows.groupBy("node").agg(F.first("print").alias("print"), F.first("codes").alias("codes")) if rows.groupBy("node").count().where("count > 1").limit(1).take(1) else rows
-    parts = set_classes(sets)
+    rows = checkpoint(keyed.mapInArrow(set_batches(shingle), "doc_id long, digest string, node long, print binary"))
+    parts = set_classes(rows, keyed.select("digest", "text"), shingle)
     found = rows.select("doc_id", "digest", "node").join(parts, "node", "left")
     return keep_one(docs, found.select("doc_id", "digest", F.coalesce("component", "node").alias("class")))
