@@ -67,7 +67,9 @@ class WordBpe:
         self.symbols = byte_symbols()
         self.cache: dict[str, tuple[str, str]] = {}
         self.unlike_class = unlike or self.unlike_characters()
-        self.unlike = re.compile(self.unlike_class).search
+        self.unlike_at = re.compile(self.unlike_class).search
+        near = "".join(r for r in re.findall(r"\\U0000....-\\U........", self.unlike_class))
+        self.suspect_at = re.compile(f"[{near}\\U00010000-\\U0010ffff]").search  # one range beyond the first plane: many make a class slow
 
     def merge(self, parts: list[str]) -> list[str]:
         """Apply the merges to a symbol list: always the lowest rank, the leftmost pair among equals."""
@@ -196,7 +198,7 @@ class WordBpe:
                         ids.append(a)
                         decoded.append(b)
             return " ".join(ids), " ".join(decoded)
-        if not text.isascii() and self.unlike(text):
+        if self.unlike(text):
             words = self.library_pieces(text)
             found = [self.lookup(w, True) for w in words]
             return " ".join([a for a, _ in found]), " ".join([b for _, b in found])
@@ -207,13 +209,29 @@ class WordBpe:
             found = [self.lookup(w) for w in words]
         return " ".join([a for a, _ in found if a]), " ".join([b for _, b in found if b])
 
+    def unlike(self, text: str) -> bool:
+        """Does a text hold a character of the class?  The first tests are fast and settle nearly all texts."""
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+            return self.western
+        except UnicodeEncodeError:
+            found = self.suspect_at(text)
+            return found is not None and (found[0] < "\U00010000" or self.unlike_at(text) is not None)
+
+    @functools.cached_property
+    def western(self) -> bool:
+        """Is any Latin-1 character in the class (none is, in the tables at hand)?  Then every text takes the slow way."""
+        return self.unlike_at("".join(map(chr, range(128, 256)))) is not None
+
     def items(self, text: str):
         """(piece in byte symbols or special token, is it special) of a text, in order."""
         for part in self.specials.split(text) if "<|" in text else [text]:
             if part in self.special:
                 yield part, True
             elif part:
-                pieces = self.library_pieces(part) if not part.isascii() and self.unlike(part) else self.own_pieces(part)
+                pieces = self.library_pieces(part) if self.unlike(part) else self.own_pieces(part)
                 yield from ((p, False) for p in pieces)
 
     def ids(self, tokens: list[str]) -> str:
