@@ -160,3 +160,10 @@ def test_sketch_words_are_those_of_the_sql(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", texts[:6] + texts[7:])
     want = dict(con.execute(f"WITH {catalogue.SKETCHES.replace('128', '4')} SELECT id, sketch FROM k").fetchall())
     assert {r["id"]: r["sketch"] for r in spark_rows if r["id"] != 6} == want
+
+
+def test_decoding_for_the_output_alone_describes_no_blocks(spark, monkeypatch):
+    made = streams.compress(spark.createDataFrame([(1, bytearray(b"abcd" * 900))], "id int, content binary"), [("zlib", "6"), ("own", "lazy"), ("zlib-strategies", "huff")])
+    rows = streams.decode(made, output=True, blocks=False).select("blocks", "output", "error").collect()
+    assert len(rows) == 3 and all(r["blocks"] is None and r["output"] == b"abcd" * 900 and r["error"] is None for r in rows)
+    assert all(r["blocks"] for r in streams.decode(made).collect())
