@@ -98,7 +98,8 @@ def line_words(texts: list[bytes]):
     stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
     prefix = np.concatenate([np.zeros(1, U), np.cumsum(BYTE_HASH[data] * power_table(BASE, len(data))[: len(data)], dtype=U)])
     word = mix64((prefix[stop] - prefix[begin]) * power_table(INVERSE, len(data))[begin] + (stop - begin).astype(U) * U(MIX_STEP))
-    return text_of, line_no, np.searchsorted(end, begin), word
+    before = np.searchsorted(begin, end)  # words up to the end of each line
+    return text_of, line_no, np.repeat(np.arange(len(end)), np.diff(before, prepend=0)), word
 
 
 def bucket_of(word: np.ndarray) -> np.ndarray:
@@ -266,24 +267,51 @@ class Columns:
     """The compared columns of records, each by itself for fast access."""
 
     def __init__(self, records: np.ndarray):
-        self.size, self.place = records["size"].astype(np.int64), records["place"].astype(np.int64)
+        self.size = records["size"].astype(np.int64)
+        self.rest = self.size - records["place"]
+        self.both = self.size << 32 | self.rest  # read at once
         self.even, self.odd = records["even"].copy(), records["odd"].copy()
         self.blocks = None if not records["j"].any() else (records["i"] == records["j"], records["side"].copy())
 
-    def fitting(self, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of index pairs (y later than x, same item): those whose lengths, positions and parities allow the similarity,
+
+class Seekers:
+    """Records that look through the earlier ones of their item, deepest first, with what they compare beside them."""
+
+    NAMES = ("y", "begin", "depth", "size", "rest", "low", "high")
+
+    def __init__(self, columns: Columns, y: np.ndarray, place: np.ndarray):
+        self.y = y[np.argsort(-place[y], kind="stable")]
+        self.depth, self.size, self.rest = place[self.y], columns.size[self.y], columns.rest[self.y]
+        self.begin = self.y - self.depth
+        self.low, self.high = -(-NUMERATOR * self.size // DENOMINATOR), DENOMINATOR * self.size // NUMERATOR
+        self.columns = columns
+
+    def only(self, which) -> None:
+        for name in self.NAMES:
+            setattr(self, name, getattr(self, name)[which])
+
+    def deeper(self, step: int) -> None:
+        """Leave those that have a record `step` places after the first of their item."""
+        self.only(slice(0, int(np.searchsorted(-self.depth, -step))))
+
+    def fitting(self, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (y, x) with the record at `step` of each item whose lengths, positions and parities allow the similarity,
         and how far their parities are apart."""
-        a, b = self.size[x], self.size[y]
-        least = need(a, b)
-        ok = np.minimum(a - self.place[x], b - self.place[y]) >= least
-        ok &= NUMERATOR * np.maximum(a, b) <= DENOMINATOR * np.minimum(a, b)
-        if self.blocks is not None:
-            ok &= self.blocks[0][x] | (self.blocks[1][x] != self.blocks[1][y])
-        at = np.flatnonzero(ok)
-        x, y = x[at], y[at]
-        apart = np.bitwise_count(self.even[x] ^ self.even[y]).astype(np.int64) + np.bitwise_count(self.odd[x] ^ self.odd[y])
-        good = apart <= (a + b - 2 * least)[at]
-        return at[good], apart[good]
+        c, x = self.columns, self.begin + step
+        both = c.both[x]
+        a = both >> 32
+        at = np.flatnonzero((a >= self.low) & (a <= self.high))
+        total = a[at] + self.size[at]
+        least = need(total, 0)
+        good = np.minimum(both[at] & 0xFFFFFFFF, self.rest[at]) >= least
+        at, most = at[good], (total - 2 * least)[good]
+        x, y = x[at], self.y[at]
+        if c.blocks is not None:
+            good = c.blocks[0][x] | (c.blocks[1][x] != c.blocks[1][y])
+            x, y, most = x[good], y[good], most[good]
+        apart = np.bitwise_count(c.even[x] ^ c.even[y]).astype(np.int64) + np.bitwise_count(c.odd[x] ^ c.odd[y])
+        good = apart <= most
+        return y[good], x[good], apart[good]
 
 
 def distinct_records(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,18 +323,31 @@ def distinct_records(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     fresh[1:] = key[order[1:]] != key[order[:-1]]
     item = np.cumsum(fresh) - 1
     several = np.bincount(item)[item] > 1
-    raw, item = raw[order[several]], item[several]
-    order = np.lexsort((raw["line"], raw["doc"], item))
-    raw, item = raw[order], item[order]
-    own = mix64(item.astype(U) * U(MIX_STEP) ^ raw["set"])
-    order = np.argsort(own, kind="stable")
-    again = np.zeros(len(raw), bool)
-    again[order[1:]] = own[order[1:]] == own[order[:-1]]
-    raw, item = raw[~again], item[~again]
+    order, item = order[several], item[several]
+    order = order[by_line(item, raw["doc"][order], raw["line"][order])]  # items keep their places
+    own = mix64(item.astype(U) * U(MIX_STEP) ^ raw["set"][order])
+    by_own = np.argsort(own)
+    new = np.ones(len(own), bool)
+    new[1:] = own[by_own[1:]] != own[by_own[:-1]]
+    once = np.zeros(len(own), bool)
+    if len(own):
+        once[np.minimum.reduceat(by_own, np.flatnonzero(new))] = True
+    order, item = order[once], item[once]
     size = np.bincount(item, minlength=1)
     keep = size[item] > 1
     size = size[size > 1]
-    return raw[keep], segments(size)[1], size
+    return raw[order[keep]], segments(size)[1], size
+
+
+def by_line(item: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by item, document and line: of one number each where that has room for all three."""
+    if not len(item):
+        return np.empty(0, np.int64)
+    low = int(doc.min())
+    widths = [int(v).bit_length() for v in (int(item.max()), int(doc.max()) - low, int(line.max()))]
+    if sum(widths) > 63:
+        return np.lexsort((line, doc, item))
+    return np.argsort((item << widths[1] | (doc - low)) << widths[2] | line)
 
 
 def offers(records: np.ndarray, place: np.ndarray, asking: np.ndarray | None = None):
@@ -314,23 +355,22 @@ def offers(records: np.ndarray, place: np.ndarray, asking: np.ndarray | None = N
 
     A record stops looking at its second candidate; those of `asking`, where given, look through all.
     """
-    columns, seen, more, out = Columns(records), np.zeros(len(records), np.int8), np.zeros(len(records), bool), []
-    step, rows = 0, np.flatnonzero(place > 0 if asking is None else (place > 0) & asking)
-    while len(rows):
-        x = rows - place[rows] + step
-        at, apart = columns.fitting(rows, x)
-        if len(at):
-            y = rows[at]
+    seen, more, out = np.zeros(len(records), np.int8), np.zeros(len(records), bool), []
+    step, open_ = 0, Seekers(Columns(records), np.flatnonzero(place > 0 if asking is None else (place > 0) & asking), place)
+    while len(open_.y):
+        y, x, apart = open_.fitting(step)
+        if len(y):
             if asking is None:
                 third = seen[y] >= TESTED
                 more[y[third]] = True
                 seen[y] += 1
-                out.append(pair_rows(records, y[~third], x[at][~third], apart[~third]))
-                rows = rows[~more[rows]]
+                out.append(pair_rows(records, y[~third], x[~third], apart[~third]))
+                if third.any():
+                    open_.only(~more[open_.y])
             else:
-                out.append(pair_rows(records, y, x[at], apart))
+                out.append(pair_rows(records, y, x, apart))
         step += 1
-        rows = rows[place[rows] > step]
+        open_.deeper(step)
     return np.concatenate(out) if out else np.empty(0, OFFER), more
 
 

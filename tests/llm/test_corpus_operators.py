@@ -756,3 +756,32 @@ def test_pipeline_matches_brute_force_stage_by_stage(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
     assert packed == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in want["suffix_dedup"].items()}
+
+
+def test_line_records_meet_as_in_a_plain_search():
+    import random
+
+    import numpy as np
+
+    from flatewise.llm import lines
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(60)]
+    base = [rng.sample(words, 12) for _ in range(8)]
+    line = lambda: " ".join([*rng.choice(base)[rng.randint(0, 1) :], rng.choice(words)])
+    for far in (1, 1 << 40):  # with and without room for item, document and line in one number
+        texts = [(k * far - 9, 0, "\n".join(line() for _ in range(6)).encode()) for k in range(40)]
+        raw = lines.Sets(texts, np.zeros(lines.BUCKETS, np.uint8)).prefixes()
+        records, place, size = lines.distinct_records(raw[np.random.default_rng(1).permutation(len(raw))])
+        item = np.repeat(np.arange(len(size)), size)
+        assert (lines.by_line(item, records["doc"], records["line"]) == np.arange(len(records))).all() and size.min() > 1
+        want = []
+        for y in range(len(records)):
+            for x in range(y - place[y], y):
+                a, b = (int(records["size"][k]) for k in (x, y))
+                apart = sum(int(records[n][x] ^ records[n][y]).bit_count() for n in ("even", "odd"))
+                if 4 * max(a, b) <= 5 * min(a, b) and min(a - int(records["place"][x]), b - int(records["place"][y])) >= lines.need(a, b) and apart <= a + b - 2 * lines.need(a, b):
+                    want.append((y, x))
+        got, _ = lines.offers(records, place, np.ones(len(records), bool))
+        key = lambda k: (int(records["doc"][k]), int(records["line"][k]))
+        assert want and sorted((int(r["doc"]), int(r["line"]), int(r["to_doc"]), int(r["to_line"])) for r in got) == sorted((*key(y), *key(x)) for y, x in want)
