@@ -14,7 +14,8 @@ judged on the input.  Lines without words stay.
    steers the dealing only) are dealt into blocks, and pairs of blocks are separate work items.
 4. *Verification.*  Of a line's candidates the `TESTED` best supported are verified first: both lines are fetched from
    their texts and their words are compared.  Lines that this does not settle are then compared with all their other
-   candidates, in waves over the lines fetched for them once.
+   candidates, in waves over the lines fetched for them once.  Only texts of documents with such lines are dealt (by a table
+   of 2^24 bits, which steers the dealing only).
 
 Hashes decide nothing but equality of whole sets (128 bits) and of a word within one line (64 bits).
 
@@ -46,7 +47,11 @@ TESTED = 2
 WAVE_PAIRS = 30_000
 SAMPLE_SHARE = 64
 BLOCK = 8192
+DOC_BITS = 24
+BIT_CHUNK = 1 << 18
+LONG = 64
 U = np.uint64
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 LINE = np.dtype([("set", "<u8"), ("set2", "<u8"), ("doc", "<i8"), ("line", "<u4")])
 PREFIX = np.dtype([("word", "<u8"), ("i", "<u4"), ("j", "<u4"), ("side", "u1"), ("set", "<u8"), ("even", "<u8"), ("odd", "<u8"), ("size", "<u4"), ("place", "<u4"), ("doc", "<i8"), ("line", "<u4")])
@@ -63,8 +68,8 @@ def need(a, b):
 def pieces(batch: pa.RecordBatch):
     """Lists of (key, number of the first line, bytes) of about `BATCH_BYTES`; a longer text is cut between lines."""
     held, total = [], 0
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        data, at, line = (text or "").encode("utf-8", "replace"), 0, 0
+    for key, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        data, at, line = data or b"", 0, 0
         while True:
             stop = len(data)
             if stop - at > BATCH_BYTES:
@@ -85,19 +90,39 @@ def pieces(batch: pa.RecordBatch):
         yield held
 
 
+def word_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[begin : begin + size]: of eight bytes at a time, of longer words than `LONG` by powers."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every position
+    word = mix64((eight[begin] & FIRST_BYTES[np.minimum(size, 8)]) + size.astype(U) * U(MIX_STEP))
+    at, left = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(left):
+        rest = eight[begin[left] + at] & FIRST_BYTES[np.minimum(size[left] - at, 8)]
+        word[left] = mix64(word[left] * U(BASE) + mix64(rest))
+        at += 8
+        left = left[size[left] > at]
+    large = np.flatnonzero(size > LONG)
+    if len(large):
+        run, offset = segments(size[large])
+        values = BYTE_HASH[data[begin[large][run] + offset]] * power_table(BASE, len(run))[: len(run)]
+        prefix = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
+        last = np.cumsum(size[large])
+        first = last - size[large]
+        word[large] = mix64((prefix[last] - prefix[first]) * power_table(INVERSE, len(run))[first] + size[large].astype(U) * U(MIX_STEP))
+    return word
+
+
 def line_words(texts: list[bytes]):
     """Lines of some texts: (text number, line number in it) of every line, and (line, word hash) of every word."""
     counts = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
     text_of, line_no = segments(counts)
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     end = np.flatnonzero(data == 10)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    head = ~space
-    head[1:] &= space[:-1]
-    begin = np.flatnonzero(head)
-    stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    prefix = np.concatenate([np.zeros(1, U), np.cumsum(BYTE_HASH[data] * power_table(BASE, len(data))[: len(data)], dtype=U)])
-    word = mix64((prefix[stop] - prefix[begin]) * power_table(INVERSE, len(data))[begin] + (stop - begin).astype(U) * U(MIX_STEP))
+    space = (data == 32) | (data - np.uint8(9) <= 4)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = edge if space[0] else np.concatenate([[0], edge])
+    begin, stop = edge[::2], edge[1::2]  # the last byte is white space
+    word = word_hashes(data, begin, stop - begin)
     before = np.searchsorted(begin, end)  # words up to the end of each line
     return text_of, line_no, np.repeat(np.arange(len(end)), np.diff(before, prepend=0)), word
 
@@ -673,11 +698,51 @@ def of_kind(blobs: DataFrame, kind: int) -> DataFrame:
     return blobs.selectExpr("slot", f"cast({kind} as byte) kind", "blob")
 
 
-def beside(requests: DataFrame, rows: DataFrame) -> DataFrame:
-    texts = rows.mapInArrow(text_blobs(shuffle_width(rows.sparkSession)), KINDS)
+def beside(requests: DataFrame, rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """Requests and texts of a slot in one partition, requests first; with `bits`, texts of `asked_documents` only."""
+    blobs = text_blobs(shuffle_width(rows.sparkSession))
+    texts = rows.mapInArrow(blobs if bits is None else lambda batches: blobs(of_documents(batches, bits)), KINDS)
     return deal_slots(of_kind(requests, 0).union(texts), "kind")
 
 
+def doc_bit(doc: np.ndarray) -> np.ndarray:
+    return (mix64(doc.astype(np.int64).view(U) * U(MIX_STEP)) >> U(64 - DOC_BITS)).astype(np.int64)
+
+
+def marked_batches(batches):
+    """Bits of the documents of both lines of pairs, by chunk of bits."""
+    found = [np.unique(doc_bit(np.concatenate([p["doc"], p["to_doc"]]))) for p in pairs_in(batches)]
+    if found:
+        bits = np.unique(np.concatenate(found))
+        yield to_blobs((bits // BIT_CHUNK).astype(np.int32), bits.astype(np.uint32))
+
+
+def united_bits(batches):
+    for slot, bits in read_slots(batches, np.uint32):
+        flags = np.zeros(BIT_CHUNK, bool)
+        flags[bits % BIT_CHUNK] = True
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["slot", "blob"])
+
+
+def asked_documents(pairs: DataFrame) -> np.ndarray:
+    """A table of fixed size with a bit for the hash of each document that takes part in `pairs`: other texts need not travel,
+    those that share a bit do so in vain."""
+    table = np.zeros((1 << DOC_BITS) // 8, np.uint8)
+    width = BIT_CHUNK // 8
+    for slot, blob in exchange_blobs(pairs.mapInArrow(marked_batches, BLOBS)).mapInArrow(united_bits, BLOBS).collect():
+        table[slot * width : (slot + 1) * width] = np.frombuffer(blob, np.uint8)
+    return table
+
+
+def of_documents(batches, bits: np.ndarray):
+    """Rows whose document's bit is set."""
+    for batch in batches:
+        at = doc_bit(batch.column(0).to_numpy())
+        kept = batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1) == 1))
+        if kept.num_rows:
+            yield kept
+
+
 def fetched(pairs: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
     """Blobs of all lines that take part in `pairs`, each once, by document."""
 
@@ -689,14 +754,14 @@ def fetched(pairs: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
             both = np.unique(both)
             yield to_blobs(both["slot"], both)
 
-    return checkpoint(beside(pairs.mapInArrow(own_slot, BLOBS), rows).mapInArrow(fetch_batches(1), KINDS))
+    return checkpoint(beside(pairs.mapInArrow(own_slot, BLOBS), rows, asked_documents(pairs)).mapInArrow(fetch_batches(1), KINDS))
 
 
 def verified(pairs: DataFrame, source: DataFrame, slots: int, wave: int = 0, waves: int = 1) -> DataFrame:
     """(slot, blob) of the lines that verification removes, from candidate pairs by document; `source` are the rows
     (__key, text) or what `fetched` took from them."""
     requests = pairs.mapInArrow(request_batches(slots, wave, waves), BLOBS)
-    both = deal_slots(of_kind(requests, 0).union(source), "kind") if "blob" in source.columns else beside(requests, source)
+    both = deal_slots(of_kind(requests, 0).union(source), "kind") if "blob" in source.columns else beside(requests, source, asked_documents(pairs))
     lines = both.mapInArrow(fetch_batches(1), KINDS)
     tested = of_kind(pairs.mapInArrow(tested_batches(slots, wave, waves), BLOBS), 0)
     return checkpoint(deal_slots(tested.union(lines), "kind").mapInArrow(verify_batches(slots), BLOBS))
@@ -749,7 +814,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text"))
     gone = removed_lines(rows.select("__key", "text"), slots).mapInArrow(gone_rows, "doc long, line long")
     lists = gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(1))
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
     counted = rows.select(F.col("__key").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_lines"))
     found = counted.join(lists, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<long>")))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

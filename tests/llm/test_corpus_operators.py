@@ -554,6 +554,44 @@ def test_line_join_matches_brute_force(spark, monkeypatch, hot):
         assert all(cleaned[i] == "\n".join(s for n, s in enumerate(t.split("\n")) if n not in got[i]) for i, t, *_ in rows if t and got[i])
 
 
+def test_words_have_one_hash_wherever_they_stand():
+    rng = random.Random(5)
+    words = list({bytes(rng.choice(b"ab\0\xc3\xa9") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 72, 300]))) for _ in range(600)})
+    words += [b"a" * n for n in range(1, 90)] + [b"a\0" * n for n in range(1, 45)] + [b"\0", b"\0\0", b"\0" * 8, b"\0" * 9]
+    words = sorted(set(words))
+    texts = []
+    for _ in range(20):
+        rng.shuffle(words)
+        texts.append(rng.choice([b"", b" \t", b"\n"]) + b"".join(w + rng.choice([b" ", b"\t\x0b", b"\r\n", b"\n\n"]) for w in words))
+    text_of, line_no, line, word = lines.line_words(texts)
+    want = [(k, n, w) for k, t in enumerate(texts) for n, part in enumerate(t.split(b"\n")) for w in part.split()]
+    assert [(text_of[i], line_no[i]) for i in line] == [w[:2] for w in want]
+    known = {}
+    assert all(known.setdefault(w[2], h) == h for w, h in zip(want, word.tolist())) and len(set(known.values())) == len(words)
+
+
+def test_workers_collect_what_they_loaded_once(spark):
+    def run(batches):
+        import gc
+
+        for _ in batches:
+            common.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([gc.get_freeze_count()])], names=["id"])
+
+    assert spark.range(0, 1, 1, 1).mapInArrow(run, "id long").agg(F.max("id")).first()[0] > 10_000
+    assert common.SETTLED is False  # the driver's own objects are collected as ever
+
+
+def test_only_texts_with_candidates_are_dealt(spark):
+    rows = docs(spark, [(i, f"text {i}", "en", None) for i in range(2000)]).selectExpr("doc_id __key", "text")
+    pairs = np.zeros(3, lines.PAIR)
+    pairs["doc"], pairs["to_doc"] = [700, 701, 1999], [0, 700, 5]
+    blobs = spark.createDataFrame([(0, bytearray(lines.pack(pairs[:2]))), (1, bytearray(lines.pack(pairs[2:])))], lines.BLOBS)
+    dealt = lines.beside(blobs, rows, lines.asked_documents(blobs)).where("kind = 1").collect()
+    got = {k for r in dealt for k in pa.ipc.open_stream(r["blob"]).read_all().column(0).to_pylist()}
+    assert got >= {0, 5, 700, 701, 1999} and len(got) < 20
+
+
 def test_line_join_in_odd_rows(spark):
     got = lines.line_counts(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r["doc_id"]: r["n_removed"] for r in got}[5] == 2999
